@@ -38,13 +38,13 @@ from {orders}""")
 _view("profile_level", """
 select l_orderkey as profile_id, cast(l_quantity as int) as z, l_quantity as depth,
        avg(case when l_discount > 0.095E0 then null else l_extendedprice / 5003.0E0 end) as temperature,
-       avg(case when l_tax < 0.005E0 then null else 30.0E0 + l_discount * 100.0E0 / 7.0E0 + l_tax end) as salinity,
+       avg(case when l_tax < 0.005E0 then null else 30.0E0 + (l_discount * 100.0E0 + 0.37E0) / 7.0710678E0 + l_tax end) as salinity,
        max(case when l_returnflag = 'R' and l_discount > 0.085E0 then 4 else 1 end) as qc
 from {lineitem} group by l_orderkey, l_quantity""")
 
 for _run, _t, _s in (
-    ("a", "l_extendedprice / 5003.0E0 * (1.0E0 + l_tax) - l_discount", "30.0E0 + l_discount * 100.0E0 / 7.0E0 - l_tax * 1.7E0"),
-    ("b", "l_extendedprice / 5003.0E0 * (1.0E0 - l_discount / 3.0E0) + l_tax", "30.0E0 + l_discount * 95.0E0 / 7.0E0 + l_tax * 2.3E0"),
+    ("a", "l_extendedprice / 5003.0E0 * (1.0E0 + l_tax) - l_discount", "30.0E0 + (l_discount * 100.0E0 + 0.37E0) / 7.0710678E0 - l_tax * 1.7E0"),
+    ("b", "l_extendedprice / 5003.0E0 * (1.0E0 - l_discount / 3.0E0) + l_tax", "30.0E0 + (l_discount * 95.0E0 + 0.37E0) / 7.0710678E0 + l_tax * 2.3E0"),
 ):
     _view(f"profile_model_{_run}", f"""
 select l_orderkey as profile_id, cast(l_quantity as int) as z, l_quantity as depth,

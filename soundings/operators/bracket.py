@@ -36,11 +36,9 @@ def bracket(wanted: DataFrame, known: DataFrame, keys: list[str], axis: str, val
     up = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     down = Window.partitionBy(*keys).orderBy(F.desc("_slot")).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        edges.select(
-            *keys, "_slot",
-            F.explode(F.array(F.last("_last", ignorenulls=True).over(up),
-                              F.last("_first", ignorenulls=True).over(down))).alias("_point"),
-        )
+        edges.withColumn("_left", F.last("_last", ignorenulls=True).over(up))
+        .withColumn("_right", F.last("_first", ignorenulls=True).over(down))
+        .select(*keys, "_slot", F.explode(F.array("_left", "_right")).alias("_point"))
         .filter(F.col("_point").isNotNull())
         .select(*keys, F.col("_point").getField(axis).alias(axis), "_point",
                 F.lit(False).alias("_asked"), "_slot")
