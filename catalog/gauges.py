@@ -1 +1,311 @@
-"""Registered queries."""
+"""Tide gauges: statistics, thresholds, tides, residuals, peaks, skew surges."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog.base import query
+from soundings.functions import scalars as S
+from soundings.operators import compare as P, error as E, peaks as K, series as R, slots, threshold as H, tide as A, timejoin as T
+from soundings.plans import gauge_validation
+
+LEVELS = S.thresholds()
+LEVEL_SQL = "(select k / 10.0E0 as threshold from (select unnest(range(-4, 20)) as k))"
+
+
+# ---- statistics -------------------------------------------------------------------------
+STATS = """stddev_pop(ssh_obs) as ssh_std_obs, stddev_pop(ssh_mod) as ssh_std_mod, stddev_pop(ssh_mod) - stddev_pop(ssh_obs) as ssh_std_err,
+       stddev_pop(ntr_obs) as ntr_std_obs, stddev_pop(ntr_mod) as ntr_std_mod, stddev_pop(ntr_mod - ntr_obs) as ntr_err_std, avg(ntr_mod - ntr_obs) as ntr_me,
+       avg(abs(ntr_mod - ntr_obs)) as ntr_mae, sqrt(avg(pow(ntr_mod - ntr_obs, 2))) as ntr_rmse"""
+
+
+def stats_sql(view: str) -> str:
+    return f"""
+select port, case when grouping(season) = 1 then 'All' else season end as season, {STATS},
+       case when grouping(season) = 1 or count(ntr_obs - ntr_mod) > 100 then corr(ntr_obs, ntr_mod) end as ntr_corr, count(ntr_obs - ntr_mod) as n
+from {{{view}}} group by grouping sets ((port, season), (port))"""
+
+
+STAT_SPEC = ("port:int season:s ssh_std_obs:d ssh_std_mod:d ssh_std_err:d ntr_std_obs:d ntr_std_mod:d ntr_err_std:d "
+             "ntr_me:d ntr_mae:d ntr_rmse:d ntr_corr:d n:long")
+
+
+@query("series_error_stats_A13", STAT_SPEC, stats_sql("tg_daily_ntr"))
+def _(t):
+    return E.tide_gauge_stats(t("tg_daily_ntr"))
+
+
+@query("residual_correlation_A14", "port:int season:s ntr_corr:d n:long",
+       f"select port, season, ntr_corr, n from ({stats_sql('tg_ntr')})")
+def _(t):
+    return E.tide_gauge_stats(t("tg_ntr"))
+
+
+@query("demean_A15", "port:int time:t ssh_obs:d ssh_mod:d", """
+select port, time, ssh_obs - avg(ssh_obs) over (partition by port) as ssh_obs, ssh_mod - avg(ssh_mod) over (partition by port) as ssh_mod from {tg_extract}""")
+def _(t):
+    return E.demean(t("tg_extract"), ["ssh_obs", "ssh_mod"])
+
+
+CLIM = """select port, month(time) as month, avg(ntr_obs) as ntr_obs_mean, stddev_pop(ntr_obs) as ntr_obs_std, avg(ntr_mod) as ntr_mod_mean,
+       stddev_pop(ntr_mod) as ntr_mod_std from {tg_daily_ntr} group by port, month(time)"""
+
+
+@query("monthly_climatology_A16", "port:int month:int ntr_obs_mean:d ntr_obs_std:d ntr_mod_mean:d ntr_mod_std:d", CLIM)
+def _(t):
+    return E.month_climatology(t("tg_daily_ntr"), ["ntr_obs", "ntr_mod"])
+
+
+@query("calendar_month_resample_A17", "port:int month_start:t ntr_obs_mean:d ntr_obs_std:d ntr_obs_max:d", """
+select port, date_trunc('month', time) as month_start, avg(ntr_obs) as ntr_obs_mean, stddev_pop(ntr_obs) as ntr_obs_std, max(ntr_obs) as ntr_obs_max
+from {tg_daily_ntr} group by 1, 2""")
+def _(t):
+    return E.calendar_months(t("tg_daily_ntr"), ["ntr_obs"])
+
+
+@query("climatological_variance_error_C04", "port:int month:int std_err:d", f"select port, month, ntr_mod_std - ntr_obs_std as std_err from ({CLIM})")
+def _(t):
+    return E.climatology_error(E.month_climatology(t("tg_daily_ntr"), ["ntr_obs", "ntr_mod"]))
+
+
+# ---- thresholds -------------------------------------------------------------------------
+def over(source: str, columns: dict[str, str], op: str = ">=") -> str:
+    counts = ", ".join(f"count(*) filter ({c} {op} h.threshold) as {n}" for n, c in columns.items())
+    return f"select s.port, h.threshold, {counts} from ({source}) s cross join {LEVEL_SQL} h group by s.port, h.threshold"
+
+
+BOTH = {"n_obs": "ntr_obs", "n_mod": "ntr_mod"}
+COUNT_SPEC = "port:int threshold:d n_obs:long n_mod:long"
+
+
+@query("threshold_daily_maxima_A18", COUNT_SPEC, over(
+    "select port, date_trunc('day', time) as d, max(ntr_obs) as ntr_obs, max(ntr_mod) as ntr_mod from {tg_ntr} group by 1, 2", BOTH))
+def _(t):
+    return H.exceedance(H.period_maxima(t("tg_ntr"), ["ntr_obs", "ntr_mod"], "day"), BOTH, LEVELS)
+
+
+@query("threshold_monthly_maxima_A18", COUNT_SPEC, over(
+    "select port, date_trunc('month', time) as d, max(ntr_obs) as ntr_obs, max(ntr_mod) as ntr_mod from {tg_daily_ntr} group by 1, 2", BOTH))
+def _(t):
+    return H.exceedance(H.period_maxima(t("tg_daily_ntr"), ["ntr_obs", "ntr_mod"], "month"), BOTH, LEVELS)
+
+
+HOURS = over("select * from {tg_ntr}", BOTH)
+
+
+def hours_over(t):
+    return H.exceedance(t("tg_ntr"), BOTH, LEVELS)
+
+
+@query("threshold_hours_A19", COUNT_SPEC, HOURS)
+def _(t):
+    return hours_over(t)
+
+
+@query("threshold_ratios_A22", "port:int threshold:d proportion:d", f"select port, threshold, cast(n_mod as double) / nullif(n_obs, 0) as proportion from ({HOURS})")
+def _(t):
+    return H.threshold_ratios(hours_over(t), {"proportion": ("n_mod", "n_obs")})
+
+
+@query("threshold_curves_A22", "threshold:d mean_n_obs:d mean_n_mod:d proportion:d", f"""
+select threshold, avg(n_obs) as mean_n_obs, avg(n_mod) as mean_n_mod, cast(sum(n_mod) as double) / nullif(cast(sum(n_obs) as double), 0) as proportion from ({HOURS}) group by threshold""")
+def _(t):
+    return H.threshold_curves(hours_over(t), ["n_obs", "n_mod"], {"proportion": ("n_mod", "n_obs")})
+
+
+# ---- smoothing --------------------------------------------------------------------------
+GRID = """select g.port, g.time, g.i, g.n, e.ssh_obs, e.ssh_mod, e.ssh from
+(select port, n, unnest(range(0, n)) as i, t0 + unnest(range(0, n)) * interval 1 hour as time from
+ (select port, min(time) as t0, cast(datediff('hour', min(time), max(time)) + 1 as bigint) as n from {tg_dense} group by port)) g
+left join {tg_dense} e on e.port = g.port and e.time = g.time"""
+
+
+def smooth_sql(window: int, order: int, column: str) -> str:
+    half = window // 2
+    centre, leading = R.smoothing_weights(window, order)
+    terms = " + ".join(
+        (f"v * ({c!r}::double)" if k == half else f"{'lead' if k > half else 'lag'}(v, {abs(k - half)}) over w * ({c!r}::double)")
+        for k, c in enumerate(centre))
+    rows = "[" + ", ".join("[" + ", ".join(f"{c!r}::double" for c in row) + "]" for row in leading) + "]"
+    ends = []
+    for place, i in (("i", "p"), ("n - 1 - i", "n - 1 - p")):
+        ends.append(f"""select port, {i} as i, case when c = {window} then s end as v from (select port, n, p, count(v) as c, sum(v * ({rows})[p + 1][{place} + 1]) as s
+ from g cross join (select unnest(range(0, {half})) as p) where {place} < {window} and n >= {window} group by port, n, p)""")
+    return f"""(with g as (select port, i, n, {column} as v from ({GRID})),
+ inner_part as (select port, i, n, {terms} as v from g window w as (partition by port order by i))
+ select port, i, v from inner_part where i >= {half} and i < n - {half} union all {ends[0]} union all {ends[1]})"""
+
+
+@query("smoothing_W03", "port:int i:long ssh:d", f"select port, i, v as ssh from {smooth_sql(25, 3, 'ssh')}")
+def _(t):
+    return R.smooth(slots.regular_hours(t("tg_dense")), "ssh")
+
+
+# ---- tides ------------------------------------------------------------------------------
+@query("harmonic_fit_one_constituent_W04", "port:int constituent:s a:d g:d", f"""
+with b as (select port, ssh_obs as y, cos(w) as c, sin(w) as s from (select port, ssh_obs, radians((epoch_us(time) / 3600000000.0E0 * {A.SPEEDS['M2']}E0) % 360.0E0) as w
+           from {{tg_dense}} where ssh_obs is not null)),
+m as (select port, covar_pop(c, c) as cc, covar_pop(s, s) as ss, covar_pop(c, s) as cs, covar_pop(c, y) as cy, covar_pop(s, y) as sy from b group by port),
+r as (select port, (cy * ss - sy * cs) / (cc * ss - cs * cs) as p, (sy * cc - cy * cs) / (cc * ss - cs * cs) as q from m)
+select port, 'M2' as constituent, sqrt(p * p + q * q) as a, ((degrees(atan2(q, p)) % 360.0E0) + 360.0E0) % 360.0E0 as g from r""")
+def _(t):
+    return A.harmonic_fit(t("tg_dense"), "ssh_obs", constituents=["M2"], trend=False)
+
+
+@query("harmonic_fit_W04", "port:int constituent:s a:d g:d")
+def _(t):
+    return A.harmonic_fit(t("tg_dense"), "ssh_obs", minimum=100)
+
+
+BANDS = {"all": A.CONSTITUENTS, "semidiurnal": A.SEMIDIURNAL, "diurnal": A.DIURNAL}
+
+
+def tide_sql(side: str) -> str:
+    speeds = "case constituent " + " ".join(f"when '{c}' then {A.SPEEDS[c]}E0" for c in A.CONSTITUENTS) + " end"
+    names = {b: ", ".join(f"'{c}'" for c in m) for b, m in BANDS.items()}
+    one = f"f.a * cos(radians((epoch_us(e.time) / 3600000000.0E0 * {speeds}) % 360.0E0) - radians(f.g))"
+    return (f"select e.port, e.time, " + ", ".join(f"sum(case when f.constituent in ({n}) then {one} end) as {b}" for b, n in names.items())
+            + f" from {{tg_extract}} e left join (select * from {{tide_fit_a}} where source = '{side}') f on f.port = e.port group by e.port, e.time")
+
+
+TIDES = f"""select e.port, e.time, e.ssh_obs, e.ssh_mod, o.diurnal as tide_obs_diurnal, o.semidiurnal as tide_obs_semidiurnal, o."all" as tide_obs_all,
+ m.diurnal as tide_mod_diurnal, m.semidiurnal as tide_mod_semidiurnal, m."all" as tide_mod_all
+ from {{tg_extract}} e join ({tide_sql('obs')}) o on o.port = e.port and o.time = e.time join ({tide_sql('mod')}) m on m.port = e.port and m.time = e.time"""
+TIDES = TIDES.replace('as all from', 'as "all" from')
+
+
+def tides(t):
+    return A.reconstruct(t("tg_extract"), t("tide_fit_a"))
+
+
+@query("tide_reconstruction_W05", "port:int time:t tide_obs_all:d tide_obs_semidiurnal:d tide_obs_diurnal:d tide_mod_all:d tide_mod_semidiurnal:d tide_mod_diurnal:d",
+       TIDES.replace("as all", 'as "all"'))
+def _(t):
+    return tides(t)
+
+
+@query("tide_error_series_W06", "port:int time:t band:s tide_obs:d tide_mod:d tide_err:d tide_abs_err:d tide_square_err:d", " union all ".join(
+    f"""select port, time, '{b}' as band, tide_obs_{b} as tide_obs, tide_mod_{b} as tide_mod, tide_mod_{b} - tide_obs_{b} as tide_err,
+ abs(tide_mod_{b} - tide_obs_{b}) as tide_abs_err, pow(tide_mod_{b} - tide_obs_{b}, 2) as tide_square_err from ({TIDES})""" for b in BANDS).replace("as all", 'as "all"'))
+def _(t):
+    return A.tide_bands(tides(t))
+
+
+@query("non_tidal_residual_W07", "port:int time:t ntr_obs:d ntr_mod:d ntr_err:d ntr_abs_err:d ntr_square_err:d", f"""
+select port, time, o as ntr_obs, m as ntr_mod, m - o as ntr_err, abs(m - o) as ntr_abs_err, pow(m - o, 2) as ntr_square_err from
+(select port, time, ssh_obs - tide_obs_all as o, ssh_mod - tide_mod_all as m from ({TIDES}))""".replace("as all", 'as "all"'))
+def _(t):
+    return R.with_residual(tides(t).withColumnsRenamed({"tide_obs_all": "tide_obs", "tide_mod_all": "tide_mod"}))
+
+
+@query("smoothed_residual_W07", "port:int i:long ntr_obs:d ntr_mod:d ntr_err:d", f"""
+select o.port, o.i, o.v as ntr_obs, m.v as ntr_mod, m.v - o.v as ntr_err from {smooth_sql(9, 2, 'ssh_obs')} o
+join {smooth_sql(9, 2, 'ssh_mod')} m on m.port = o.port and m.i = o.i""")
+def _(t):
+    hours = slots.regular_hours(t("tg_dense")).withColumnsRenamed({"ssh_obs": "ntr_obs", "ssh_mod": "ntr_mod"})
+    return R.smooth_residual(hours, window=9, order=2)
+
+
+@query("constituent_lookup_J14", "port:int constituent:s a_obs:d a_mod:d a_err:d g_err:d", """
+select p.port, c.constituent, t.a_obs, t.a_mod, t.a_mod - t.a_obs as a_err, (((t.g_mod - t.g_obs + 180.0E0) % 360.0E0) + 360.0E0) % 360.0E0 - 180.0E0 as g_err
+from (select distinct port from {tide_pair_a}) p cross join (select unnest(['M2', 'S2', 'K1', 'O1']) as constituent) c
+left join {tide_pair_a} t on t.port = p.port and t.constituent = c.constituent""")
+def _(t):
+    return A.lookup_constituents(A.constituent_table(t("tide_fit_a")), ["M2", "S2", "K1", "O1"])
+
+
+@query("record_length_sweep_W09", "port:int length:int constituent:s a:d g:d")
+def _(t):
+    return A.record_length_sweep(slots.regular_hours(t("tg_dense")), "ssh", [25, 225, 425, 625, 720])
+
+
+@query("taylor_stats_A33", "constituent:s rms_obs:d rms_mod:d rms_err:d r:d n:long", """
+select constituent, sqrt(avg(xo * xo + yo * yo)) as rms_obs, sqrt(avg(xm * xm + ym * ym)) as rms_mod, sqrt(avg(pow(xo - xm, 2) + pow(yo - ym, 2))) as rms_err,
+       avg(xo * xm + yo * ym) / (sqrt(avg(xo * xo + yo * yo)) * sqrt(avg(xm * xm + ym * ym))) as r, count(*) as n from
+(select constituent, a_obs * cos(radians(g_obs)) as xo, a_obs * sin(radians(g_obs)) as yo, a_mod * cos(radians(g_mod)) as xm, a_mod * sin(radians(g_mod)) as ym from {tide_pair_a})
+group by constituent""")
+def _(t):
+    return A.taylor_stats(A.constituent_table(t("tide_fit_a")))
+
+
+# ---- peaks ------------------------------------------------------------------------------
+def peaks_sql(source: str, column: str, distance: int) -> str:
+    """Greedy choice, highest first: a list of kept positions grows peak by peak."""
+    return f"""(with c as (select port, i, v from (select port, i, {column} as v, lag({column}) over w as b, lead({column}) over w as f from ({source}) window w as (partition by port order by i)) where v > b and v > f),
+ kept as (select port, list_reduce(list([i] order by v desc, i), lambda k, x: case when len(list_filter(k, lambda y: abs(y - x[1]) < {distance})) = 0 then list_concat(k, x) else k end) as k from c group by port)
+ select c.port, c.i, c.v from c join kept on kept.port = c.port where list_contains(kept.k, c.i))"""
+
+
+@query("peaks_W02", "port:int i:long ssh:d", f"select port, i, v as ssh from {peaks_sql(GRID, 'ssh', 12)}")
+def _(t):
+    return K.find_peaks(slots.regular_hours(t("tg_dense")), "ssh", 12)
+
+
+@query("threshold_peaks_A20", "port:int threshold:d n_obs:long", over(f"select port, v as ssh_obs from {peaks_sql(GRID, 'ssh_obs', 12)}", {"n_obs": "ssh_obs"}))
+def _(t):
+    return H.exceedance(K.find_peaks(slots.regular_hours(t("tg_dense")), "ssh_obs", 12), {"n_obs": "ssh_obs"}, LEVELS)
+
+
+@query("threshold_peaks_strict_A20", "port:int threshold:d n_obs:long", over(f"select port, v as ssh_obs from {peaks_sql(GRID, 'ssh_obs', 12)}", {"n_obs": "ssh_obs"}, ">"))
+def _(t):
+    return H.exceedance(K.find_peaks(slots.regular_hours(t("tg_dense")), "ssh_obs", 12), {"n_obs": "ssh_obs"}, LEVELS, strict=True)
+
+
+# A tide-like curve for the skew surge: a smooth function of the hour, different per side.
+TIDE_OBS = "1.0E0 + cos(radians(i * 28.9841042E0)) * 0.7E0 + i * 1.0E-7"
+TIDE_MOD = "1.0E0 + cos(radians(i * 28.9841042E0 - 25.0E0)) * 0.65E0 + i * 1.0E-7"
+SKEW_GRID = f"select port, time, i, n, ssh as ssh_obs, coalesce(ssh_mod, 0.4E0 + 0.0001E0 * (i % 7)) as ssh_mod, {TIDE_OBS} as tide_obs, {TIDE_MOD} as tide_mod from ({GRID})"
+
+
+def skew_side(side: str) -> str:
+    return f"""(select t.port, t.i, max(s.v) - any_value(t.v) as skew from {peaks_sql(SKEW_GRID, f'tide_{side}', 9)} t
+ left join {peaks_sql(SKEW_GRID, f'ssh_{side}', 9)} s on s.port = t.port and abs(s.i - t.i) < 6 group by t.port, t.i)"""
+
+
+SKEW = f"""
+with o as {skew_side('obs')}, m as {skew_side('mod')},
+e as (select port, min(i) as i0, max(i) as i1 from m group by port),
+near as (select o.port, o.i, first(m.skew order by abs(m.i - o.i), m.i) as skew_mod from o join m on m.port = o.port join e on e.port = o.port where o.i between e.i0 and e.i1 group by o.port, o.i)
+select o.port, g.time, o.skew as skew_obs, near.skew_mod, near.skew_mod - o.skew as skew_err from o join ({GRID}) g on g.port = o.port and g.i = o.i
+left join near on near.port = o.port and near.i = o.i"""
+
+
+def skew(t):
+    i = F.col("i")
+    hours = slots.regular_hours(t("tg_dense")).withColumns({
+        "ssh_obs": F.col("ssh"), "ssh_mod": F.coalesce("ssh_mod", F.lit(0.4) + F.lit(0.0001) * (i % 7)),
+        "tide_obs": F.lit(1.0) + F.cos(F.radians(i * F.lit(28.9841042))) * 0.7 + i * F.lit(1.0e-7),
+        "tide_mod": F.lit(1.0) + F.cos(F.radians(i * F.lit(28.9841042) - 25.0)) * 0.65 + i * F.lit(1.0e-7)})
+    return gauge_validation.skew_surges(hours)
+
+
+@query("skew_surge_W08", "port:int time:t skew_obs:d skew_mod:d skew_err:d", SKEW)
+def _(t):
+    return skew(t)
+
+
+@query("threshold_skew_A21", "port:int threshold:d n_obs:long n_mod:long", over(SKEW, {"n_obs": "skew_obs", "n_mod": "skew_mod"}))
+def _(t):
+    return H.exceedance(skew(t), {"n_obs": "skew_obs", "n_mod": "skew_mod"}, LEVELS)
+
+
+@query("highest_within_six_hours_J15", "port:int time:t ssh_mod:d", """
+select a.port, a.time, max(b.ssh_mod) as ssh_mod from (select port, time from {tg_extract} where ssh_obs > 0.8) a
+left join {tg_extract} b on b.port = a.port and abs(epoch_us(b.time) - epoch_us(a.time)) < 21600000000 group by a.port, a.time""")
+def _(t):
+    e = t("tg_extract")
+    return T.highest_within(e.filter("ssh_obs > 0.8").select("port", "time"), e, "ssh_mod", ["port"])
+
+
+@query("nearest_time_transfer_J16", "port:int time:t ssh_mod:d", """
+with m as (select port, time, ssh_mod from {tg_extract} where ssh_mod > 0.6), o as (select port, time from {tg_extract} where ssh_obs is not null),
+e as (select port, min(time) as a, max(time) as b from m group by port)
+select o.port, o.time, case when o.time between any_value(e.a) and any_value(e.b) then first(m.ssh_mod order by abs(epoch_us(m.time) - epoch_us(o.time)), m.time) end as ssh_mod
+from o join m on m.port = o.port join e on e.port = o.port group by o.port, o.time""")
+def _(t):
+    e = t("tg_extract")
+    return T.transfer_nearest(e.filter("ssh_mod > 0.6").select("port", "time", "ssh_mod"), e.filter("ssh_obs is not null"), "ssh_mod", ["port"])
+
+
+@query("gauge_validation_end_to_end", "port:int season:s ssh_std_err:d ntr_mae:d ntr_rmse:d ntr_corr:d n:long")
+def _(t):
+    return gauge_validation.gauge_scores(t("tg_dense").drop("ssh"), minimum=100)
