@@ -9,6 +9,7 @@ from catalog.base import query
 from catalog.gauges import stats_sql
 from soundings.operators import bias as B, compare as P, error as E, spatial as G, tide as A
 from soundings.functions import scalars as S
+from soundings.plans import bias_angle
 
 KEYS = ("region", "season", "time", "lat", "lon", "z")
 N_BOOT, SEED = 20, 42
@@ -85,8 +86,7 @@ join ({DRAWN}) d on d.region = a.region and d.season = a.season and d.profile_id
 
 
 def drawn(t):
-    a = angles(t)
-    return a, B.poisson_weights(a, N_BOOT, SEED, ["region", "season"])
+    return bias_angle.angles_and_weights(t("profile_error_a"), t("profile_error_b"), T_DIFF, N_BOOT, SEED)
 
 
 @query("bootstrap_histogram_A31", "region:s season:s rep:int bin:int frequency:long",
@@ -116,8 +116,7 @@ def _(t):
 select region, season, rep, n as draws, n as profiles from (select region, season, count(distinct profile_id) as n from ({ALIGNED}) group by region, season)
 cross join (select unnest(range(0, {N_BOOT})) as rep)""")
 def _(t):
-    a = angles(t)
-    w = B.multinomial_weights(a, N_BOOT, SEED, ["region", "season"])
+    a, w = bias_angle.angles_and_weights(t("profile_error_a"), t("profile_error_b"), T_DIFF, N_BOOT, SEED, "multinomial")
     sizes = a.groupBy("region", "season").agg(F.count_distinct("profile_id").alias("profiles"))
     return w.groupBy("region", "season", "rep").agg(F.sum("weight").alias("draws")).join(sizes, ["region", "season"])
 
@@ -135,9 +134,7 @@ select region, season, bin, avg(f) as mean, quantile_cont(f, {QS}) as q from
        "select region, season, bin, mean, " + ", ".join(f"q[{i + 1}] as {n}" for i, n in enumerate(("q02", "q05", "q25", "q50", "q75", "q95", "q98")))
        + f" from ({SUMMARY})")
 def _(t):
-    a, w = drawn(t)
-    bins = B.all_bins(a, ["region", "season"], 100)
-    s = B.summarise_replicates(B.bootstrap_histogram(a, "angle", w), "frequency", ["region", "season", "bin"], N_BOOT, bins)
+    s = bias_angle.bootstrapped_histogram(t("profile_error_a"), t("profile_error_b"), T_DIFF, N_BOOT, SEED)
     return s.select("region", "season", "bin", "mean", *[F.element_at("q", i + 1).alias(n) for i, n in enumerate(("q02", "q05", "q25", "q50", "q75", "q95", "q98"))])
 
 

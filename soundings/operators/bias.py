@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from soundings.functions.scalars import QUANTILES, bias_angle, bin_centre, histogram_bin, ratio
 from soundings.operators.quantiles import BINS, _bin, _locate, select_ranks
+from soundings.session import cut_lineage
 
 HALF_PI = math.pi / 2
 PLACE = ("time", "lat", "lon")
@@ -139,23 +140,21 @@ def bootstrap_median(df: DataFrame, value: str, weights: DataFrame, keys=("regio
     keys = list(keys)
     rows = df.filter(F.col(value).isNotNull()).select(*keys, key, F.col(value).alias("_v"))
     ends = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    placed = rows.join(ends, keys).withColumn("_b1", _bin(F.col("_v"), F.col("_lo"), F.col("_hi"), bins)).drop("_lo", "_hi")
-    counts = placed.groupBy(*keys, key, "_b1").agg(F.count(F.lit(1)).alias("_c"))
-    per_rep = counts.join(weights, [*keys, key]).groupBy(*keys, "rep", "_b1").agg(
-        F.sum(F.col("_c") * F.col("weight")).alias("_w"))
+    placed = rows.join(ends, keys).withColumn("_shared", _bin(F.col("_v"), F.col("_lo"), F.col("_hi"), bins)).drop("_lo", "_hi")
+    counts = placed.groupBy(*keys, key, "_shared").agg(F.count(F.lit(1)).alias("_c"))
     by = [*keys, "rep"]
+    per_rep = cut_lineage(counts.join(weights, [*keys, key]).groupBy(*by, "_shared").agg(
+        F.sum(F.col("_c") * F.col("weight")).alias("_w")))
     ranks = per_rep.groupBy(*by).agg(F.sum("_w").alias("_n")).select(
         *by, F.explode(F.array_distinct(F.array(F.expr("(_n - 1) div 2"), F.expr("_n div 2")))).alias("rank")).withColumn("_rest", F.col("rank"))
-    hits = _locate(per_rep, by, ranks, by, "_b1")
+    hits = cut_lineage(_locate(per_rep, by, ranks, by, "_shared").select(*by, "_shared", F.col("_rest").alias("rank")))
 
-    near = placed.join(hits.select(*keys, "_b1").distinct(), [*keys, "_b1"])
-    asked = hits.select(*keys, "_b1", "rep").distinct()
-    repeated = near.join(asked, [*keys, "_b1"]).join(weights, [*keys, key, "rep"])
-    found = select_ranks(repeated, [*by, "_b1"], "_v", hits.select(*by, "_b1", F.col("_rest").alias("rank")), "weight")
-    return (
-        hits.select(*by, "_b1", F.col("_rest").alias("rank")).join(found, [*by, "_b1", "rank"])
-        .groupBy(*by).agg(F.avg("_v").alias("median"))
-    )
+    near = placed.join(hits.select(*keys, "_shared").distinct(), [*keys, "_shared"])
+    asked = hits.select(*keys, "_shared", "rep").distinct()
+    repeated = cut_lineage(near.join(asked, [*keys, "_shared"]).join(weights, [*keys, key, "rep"]).select(
+        *by, "_shared", "_v", "weight"))
+    found = select_ranks(repeated, [*by, "_shared"], "_v", hits, "weight")
+    return found.groupBy(*by).agg(F.avg("_v").alias("median"))
 
 
 def summarise_replicates(df: DataFrame, value: str, keys, n_boot: int, zero_fill: DataFrame | None = None,
@@ -174,7 +173,7 @@ def summarise_replicates(df: DataFrame, value: str, keys, n_boot: int, zero_fill
         rows = rows.unionByName(missing.filter("_f > 0"))
     probs = F.array(*[F.lit(float(p)) for p in probabilities])
     return rows.groupBy(*keys).agg(
-        ratio(F.sum(F.col("_x") * F.col("_f")), F.sum("_f")).alias("mean"), F.percentile("_x", probs, "_f").alias("q"))
+        ratio(F.sum(F.col("_x") * F.col("_f")), F.sum("_f")).alias("mean"), F.percentile("_x", probs, F.col("_f")).alias("q"))
 
 
 def box_summary(summary: DataFrame, keys) -> DataFrame:

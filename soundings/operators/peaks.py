@@ -40,7 +40,7 @@ def local_maxima(series: DataFrame, value: str, keys=("port",), time="time", slo
     return sharp.unionByName(flat)
 
 
-def _settle(keys: list[str], distance: int, slot_hours: int, reach: int):
+def _settle(columns: list[str], distance: int, slot_hours: int, reach: int):
     """Decide the peaks of one slot, highest first, as far as its margin allows."""
 
     def settle(batch: pd.DataFrame) -> pd.DataFrame:
@@ -61,32 +61,35 @@ def _settle(keys: list[str], distance: int, slot_hours: int, reach: int):
             state[at] = verdict
             verdicts.append(verdict)
         batch["_kept"] = np.array(verdicts, dtype=np.int32)
-        return batch.loc[batch["_own"], [*keys, "i", "_v", "_kept"]]
+        return batch.loc[batch["_own"], columns]
 
     return settle
 
 
-def separated(peaks: DataFrame, value: str, distance: int, keys=("port",), slot_hours: int = SLOT_HOURS) -> DataFrame:
+def separated(peaks: DataFrame, value: str, distance: int, keys=("port",), slot_hours: int = SLOT_HOURS,
+              reach: int | None = None) -> DataFrame:
     """Of peaks closer than ``distance`` hours only the highest stay (tie: the earlier).
 
     Taken from the highest down: a peak stays unless a higher peak that stays is too near.
-    The series is cut into slots with a margin.  A verdict that depends on something
-    beyond the margin is left open and taken up in a further round, in which the peaks
-    already kept count from the start, so the result is the one of the whole series.
+    The series is cut into slots with a margin of ``reach`` hours.  A verdict that depends
+    on something beyond the margin is left open and taken up in a further round, in which
+    the peaks already kept count from the start, so the result is the one of the whole
+    series.  Each round is written to the shared folder; nearly always there is one.
     """
     keys = list(keys)
-    reach = min(slot_hours, 16 * distance)
-    open_rows = peaks.select(*keys, "i", F.col(value).cast("double").alias("_v"), F.lit(2).alias("_kept"))
-    fields = {f.name: f.dataType.simpleString() for f in open_rows.schema.fields}
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in [*keys, "i", "_v", "_kept"])
+    reach = min(slot_hours, 16 * distance) if reach is None else reach
+    if reach < distance or slot_hours < reach:
+        raise ValueError("need distance <= reach <= slot_hours")
+    open_rows = peaks.withColumn("_v", F.col(value).cast("double")).withColumn("_kept", F.lit(2))
+    columns = open_rows.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in open_rows.schema.fields)
     while True:
         settled = cut_lineage(
             with_margin(open_rows, "i", slot_hours, reach).groupBy(*keys, "_slot")
-            .applyInPandas(_settle(keys, distance, slot_hours, reach), schema).filter("_kept > 0"))
+            .applyInPandas(_settle(columns, distance, slot_hours, reach), schema).filter("_kept > 0"))
         if settled.filter("_kept = 2").isEmpty():
-            break
+            return settled.drop("_v", "_kept")
         open_rows = settled
-    return peaks.join(settled.select(*keys, "i"), [*keys, "i"], "left_semi")
 
 
 def find_peaks(series: DataFrame, value: str, distance: int, keys=("port",), time="time") -> DataFrame:

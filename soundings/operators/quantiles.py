@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from soundings.session import cut_lineage
+
 BINS = 512
 
 
@@ -38,31 +40,27 @@ def select_ranks(df: DataFrame, keys: list[str], value: str, ranks: DataFrame, w
     w = F.col(weight) if weight else F.lit(1)
     rows = df.select(*keys, F.col(value).alias("_v"), w.cast("long").alias("_wt")).filter(
         F.col("_v").isNotNull() & (F.col("_wt") > 0))
-    ends = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
 
-    def count_bins(data, by, part):
-        return data.withColumn(part, _bin(F.col("_v"), F.col("_lo"), F.col("_hi"), bins)).groupBy(*by, part).agg(
+    def count_parts(data, by, part):
+        return data.groupBy(*by, part).agg(
             F.sum("_wt").alias("_w"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
 
-    level1 = rows.join(ends, keys)
+    def place(data, part):
+        return data.withColumn(part, _bin(F.col("_v"), F.col("_lo"), F.col("_hi"), bins)).drop("_lo", "_hi")
+
+    # Ranges and hits hold a few rows per group; written, they keep the input at four readings.
+    ends = cut_lineage(rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+    level1 = place(rows.join(ends, keys), "_b1")
     todo = ranks.select(*keys, "rank").distinct().withColumn("_rest", F.col("rank"))
-    hit1 = _locate(count_bins(level1, keys, "_b1"), keys, todo, keys, "_b1")
+    hit1 = cut_lineage(_locate(count_parts(level1, keys, "_b1"), keys, todo, keys, "_b1"))
 
-    open1 = hit1.select(*keys, "_b1", F.col("_lo").alias("_lo2"), F.col("_hi").alias("_hi2")).distinct()
-    level2 = (
-        level1.withColumn("_b1", _bin(F.col("_v"), F.col("_lo"), F.col("_hi"), bins)).drop("_lo", "_hi")
-        .join(open1, [*keys, "_b1"]).withColumnsRenamed({"_lo2": "_lo", "_hi2": "_hi"})
-    )
-    hit2 = _locate(count_bins(level2, [*keys, "_b1"], "_b2"), [*keys, "_b1"],
-                   hit1.drop("_lo", "_hi"), [*keys, "_b1"], "_b2")
-
-    open2 = hit2.select(*keys, "_b1", "_b2").distinct()
-    by = [*keys, "_b1", "_b2"]
-    last = (
-        level2.withColumn("_b2", _bin(F.col("_v"), F.col("_lo"), F.col("_hi"), bins))
-        .join(open2, by).groupBy(*by, "_v").agg(F.sum("_wt").alias("_w"))
-    )
-    hit3 = _locate(last, by, hit2.drop("_lo", "_hi"), by, "_v")
+    by1 = [*keys, "_b1"]
+    level2 = place(level1.join(hit1.select(*by1, "_lo", "_hi").distinct(), by1), "_b2")
+    hit2 = cut_lineage(_locate(count_parts(level2, by1, "_b2"), by1, hit1.drop("_lo", "_hi"), by1, "_b2").drop("_lo", "_hi"))
+
+    by2 = [*by1, "_b2"]
+    last = level2.join(hit2.select(*by2).distinct(), by2).groupBy(*by2, "_v").agg(F.sum("_wt").alias("_w"))
+    hit3 = _locate(last, by2, hit2, by2, "_v")
     return hit3.select(*keys, "rank", F.col("_v").alias(value))
 
 
@@ -70,17 +68,19 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities, w
                     bins: int = BINS) -> DataFrame:
     """(keys, q, value, n): linear interpolation between order statistics, NULL skipped.
 
-    ``n`` is the number (weight) of values in the group.
+    ``n`` is the number (weight) of values in the group.  The input is read once per step,
+    so one that is costly to derive is better written (or ``cut_lineage``) first.
     """
     w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     counted = df.filter(F.col(value).isNotNull() & (w > 0)).groupBy(*keys).agg(F.sum(w).alias("n"))
-    asked = counted.withColumn("q", F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))).withColumn(
-        "_h", (F.col("n") - 1) * F.col("q"))
-    asked = asked.withColumn("_k", F.floor("_h").cast("long")).withColumn("_part", F.col("_h") - F.col("_k"))
-    pair = asked.select(*keys, "q", "n", "_part", F.explode(F.array(
+    position = (F.col("n") - 1) * F.col("q")
+    asked = (
+        counted.withColumn("q", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
+        .withColumn("_k", F.floor(position).cast("long")).withColumn("_part", position - F.col("_k"))
+    )
+    pair = asked.select(*keys, "q", "n", "_part", F.inline(F.array(
         F.struct(F.col("_k").alias("rank"), F.lit(False).alias("upper")),
-        F.struct(F.least(F.col("_k") + 1, F.col("n") - 1).alias("rank"), F.lit(True).alias("upper")))).alias("_e"))
-    pair = pair.select(*keys, "q", "n", "_part", F.col("_e.rank").alias("rank"), F.col("_e.upper").alias("upper"))
+        F.struct(F.least(F.col("_k") + 1, F.col("n") - 1).alias("rank"), F.lit(True).alias("upper")))))
     got = select_ranks(df, keys, value, pair.select(*keys, "rank"), weight, bins)
     low = F.max(F.when(~F.col("upper"), F.col(value)))
     high = F.max(F.when(F.col("upper"), F.col(value)))
@@ -92,8 +92,14 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities, w
 
 
 def region_quantiles(df: DataFrame, variable: str, probabilities, keys=("region", "season"), z="z") -> DataFrame:
-    """Quantiles per level and over all levels (z NULL): (keys, z, variable, q, value, n)."""
-    per_level = exact_quantiles(df, [*keys, z], variable, probabilities)
-    overall = exact_quantiles(df, list(keys), variable, probabilities).withColumn(z, F.lit(None).cast("int"))
-    return per_level.unionByName(overall).select(
-        *keys, z, F.lit(variable).alias("variable"), "q", F.col(variable).alias("value"), "n")
+    """Quantiles per level and over all levels (z NULL): (keys, z, variable, q, value, n).
+
+    Every value counts for its level and for "all"; both are found in the same passes over
+    the three columns needed, which are written once.
+    """
+    every = -1  # levels are numbered from 0
+    narrow = cut_lineage(df.filter(F.col(variable).isNotNull()).select(*keys, z, variable))
+    twice = narrow.withColumn(z, F.explode(F.array(F.col(z).cast("int"), F.lit(every))))
+    return exact_quantiles(twice, [*keys, z], variable, probabilities).select(
+        *keys, F.when(F.col(z) != every, F.col(z)).alias(z), F.lit(variable).alias("variable"), "q",
+        F.col(variable).alias("value"), "n")

@@ -41,11 +41,8 @@ def gauge_scores(extract: DataFrame, minimum: int = 4380, smoothed: bool = False
 
 def skew_surges(hours: DataFrame, distance: int = 9) -> DataFrame:
     """Skew surges of regular series holding ssh and tide of both sides."""
-    def side(name, prefix):
-        column = f"{prefix}_{name}"
-        return find_peaks(hours, column, distance).select(
-            "port", "time", F.lit(name).alias("source"), F.col(column).alias(prefix))
-
-    tide = side("obs", "tide").unionByName(side("mod", "tide"))
-    sea = side("obs", "ssh").unionByName(side("mod", "ssh"))
-    return skew_surge(tide, sea)
+    long = hours.select("port", "time", "i", F.inline(F.array(*[
+        F.struct(F.lit(s).alias("source"), F.col(f"tide_{s}").alias("tide"), F.col(f"ssh_{s}").alias("ssh"))
+        for s in ("obs", "mod")])))
+    by = ("port", "source")
+    return skew_surge(find_peaks(long, "tide", distance, by), find_peaks(long, "ssh", distance, by))

@@ -3,8 +3,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -41,15 +42,17 @@ def shared_folder(spark: SparkSession) -> str:
         if not folder:
             folder = tempfile.mkdtemp(prefix="soundings-")
             spark.sparkContext._soundings_folder = folder
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def cut_lineage(df):
-    """Materialise ``df`` reliably in the shared folder and forget how it was made.
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
 
-    A lost executor then costs a re-read, not a re-run of earlier rounds.
+    Later steps then start from files: a lost executor costs a re-read, not a re-run, a
+    table read several times is computed once, and its size on disk lets Spark judge
+    whether a join may broadcast it.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/stages/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
