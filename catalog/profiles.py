@@ -9,6 +9,7 @@ from soundings.functions import scalars as S
 from soundings.operators import (clean as C, crps as K, error as E, matchup as M, quantiles as Q, spatial as G,
                                  surface as U, timejoin as T, vertical as V)
 from soundings.plans import profile_validation
+from soundings.session import cut_lineage
 
 VARS = ["temperature", "salinity"]
 RADIUS = 60.0
@@ -22,7 +23,8 @@ where abs(epoch_us(m.t) - epoch_us(h.time)) <= {LAG}000000"""
 
 
 def matchup(t):
-    return M.match_profiles(t("profile_header"), t("grid_cell"), t("grid_field").select("t").distinct(), RADIUS, LAG)
+    return cut_lineage(
+        M.match_profiles(t("profile_header"), t("grid_cell"), t("grid_field").select("t").distinct(), RADIUS, LAG))
 
 
 # ---- matchup ----------------------------------------------------------------------------

@@ -17,43 +17,41 @@ def bracket(wanted: DataFrame, known: DataFrame, keys: list[str], axis: str, val
     ``known`` has one row per (keys, axis).  Both structs hold ``axis`` and ``values``; a
     point exactly at the position is both.  NULL where no such point exists.  NULL keys
     are not expected.
+
+    Wanted and known points travel in one column, so that the slot summary and the search
+    need the same columns and share one shuffle: the inputs are computed once.
     """
     slot = F.floor(F.col(axis) / F.lit(slot_width)).cast("long")
-    point = F.struct(F.col(axis), *[F.col(v) for v in values])
-    kind = known.select(point.alias("p")).schema["p"].dataType
+    types = {f.name: f.dataType for f in known.schema.fields}
     asked = (
-        wanted.filter(F.col(axis).isNotNull()).select(*keys, axis).distinct()
-        .select(*keys, F.col(axis), F.lit(None).cast(kind).alias("_point"), F.lit(True).alias("_asked"))
+        wanted.filter(F.col(axis).isNotNull()).select(*keys, F.col(axis).cast(types[axis]).alias(axis)).distinct()
+        .select(*keys, slot.alias("_slot"), F.struct(
+            F.col(axis), *[F.lit(None).cast(types[v]).alias(v) for v in values], F.lit(True).alias("_asked")).alias("_p"))
     )
     given = known.filter(F.col(axis).isNotNull()).select(
-        *keys, F.col(axis), point.alias("_point"), F.lit(False).alias("_asked")
-    )
-    rows = asked.unionByName(given).withColumn("_slot", slot)
+        *keys, slot.alias("_slot"), F.struct(F.col(axis), *[F.col(v) for v in values], F.lit(False).alias("_asked")).alias("_p"))
+    rows = asked.unionByName(given).repartition(*keys, "_slot")
+    point = F.when(~F.col("_p._asked"), F.col("_p"))
 
-    edges = rows.groupBy(*keys, "_slot").agg(
-        F.min("_point").alias("_first"), F.max("_point").alias("_last")
-    )
+    edges = rows.groupBy(*keys, "_slot").agg(F.min(point).alias("_first"), F.max(point).alias("_last"))
     up = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     down = Window.partitionBy(*keys).orderBy(F.desc("_slot")).rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        edges.withColumn("_left", F.last("_last", ignorenulls=True).over(up))
-        .withColumn("_right", F.last("_first", ignorenulls=True).over(down))
-        .select(*keys, "_slot", F.explode(F.array("_left", "_right")).alias("_point"))
-        .filter(F.col("_point").isNotNull())
-        .select(*keys, F.col("_point").getField(axis).alias(axis), "_point",
-                F.lit(False).alias("_asked"), "_slot")
-    )
+    carried = edges.select(
+        *keys, "_slot", F.last("_last", ignorenulls=True).over(up).alias("_left"),
+        F.last("_first", ignorenulls=True).over(down).alias("_right"))
+
     here = Window.partitionBy(*keys, "_slot")
     # A descending sort with a growing frame is linear; a frame up to the end of the
     # partition would be quadratic.
-    back = here.orderBy(axis).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    forth = here.orderBy(F.desc(axis)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    back = here.orderBy("_x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    forth = here.orderBy(F.desc("_x")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        rows.unionByName(carried)
-        .withColumn("before", F.last("_point", ignorenulls=True).over(back))
-        .withColumn("after", F.last("_point", ignorenulls=True).over(forth))
-        .filter("_asked")
-        .select(*keys, axis, "before", "after")
+        rows.withColumn("_x", F.col(f"_p.`{axis}`"))
+        .withColumn("_b", F.last(point, ignorenulls=True).over(back))
+        .withColumn("_a", F.last(point, ignorenulls=True).over(forth))
+        .filter("_p._asked").join(carried, [*keys, "_slot"])
+        .select(*keys, F.col("_x").alias(axis), F.coalesce("_b", "_left").alias("before"),
+                F.coalesce("_a", "_right").alias("after"))
     )
 
 

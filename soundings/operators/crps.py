@@ -13,49 +13,48 @@ def neighbourhood_crps(obs: DataFrame, cells: DataFrame, field: DataFrame, varia
 
     ``obs`` has lon, lat, the model time ``t`` nearest to it and the observed variables;
     ``field`` has x, y, t and the model's.  Radius 0 stands for the nearest sea cell.  One
-    search at the largest radius serves all radii and variables.  The spread term
-    mean|xi - xj| / 2 comes from the ranks within the neighbourhood, whose size is bounded
-    by the grid.  ``land`` tells that a land cell lies within the radius.
+    search at the largest radius serves all radii and variables, and an observation meets
+    each model value once.  The spread term mean|xi - xj| / 2 comes from the ranks within
+    the neighbourhood.  ``land`` tells that a land cell lies within the radius.
+
+    The cells around one position are gathered in an array; the grid spacing bounds it.
     """
-    radii, reach = sorted(radii), max(radii)
-    near = neighbourhood(obs, cells, reach, salts)
-    best = near.groupBy("lon", "lat").agg(
+    radii = sorted(int(r) for r in radii)
+    rings = [r for r in radii if r > 0]
+    around = neighbourhood(obs, cells, max(radii), salts).groupBy("lon", "lat").agg(
+        F.collect_list(F.when(~F.col("land"), F.struct("dist_km", "x", "y"))).alias("_sea"),
         F.min(F.when(~F.col("land"), F.struct("dist_km", "x", "y"))).alias("_best"),
-        *[F.max(F.col("land") & (F.col("dist_km") <= r)).alias(f"_land_{r}") for r in radii if r > 0],
-    )
-    land_list = F.array(*[
-        F.struct(F.lit(int(r)).alias("radius_km"), (F.lit(False) if r == 0 else F.col(f"_land_{r}")).alias("land"))
-        for r in radii])
-    base = (
-        obs.filter(F.col("lon").isNotNull())
-        .unpivot([key, "lon", "lat", "t"], list(variables), "variable", "_y").filter(F.col("_y").isNotNull())
-        .join(best.select("lon", "lat", "_best", land_list.alias("_radii")), ["lon", "lat"])
-    )
-    rows_out = base.select(key, "variable", F.inline("_radii"))
+        F.array_compact(F.array(*[
+            F.when(F.max(F.col("land") & (F.col("dist_km") <= r)), F.lit(r)) for r in rings])).alias("_land"))
 
-    sea = near.filter(~F.col("land")).join(best.select("lon", "lat", "_best"), ["lon", "lat"])
-    is_best = (F.col("x") == F.col("_best.x")) & (F.col("y") == F.col("_best.y"))
-    members = [F.when(is_best if r == 0 else (F.col("dist_km") <= r), F.lit(int(r))) for r in radii]
-    ring = sea.select("lon", "lat", "x", "y", F.array_compact(F.array(*members)).alias("_in"))
+    def member(cell):
+        near = [F.when(cell["dist_km"] <= r, F.lit(r)) for r in rings]
+        if 0 in radii:
+            near.append(F.when((cell["x"] == F.col("_best.x")) & (cell["y"] == F.col("_best.y")), F.lit(0)))
+        return F.struct(cell["x"].alias("x"), cell["y"].alias("y"), F.array_compact(F.array(*near)).alias("_in"))
+
+    # One entry without a cell belongs to every radius, so that empty ones are reported.
+    nowhere = F.array(F.struct(F.lit(None).cast("int").alias("x"), F.lit(None).cast("int").alias("y"),
+                               F.array(*[F.lit(r) for r in radii]).alias("_in")))
+    ring = around.select("lon", "lat", "_land", F.concat(nowhere, F.transform("_sea", member)).alias("_cells"))
 
     model = field.unpivot(["x", "y", "t"], list(variables), "variable", "_x").filter(F.col("_x").isNotNull())
     ensemble = (
-        base.select(key, "lon", "lat", "t", "variable", "_y").join(ring, ["lon", "lat"])
-        .join(model, ["x", "y", "t", "variable"])
-        .select(key, "variable", F.explode("_in").alias("radius_km"), "_y", "_x")
+        obs.unpivot([key, "lon", "lat", "t"], list(variables), "variable", "_y").filter(F.col("_y").isNotNull())
+        .join(ring, ["lon", "lat"]).select(key, "t", "variable", "_y", "_land", F.inline("_cells"))
+        .join(model, ["x", "y", "t", "variable"], "left")
+        .select(key, "variable", F.explode("_in").alias("radius_km"), "_y", "_x", "_land")
     )
-    w = Window.partitionBy(key, "variable", "radius_km").orderBy("_x")
+    w = Window.partitionBy(key, "variable", "radius_km").orderBy(F.asc_nulls_last("_x"))
     scored = (
         ensemble.withColumn("_i", F.row_number().over(w)).groupBy(key, "variable", "radius_km")
-        .agg(F.count(F.lit(1)).alias("_n"), F.avg(F.abs(F.col("_x") - F.col("_y"))).alias("_miss"),
-             F.sum("_x").alias("_sx"), F.sum(F.col("_i") * F.col("_x")).alias("_six"))
-    )
-    spread = ratio(2 * F.col("_six") - (F.col("_n") + 1) * F.col("_sx"), F.col("_n") * F.col("_n"))
-    return (
-        rows_out.join(scored, [key, "variable", "radius_km"], "left")
-        .select(key, "variable", "radius_km", (F.col("_miss") - spread).alias("crps"),
-                F.coalesce("_n", F.lit(0)).cast("long").alias("n_points"), "land")
+        .agg(F.count("_x").alias("n_points"), F.avg(F.abs(F.col("_x") - F.col("_y"))).alias("_miss"),
+             F.sum("_x").alias("_sx"), F.sum(F.col("_i") * F.col("_x")).alias("_six"),
+             F.max(F.array_contains("_land", F.col("radius_km"))).alias("land"))
     )
+    n = F.col("n_points")
+    spread = ratio(2 * F.col("_six") - (n + 1) * F.col("_sx"), n * n)
+    return scored.select(key, "variable", "radius_km", (F.col("_miss") - spread).alias("crps"), "n_points", "land")
 
 
 def regional_crps(crps: DataFrame, membership: DataFrame, errors: DataFrame, key="profile_id") -> DataFrame:
