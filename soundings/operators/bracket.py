@@ -7,6 +7,8 @@ with one row per (key, slot).  No pairs are formed and no series is gathered who
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -15,8 +17,8 @@ def bracket(wanted: DataFrame, known: DataFrame, keys: list[str], axis: str, val
     """Distinct ``keys + [axis]`` of ``wanted`` with structs ``before`` and ``after``.
 
     ``known`` has one row per (keys, axis).  Both structs hold ``axis`` and ``values``; a
-    point exactly at the position is both.  NULL where no such point exists.  NULL keys
-    are not expected.
+    point exactly at the position is both.  NULL where no such point exists.  Rows
+    with NULL keys are left out.
 
     Wanted and known points travel in one column, so that the slot summary and the search
     need the same columns and share one shuffle: the inputs are computed once.
@@ -30,7 +32,9 @@ def bracket(wanted: DataFrame, known: DataFrame, keys: list[str], axis: str, val
     )
     given = known.filter(F.col(axis).isNotNull()).select(
         *keys, slot.alias("_slot"), F.struct(F.col(axis), *[F.col(v) for v in values], F.lit(False).alias("_asked")).alias("_p"))
-    rows = asked.unionByName(given).repartition(*keys, "_slot")
+    # Stated here, the filters need not be inferred for the join below on one side only.
+    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, "_slot"]])
+    rows = asked.unionByName(given).filter(present).repartition(*keys, "_slot")
     point = F.when(~F.col("_p._asked"), F.col("_p"))
 
     edges = rows.groupBy(*keys, "_slot").agg(F.min(point).alias("_first"), F.max(point).alias("_last"))
