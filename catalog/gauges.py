@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import query
+from catalog.base import query, season_sql
 from soundings.functions import scalars as S
 from soundings.operators import compare as P, error as E, peaks as K, series as R, slots, threshold as H, tide as A, timejoin as T
 from soundings.plans import gauge_validation
@@ -153,7 +153,7 @@ def _(t):
 
 @query("harmonic_fit_W04", "port:int constituent:s a:d g:d")
 def _(t):
-    return A.harmonic_fit(t("tg_dense"), "ssh_obs", minimum=100)
+    return A.harmonic_fit(t("tg_dense"), "ssh_obs", minimum=30)
 
 
 BANDS = {"all": A.CONSTITUENTS, "semidiurnal": A.SEMIDIURNAL, "diurnal": A.DIURNAL}
@@ -218,6 +218,28 @@ def _(t):
     return A.record_length_sweep(slots.regular_hours(t("tg_dense")), "ssh", [25, 225, 425, 625, 720])
 
 
+# One constituent with trend: three regressors, solved from their covariances.
+def one_fit(rows: str, by: str) -> str:
+    """``rows`` has the ``by`` columns, y, s (trend), c, q (cosine, sine)."""
+    return f"""
+(select {by}, (i12 * y1 + i22 * y2 + i23 * y3) / d as p, (i13 * y1 + i23 * y2 + i33 * y3) / d as q from
+ (select *, s13 * s23 - s12 * s33 as i12, s12 * s23 - s13 * s22 as i13, s11 * s33 - s13 * s13 as i22, s12 * s13 - s11 * s23 as i23, s11 * s22 - s12 * s12 as i33,
+         s11 * (s22 * s33 - s23 * s23) - s12 * (s12 * s33 - s23 * s13) + s13 * (s12 * s23 - s22 * s13) as d from
+  (select {by}, covar_pop(s, s) as s11, covar_pop(s, c) as s12, covar_pop(s, q) as s13, covar_pop(c, c) as s22, covar_pop(c, q) as s23, covar_pop(q, q) as s33,
+          covar_pop(s, y) as y1, covar_pop(c, y) as y2, covar_pop(q, y) as y3 from ({rows}) group by {by})))"""
+
+
+M2_ANGLE = f"radians((epoch_us(time) / 3600000000.0E0 * {A.SPEEDS['M2']}E0) % 360.0E0)"
+M2_BASIS = f"cos({M2_ANGLE}) as c, sin({M2_ANGLE}) as q"
+
+
+@query("record_length_sweep_one_constituent_W09", "port:int length:int constituent:s a:d g:d", f"""
+select port, length, 'M2' as constituent, sqrt(p * p + q * q) as a, ((degrees(atan2(q, p)) % 360.0E0) + 360.0E0) % 360.0E0 as g from
+{one_fit(f"select g.port, l.length, ssh as y, i / 720.0E0 as s, {M2_BASIS} from ({GRID}) g join (select unnest([25, 225, 425, 625, 720]) as length) l on g.i < l.length where ssh is not null", "port, length")}""")
+def _(t):
+    return A.record_length_sweep(slots.regular_hours(t("tg_dense")), "ssh", [25, 225, 425, 625, 720], constituents=["M2"])
+
+
 @query("taylor_stats_A33", "constituent:s rms_obs:d rms_mod:d rms_err:d r:d n:long", """
 select constituent, sqrt(avg(xo * xo + yo * yo)) as rms_obs, sqrt(avg(xm * xm + ym * ym)) as rms_mod, sqrt(avg(pow(xo - xm, 2) + pow(yo - ym, 2))) as rms_err,
        avg(xo * xm + yo * ym) / (sqrt(avg(xo * xo + yo * yo)) * sqrt(avg(xm * xm + ym * ym))) as r, count(*) as n from
@@ -306,6 +328,21 @@ def _(t):
     return T.transfer_nearest(e.filter("ssh_mod > 0.6").select("port", "time", "ssh_mod"), e.filter("ssh_obs is not null"), "ssh_mod", ["port"])
 
 
-@query("gauge_validation_end_to_end", "port:int season:s ssh_std_err:d ntr_mae:d ntr_rmse:d ntr_corr:d n:long")
+@query("gauge_validation_end_to_end", "port:int season:s ssh_std_err:d ntr_mae:d ntr_rmse:d ntr_corr:d n:long", f"""
+with pairs as (select port, time, ssh_obs - avg(ssh_obs) over (partition by port) as ssh_obs, ssh_mod - avg(ssh_mod) over (partition by port) as ssh_mod
+               from {{tg_dense}} where ssh_obs is not null and ssh_mod is not null),
+long as (select port, 'obs' as source, ssh_obs as y, epoch_us(time) / 3.6E12 - 470.0E0 as s, {M2_BASIS} from pairs
+         union all select port, 'mod' as source, ssh_mod as y, epoch_us(time) / 3.6E12 - 470.0E0 as s, {M2_BASIS} from pairs),
+fit as {one_fit("select * from long", "port, source")},
+v as (select e.port, {season_sql('month(e.time)')} as season, e.ssh_obs, e.ssh_mod, e.ssh_obs - (o.p * cos({M2_ANGLE}) + o.q * sin({M2_ANGLE})) as ntr_obs,
+             e.ssh_mod - (m.p * cos({M2_ANGLE}) + m.q * sin({M2_ANGLE})) as ntr_mod
+      from pairs e join fit o on o.port = e.port and o.source = 'obs' join fit m on m.port = e.port and m.source = 'mod')
+select port, season, ssh_std_err, ntr_mae, ntr_rmse, ntr_corr, n from (select port, case when grouping(season) = 1 then 'All' else season end as season, {STATS},
+       case when grouping(season) = 1 or count(*) > 100 then corr(ntr_obs, ntr_mod) end as ntr_corr, count(*) as n from v group by grouping sets ((port, season), (port)))""")
+def _(t):
+    return gauge_validation.gauge_scores(t("tg_dense").drop("ssh"), minimum=30, constituents=["M2"])
+
+
+@query("gauge_validation_all_constituents", "port:int season:s ssh_std_err:d ntr_mae:d ntr_rmse:d ntr_corr:d n:long")
 def _(t):
-    return gauge_validation.gauge_scores(t("tg_dense").drop("ssh"), minimum=100)
+    return gauge_validation.gauge_scores(t("tg_dense").drop("ssh"), minimum=30)

@@ -85,8 +85,9 @@ MULTI = f"""select a.region, a.season, a.rep, a.angle, d.weight from
 join ({DRAWN}) d on d.region = a.region and d.season = a.season and d.profile_id = a.profile_id and d.rep = a.rep where d.weight > 0"""
 
 
-def drawn(t):
-    return bias_angle.angles_and_weights(t("profile_error_a"), t("profile_error_b"), T_DIFF, N_BOOT, SEED)
+def drawn(t, method="poisson"):
+    a = bias_angle.bias_angles(t("profile_error_a"), t("profile_error_b"), T_DIFF)
+    return a, bias_angle.draws_of(a, N_BOOT, SEED, method)
 
 
 @query("bootstrap_histogram_A31", "region:s season:s rep:int bin:int frequency:long",
@@ -116,9 +117,9 @@ def _(t):
 select region, season, rep, n as draws, n as profiles from (select region, season, count(distinct profile_id) as n from ({ALIGNED}) group by region, season)
 cross join (select unnest(range(0, {N_BOOT})) as rep)""")
 def _(t):
-    a, w = bias_angle.angles_and_weights(t("profile_error_a"), t("profile_error_b"), T_DIFF, N_BOOT, SEED, "multinomial")
+    a, w = drawn(t, "multinomial")
     sizes = a.groupBy("region", "season").agg(F.count_distinct("profile_id").alias("profiles"))
-    return w.groupBy("region", "season", "rep").agg(F.sum("weight").alias("draws")).join(sizes, ["region", "season"])
+    return w.table.groupBy("region", "season", "rep").agg(F.sum("weight").alias("draws")).join(sizes, ["region", "season"])
 
 
 QS = "[" + ", ".join(str(q) for q in S.QUANTILES) + "]"

@@ -81,55 +81,83 @@ def poisson_weight(u: Column, terms: int = 12) -> Column:
     return out
 
 
-def poisson_weights(profiles: DataFrame, n_boot: int, seed: int, keys, key="profile_id") -> DataFrame:
-    """(keys, key, rep, weight): how often each profile is drawn in each replicate."""
-    drawn = profiles.select(*keys, key).distinct().withColumn(
-        "rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("_u", uniform(seed, key, "rep"))
-    return drawn.withColumn("weight", poisson_weight(F.col("_u"))).filter("weight > 0").drop("_u")
+class PoissonDraws:
+    """How often a profile is drawn in a replicate: Poisson(1), from its id alone.
+
+    The weight is a function of (seed, profile, replicate), so it is computed where the
+    profile is, and nothing is joined.
+    """
+
+    def __init__(self, n_boot: int, seed: int, key: str = "profile_id"):
+        self.n_boot, self.seed, self.key = n_boot, seed, key
+
+    def weigh(self, df: DataFrame) -> DataFrame:
+        """Rows holding ``rep`` with their ``weight``; rows not drawn go."""
+        return df.withColumn("_u", uniform(self.seed, self.key, "rep")).withColumn(
+            "weight", poisson_weight(F.col("_u"))).drop("_u").filter("weight > 0")
+
+    def spread(self, df: DataFrame) -> DataFrame:
+        """One row per replicate a row is drawn in."""
+        return self.weigh(df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(self.n_boot - 1)))))
 
 
-def multinomial_weights(profiles: DataFrame, n_boot: int, seed: int, keys, key="profile_id", slots: int = 256) -> DataFrame:
-    """As ``poisson_weights``, but exactly as many draws per replicate as there are profiles.
+class MultinomialDraws:
+    """As ``PoissonDraws``, but exactly as many draws per replicate as there are profiles.
 
     Profiles are numbered by slot (a hash) and then inside it, so the numbering of a large
-    group is spread over many tasks; each profile then makes one draw per replicate.
+    group is spread over many tasks; each profile then makes one draw per replicate.  The
+    draws are written once.
     """
-    keys = list(keys)
-    rows = profiles.select(*keys, key).distinct().withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(slots)).cast("int"))
-    w = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sizes = rows.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_c"))
-    starts = sizes.select(*keys, "_slot", (F.sum("_c").over(w) - F.col("_c")).alias("_start"),
-                          F.sum("_c").over(Window.partitionBy(*keys)).alias("_n"))
-    inside = Window.partitionBy(*keys, "_slot").orderBy(key)
-    numbered = rows.withColumn("_at", F.row_number().over(inside) - 1).join(starts, [*keys, "_slot"]).select(
-        *keys, key, (F.col("_start") + F.col("_at")).alias("_number"), "_n")
-    draws = (
-        numbered.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-        .withColumn("_number", F.floor(uniform(seed, key, "rep") * F.col("_n")).cast("long"))
-        .groupBy(*keys, "rep", "_number").agg(F.count(F.lit(1)).cast("int").alias("weight"))
-    )
-    return draws.join(numbered.drop("_n"), [*keys, "_number"]).select(*keys, key, "rep", "weight")
-
 
-def bootstrap_histogram(df: DataFrame, value: str, weights: DataFrame, keys=("region", "season"),
+    def __init__(self, profiles: DataFrame, n_boot: int, seed: int, keys, key: str = "profile_id", slots: int = 256):
+        self.n_boot, self.keys, self.key = n_boot, list(keys), key
+        keys = self.keys
+        rows = profiles.select(*keys, key).distinct().withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(slots)).cast("int"))
+        w = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sizes = rows.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_c"))
+        starts = sizes.select(*keys, "_slot", (F.sum("_c").over(w) - F.col("_c")).alias("_start"),
+                              F.sum("_c").over(Window.partitionBy(*keys)).alias("_n"))
+        inside = Window.partitionBy(*keys, "_slot").orderBy(key)
+        numbered = cut_lineage(
+            rows.withColumn("_at", F.row_number().over(inside) - 1).join(starts, [*keys, "_slot"])
+            .select(*keys, key, (F.col("_start") + F.col("_at")).alias("_number"), "_n"))
+        draws = (
+            numbered.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+            .withColumn("_number", F.floor(uniform(seed, key, "rep") * F.col("_n")).cast("long"))
+            .groupBy(*keys, "rep", "_number").agg(F.count(F.lit(1)).cast("int").alias("weight"))
+        )
+        self.table = cut_lineage(draws.join(numbered.drop("_n"), [*keys, "_number"]).select(*keys, key, "rep", "weight"))
+
+    def weigh(self, df: DataFrame) -> DataFrame:
+        return df.join(self.table, [*self.keys, self.key, "rep"])
+
+    def spread(self, df: DataFrame) -> DataFrame:
+        return df.join(self.table, [*self.keys, self.key])
+
+
+def bootstrap_histogram(df: DataFrame, value: str, draws, keys=("region", "season"),
                         low=-HALF_PI, high=HALF_PI, n: int = 100, key="profile_id") -> DataFrame:
-    """(keys, rep, bin, frequency), occupied bins only.  Profiles are binned before they
-    meet their weights, so levels are not repeated per replicate."""
+    """(keys, rep, bin, frequency), occupied bins only.
+
+    A profile's levels become its bin counts (at most ``n``) before it is repeated, so
+    its weight is worked out once per replicate and its levels are never repeated.
+    """
     keys = list(keys)
     binned = df.withColumn("bin", histogram_bin(value, low, high, n)).filter(F.col("bin").isNotNull()).groupBy(
         *keys, key, "bin").agg(F.count(F.lit(1)).alias("_c"))
-    return binned.join(weights, [*keys, key]).groupBy(*keys, "rep", "bin").agg(
+    packed = binned.groupBy(*keys, key).agg(F.collect_list(F.struct("bin", "_c")).alias("_bins"))
+    return draws.spread(packed).select(*keys, "rep", "weight", F.inline("_bins")).groupBy(*keys, "rep", "bin").agg(
         F.sum(F.col("_c") * F.col("weight")).alias("frequency"))
 
 
-def bootstrap_mean(df: DataFrame, value: str, weights: DataFrame, keys=("region", "season"), key="profile_id") -> DataFrame:
+def bootstrap_mean(df: DataFrame, value: str, draws, keys=("region", "season"), key="profile_id") -> DataFrame:
     keys = list(keys)
     parts = df.groupBy(*keys, key).agg(F.sum(value).alias("_s"), F.count(value).alias("_c"))
-    return parts.join(weights, [*keys, key]).groupBy(*keys, "rep").agg(
+    return draws.spread(parts).groupBy(*keys, "rep").agg(
         ratio(F.sum(F.col("_s") * F.col("weight")), F.sum(F.col("_c") * F.col("weight"))).alias("mean"))
 
 
-def bootstrap_median(df: DataFrame, value: str, weights: DataFrame, keys=("region", "season"), key="profile_id",
+def bootstrap_median(df: DataFrame, value: str, draws, keys=("region", "season"), key="profile_id",
                      bins: int = BINS) -> DataFrame:
     """(keys, rep, median), exact.
 
@@ -142,18 +170,21 @@ def bootstrap_median(df: DataFrame, value: str, weights: DataFrame, keys=("regio
     ends = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     placed = rows.join(ends, keys).withColumn("_shared", _bin(F.col("_v"), F.col("_lo"), F.col("_hi"), bins)).drop("_lo", "_hi")
     counts = placed.groupBy(*keys, key, "_shared").agg(F.count(F.lit(1)).alias("_c"))
+    packed = counts.groupBy(*keys, key).agg(F.collect_list(F.struct("_shared", "_c")).alias("_bins"))  # at most ``bins``
     by = [*keys, "rep"]
-    per_rep = cut_lineage(counts.join(weights, [*keys, key]).groupBy(*by, "_shared").agg(
-        F.sum(F.col("_c") * F.col("weight")).alias("_w")))
+    per_rep = cut_lineage(
+        draws.spread(packed).select(*by, "weight", F.inline("_bins")).groupBy(*by, "_shared")
+        .agg(F.sum(F.col("_c") * F.col("weight")).alias("_w")))
     ranks = per_rep.groupBy(*by).agg(F.sum("_w").alias("_n")).select(
         *by, F.explode(F.array_distinct(F.array(F.expr("(_n - 1) div 2"), F.expr("_n div 2")))).alias("rank")).withColumn("_rest", F.col("rank"))
     hits = cut_lineage(_locate(per_rep, by, ranks, by, "_shared").select(*by, "_shared", F.col("_rest").alias("rank")))
 
-    near = placed.join(hits.select(*keys, "_shared").distinct(), [*keys, "_shared"])
-    asked = hits.select(*keys, "_shared", "rep").distinct()
-    repeated = cut_lineage(near.join(asked, [*keys, "_shared"]).join(weights, [*keys, key, "rep"]).select(
-        *by, "_shared", "_v", "weight"))
+    # Which replicates look into a shared bin: at most ``n_boot`` per bin.
+    asked = hits.groupBy(*keys, "_shared").agg(F.collect_set("rep").alias("_reps"))
+    near = placed.join(asked, [*keys, "_shared"]).withColumn("rep", F.explode("_reps")).drop("_reps")
+    repeated = cut_lineage(draws.weigh(near).select(*by, "_shared", "_v", "weight"))
     found = select_ranks(repeated, [*by, "_shared"], "_v", hits, "weight")
+    # One rank where the number of draws is odd, else two.
     return found.groupBy(*by).agg(F.avg("_v").alias("median"))
 
 

@@ -405,17 +405,18 @@ def test_bootstrap_draws_and_median(spark):
     rng = random.Random(4)
     rows = [("r", "DJF", p, rng.uniform(0, 1.5)) for p in range(60) for _ in range(rng.randint(1, 5))]
     df = spark.createDataFrame(rows, "region string, season string, profile_id long, angle double")
-    w = bias.multinomial_weights(df, 8, 3, ["region", "season"], slots=4)
+    m = bias.MultinomialDraws(df, 8, 3, ["region", "season"], slots=4)
+    w = m.table
     assert {r.n for r in w.groupBy("rep").agg(F.sum("weight").alias("n")).collect()} == {60}
-    p = bias.poisson_weights(df, 200, 3, ["region", "season"]).agg((F.sum("weight") / 200 / 60).alias("m")).first().m
+    p = bias.PoissonDraws(200, 3).spread(df.select("profile_id").distinct()).agg((F.sum("weight") / 200 / 60).alias("m")).first().m
     assert p == pytest.approx(1.0, abs=0.05)
     draws = {}
     for r in w.collect():
         draws.setdefault(r.rep, {})[r.profile_id] = r.weight
-    got = {r.rep: r.median for r in bias.bootstrap_median(df, "angle", w, bins=8).collect()}
+    got = {r.rep: r.median for r in bias.bootstrap_median(df, "angle", m, bins=8).collect()}
     for rep, weights in draws.items():
         assert got[rep] == pytest.approx(np.median([v for *_, pid, v in rows for _ in range(weights.get(pid, 0))]))
-    hist = bias.bootstrap_histogram(df, "angle", w).groupBy("rep").agg(F.sum("frequency").alias("n")).collect()
+    hist = bias.bootstrap_histogram(df, "angle", m).groupBy("rep").agg(F.sum("frequency").alias("n")).collect()
     assert {r.rep: r.n for r in hist} == {rep: sum(weights.get(pid, 0) for *_, pid, _ in rows) for rep, weights in draws.items()}
 
 
