@@ -113,13 +113,22 @@ def _(t):
     return B.bootstrap_median(a, "angle", w)
 
 
-@query("bootstrap_multinomial_A31", "region:s season:s rep:int draws:long profiles:long", f"""
-select region, season, rep, n as draws, n as profiles from (select region, season, count(distinct profile_id) as n from ({ALIGNED}) group by region, season)
-cross join (select unnest(range(0, {N_BOOT})) as rep)""")
-def _(t):
-    a, w = drawn(t, "multinomial")
-    sizes = a.groupBy("region", "season").agg(F.count_distinct("profile_id").alias("profiles"))
-    return w.table.groupBy("region", "season", "rep").agg(F.sum("weight").alias("draws")).join(sizes, ["region", "season"])
+def md5_uniform(*columns: str) -> str:
+    text = " || '|' || ".join([f"'{SEED}'", *columns])
+    return f"cast(('0x' || substr(md5({text}), 1, 8))::bigint as double) / 4294967296.0E0"
+
+
+@query("bootstrap_multinomial_A31", "region:s season:s rep:int draws:long profiles:long checksum:long", f"""
+with numbered as (select region, season, profile_id, count(*) over (partition by region, season) as n,
+ row_number() over (partition by region, season order by cast(floor({md5_uniform('profile_id')} * 256) as int), profile_id) - 1 as k
+ from (select distinct region, season, profile_id from ({ALIGNED}))),
+draws as (select region, season, rep, cast(floor({md5_uniform('profile_id', 'rep')} * n) as bigint) as k from numbered cross join (select unnest(range(0, {N_BOOT})) as rep))
+select d.region, d.season, d.rep, count(*) as draws, count(distinct p.profile_id) as profiles, sum(p.profile_id) as checksum
+from draws d join numbered p on p.region = d.region and p.season = d.season and p.k = d.k group by d.region, d.season, d.rep""")
+def _(t):
+    _, m = drawn(t, "multinomial")
+    return m.table.groupBy("region", "season", "rep").agg(
+        F.sum("weight").alias("draws"), F.count(F.lit(1)).alias("profiles"), F.sum(F.col("weight") * F.col("profile_id")).alias("checksum"))
 
 
 QS = "[" + ", ".join(str(q) for q in S.QUANTILES) + "]"

@@ -112,7 +112,7 @@ class MultinomialDraws:
     def __init__(self, profiles: DataFrame, n_boot: int, seed: int, keys, key: str = "profile_id", slots: int = 256):
         self.n_boot, self.keys, self.key = n_boot, list(keys), key
         keys = self.keys
-        rows = profiles.select(*keys, key).distinct().withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(slots)).cast("int"))
+        rows = profiles.select(*keys, key).distinct().withColumn("_slot", F.floor(uniform(seed, key) * slots).cast("int"))
         w = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         sizes = rows.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_c"))
         starts = sizes.select(*keys, "_slot", (F.sum("_c").over(w) - F.col("_c")).alias("_start"),

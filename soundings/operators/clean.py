@@ -21,14 +21,11 @@ def extent(df: DataFrame, margin: float = 0.0, lon="lon", lat="lat") -> DataFram
 
 
 def within_extent_of(df: DataFrame, grid: DataFrame, lon="lon", lat="lat") -> DataFrame:
-    """Rows inside the grid's own extent.  The extent is one row, joined on a constant."""
-    box = extent(grid).withColumn("_one", F.lit(1))
-    return (
-        df.withColumn("_one", F.lit(1)).join(F.broadcast(box), "_one")  # exactly one row
-        .filter(F.col(lon).between(F.col("lon_min"), F.col("lon_max"))
-                & F.col(lat).between(F.col("lat_min"), F.col("lat_max")))
-        .select(*df.columns)
-    )
+    """Rows inside the grid's own extent (edges included), which is worked out once."""
+    box = extent(grid)
+    edge = lambda name: box.select(name).scalar()
+    return df.filter(F.col(lon).between(edge("lon_min"), edge("lon_max"))
+                     & F.col(lat).between(edge("lat_min"), edge("lat_max")))
 
 
 def null_flagged(levels: DataFrame, variables, flag: Column, neighbours: bool = False,
@@ -60,11 +57,8 @@ def time_window(df: DataFrame, start: str, end: str, time="time", closed: bool =
 
 def cut_to_model_period(obs: DataFrame, model: DataFrame, time="time", model_time="t") -> DataFrame:
     """Rows between the model's first and last time, both included."""
-    span = model.agg(F.min(model_time).alias("_t0"), F.max(model_time).alias("_t1"))
-    return (
-        obs.withColumn("_one", F.lit(1)).join(F.broadcast(span.withColumn("_one", F.lit(1))), "_one")
-        .filter(F.col(time).between(F.col("_t0"), F.col("_t1"))).select(*obs.columns)
-    )
+    span = model.agg(F.min(model_time).alias("first"), F.max(model_time).alias("last"))
+    return obs.filter(F.col(time).between(span.select("first").scalar(), span.select("last").scalar()))
 
 
 def land_flag(cells: DataFrame, level="bottom_level") -> DataFrame:
