@@ -384,7 +384,7 @@ left join score s on s.profile_id = o.profile_id and s.r = q.r"""
 def crps_inputs(t):
     top = C.near_surface(t("profile_level")).groupBy("profile_id").agg(F.avg("temperature").alias("temperature"))
     obs = T.nearest_time(t("profile_header"), t("grid_field").select("t").distinct()).join(top, "profile_id")
-    return obs.select("profile_id", "lon", "lat", "t", "temperature"), t("grid_surface").select("x", "y", "t", "temperature")
+    return cut_lineage(obs.select("profile_id", "lon", "lat", "t", "temperature")), t("grid_surface").select("x", "y", "t", "temperature")
 
 
 def crps(t):
