@@ -89,12 +89,17 @@ def truncate_ntz(unit: str, time) -> Column:
 
 
 def epoch_micros(time: str) -> Column:
-    """Microseconds since 1970 of a TIMESTAMP_NTZ column, exact."""
-    return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{time}`)")
+    """Microseconds since 1970 of a TIMESTAMP_NTZ column: exact, and free of any time zone."""
+    t = F.col(time)
+    days = F.datediff(F.to_date(t), F.lit("1970-01-01").cast("date")).cast("long")
+    seconds = days * 86_400 + F.hour(t) * 3_600 + F.minute(t) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("long")
 
 
 def from_epoch_micros(micros) -> Column:
-    return F.timestamp_micros(_col(micros)).cast("timestamp_ntz")
+    """The TIMESTAMP_NTZ so many microseconds after the start of 1970."""
+    seconds = _col(micros).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
 
 
 def epoch_hours(time: str) -> Column:

@@ -37,13 +37,18 @@ def with_bias_angle(aligned: DataFrame, variable: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, value: str, keys, low=-HALF_PI, high=HALF_PI, n: int = 100) -> DataFrame:
-    """Counts in ``n`` equal bins, the last one closed; empty bins count 0."""
+    """Counts in ``n`` equal bins, the last one closed; empty bins count 0.
+
+    Groups without any value in the range are reported too, as all zeros.
+    """
     keys = list(keys)
-    counted = df.withColumn("bin", histogram_bin(value, low, high, n)).filter(F.col("bin").isNotNull()).groupBy(
-        *keys, "bin").agg(F.count(F.lit(1)).alias("frequency"))
-    return all_bins(df, keys, n).join(counted, [*keys, "bin"], "left").select(
+    counted = df.withColumn("bin", histogram_bin(value, low, high, n)).groupBy(*keys, "bin").agg(
+        F.count(F.lit(1)).alias("_c"))
+    entry = F.when(F.col("bin").isNotNull(), F.struct("bin", "_c"))
+    packed = counted.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("_counts"))  # at most ``n`` entries
+    return packed.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(
         *keys, "bin", bin_centre("bin", low, high, n).alias("centre"),
-        F.coalesce("frequency", F.lit(0)).cast("long").alias("frequency"))
+        F.coalesce(F.try_element_at("_counts", F.col("bin")), F.lit(0)).cast("long").alias("frequency"))
 
 
 def all_bins(df: DataFrame, keys, n: int) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from soundings.operators.slots import with_margin
+from soundings.functions.scalars import epoch_micros, from_epoch_micros
+from soundings.operators.slots import HOUR_MICROS, with_margin
 
 SLOT_HOURS = 4096
 
@@ -49,7 +50,7 @@ def smooth(series: DataFrame, value: str, keys=("port",), window: int = 25, orde
     )
 
     # The ends: at most ``window`` rows per series and end, summed against each position's weights.
-    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    micros = epoch_micros(time)
     ends = []
     for name, place in (("head", F.col("i")), ("tail", F.col("n") - 1 - F.col("i"))):
         end = rows.withColumn("_p", place).filter((F.col("_p") < window) & (F.col("n") >= window))
@@ -61,7 +62,7 @@ def smooth(series: DataFrame, value: str, keys=("port",), window: int = 25, orde
         ends.append(
             end.groupBy(*keys).agg(fitted.alias("_fit"), start.alias("_t"), F.max("n").alias("n"))
             .select(*keys, "_t", "n", F.posexplode("_fit").alias("_p", value))
-            .select(*keys, F.timestamp_micros(F.col("_t") + F.lit(step * 3_600_000_000) * F.col("_p")).cast("timestamp_ntz").alias(time),
+            .select(*keys, from_epoch_micros(F.col("_t") + F.lit(step * HOUR_MICROS) * F.col("_p")).alias(time),
                     (F.col("_p").cast("long") if step == 1 else F.col("n") - 1 - F.col("_p")).alias("i"), value)
         )
     return inner.unionByName(ends[0]).unionByName(ends[1])

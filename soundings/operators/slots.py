@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from soundings.functions.scalars import epoch_micros
+from soundings.functions.scalars import epoch_micros, from_epoch_micros
 
 HOUR_MICROS = 3_600_000_000
 
@@ -43,7 +43,7 @@ def regular_hours(series: DataFrame, keys=("port",), time="time") -> DataFrame:
         # days first, then hours, so that no long array is built
         .withColumn("_day", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(n - 1) div 24"))))
         .withColumn("i", F.explode(F.sequence(F.col("_day") * 24, F.least(F.col("_day") * 24 + 23, F.col("n") - 1))))
-        .withColumn(time, F.timestamp_micros(F.col("_a") + F.col("i") * HOUR_MICROS).cast("timestamp_ntz"))
+        .withColumn(time, from_epoch_micros(F.col("_a") + F.col("i") * HOUR_MICROS))
         .select(*keys, time, "i", "n")
     )
     return hours.join(series, [*keys, time], "left")

@@ -442,3 +442,15 @@ def test_profile_bins_average_in_stages(spark):
     lv = spark.createDataFrame([(1, hour(0), 0.1, 50.1, 1.0, 2.0), (1, hour(0), 0.1, 50.1, 4.0, 4.0), (2, hour(0), 0.1, 50.1, 1.0, 9.0), (3, hour(9), 0.1, 50.1, 1.0, 12.0), (4, hour(9), 0.1, 50.1, 5.0, 99.0)],
                                "profile_id long, time timestamp_ntz, lon double, lat double, depth double, temperature double")
     assert surface.monthly_profile_bins(lv, ["temperature"]).first().temperature == 9.0
+
+
+def test_times_do_not_depend_on_the_session_zone(spark):
+    moments = [dt.datetime(2010, 3, 14, 2, 30), dt.datetime(2010, 11, 7, 1, 30, 0, 7), dt.datetime(1969, 12, 31, 23, 59, 59, 999999), dt.datetime(2100, 7, 1)]
+    df = spark.createDataFrame([(m,) for m in moments], "time timestamp_ntz")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        rows = df.select("time", S.epoch_micros("time").alias("u"), S.from_epoch_micros(S.epoch_micros("time")).alias("back")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for r in rows:
+        assert r.back == r.time and r.u == (r.time - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1)
