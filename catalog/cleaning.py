@@ -1,6 +1,8 @@
 """Sources, filters, projections, scalar functions."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog.base import query, season_sql
@@ -8,15 +10,13 @@ from soundings.functions import scalars as S
 from soundings.operators import clean as C
 from soundings.operators import matchup as M
 from soundings.schema import canonicalise
-from soundings.session import shared_folder
+from soundings.session import stage_path
 from soundings.sources import scan, sink
 
 
 def _folder(t, name):
     """A written stage of this run in the shared folder."""
-    import uuid
-
-    return f"{shared_folder(t.spark).rstrip('/')}/stages/{uuid.uuid4().hex}/{name}"
+    return stage_path(t.spark, f"{uuid.uuid4().hex}/{name}")
 
 
 # ---- sources and sinks ------------------------------------------------------------------

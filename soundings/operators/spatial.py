@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from soundings.functions.scalars import KM_PER_DEGREE, great_circle_km
+from soundings.session import cut_lineage
 
 # ---- lon/lat boxes as join keys ---------------------------------------------------------
 #
@@ -144,35 +145,36 @@ def region_membership(matched: DataFrame, members: DataFrame) -> DataFrame:
 # ---- stations of two runs ---------------------------------------------------------------
 
 def match_stations(left: DataFrame, right: DataFrame, key="port",
-                   widths: tuple[float, ...] = (0.5, 4.0, 32.0, 256.0)) -> DataFrame:
+                   widths: tuple[float, ...] = (0.03125, 0.5, 8.0, 256.0)) -> DataFrame:
     """For each left station the right one nearest in squared degrees (tie: smallest key).
 
     Square boxes of growing width: whatever is found closer than one box width is
-    certainly the nearest, and only stations still open go on to the next width.  The
-    last width spans the globe, so every station ends with a partner.
+    certainly the nearest, and only places still open go on to the next width, so crowded
+    areas are settled in small boxes.  The last width spans the globe, so every station
+    ends with a partner.  Stations sharing a place are searched for, and found, once.
     """
-    todo = left.select(F.col(key).alias("left_key"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
+    places = right.groupBy(F.col("lon").alias("_rlon"), F.col("lat").alias("_rlat")).agg(F.min(key).alias("right_key"))
+    todo = left.select(F.col("lon").alias("_lon"), F.col("lat").alias("_lat")).dropna().distinct()
     done = None
     for i, width in enumerate(widths):
         box = lambda c, w=width: F.floor(F.col(c) / w).cast("long")
         ring = (
-            right.select(F.col(key).alias("right_key"), F.col("lon").alias("_rlon"), F.col("lat").alias("_rlat"))
-            .withColumn("_bx", F.explode(F.array(*[box("_rlon") + d for d in (-1, 0, 1)])))
+            places.withColumn("_bx", F.explode(F.array(*[box("_rlon") + d for d in (-1, 0, 1)])))
             .withColumn("_by", F.explode(F.array(*[box("_rlat") + d for d in (-1, 0, 1)])))
         )
         square = lambda a, b: (F.col(a) - F.col(b)) * (F.col(a) - F.col(b))
         near = (
             todo.withColumn("_bx", box("_lon")).withColumn("_by", box("_lat")).join(ring, ["_bx", "_by"])
             .withColumn("distance_sq", square("_rlon", "_lon") + square("_rlat", "_lat"))
-            .groupBy("left_key").agg(F.min(F.struct("distance_sq", "right_key")).alias("_best"))
-            .select("left_key", "_best.right_key", "_best.distance_sq")
+            .groupBy("_lon", "_lat").agg(F.min(F.struct("distance_sq", "right_key")).alias("_best"))
+            .select("_lon", "_lat", "_best.right_key", "_best.distance_sq")
         )
         if i < len(widths) - 1:
-            near = near.filter(F.col("distance_sq") <= width * width)
-            todo = todo.join(near, "left_key", "left_anti")
+            near = cut_lineage(near.filter(F.col("distance_sq") <= width * width))
+            todo = todo.join(near, ["_lon", "_lat"], "left_anti")
         done = near if done is None else done.unionByName(near)
-    return done
-
+    stations = left.select(F.col(key).alias("left_key"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
+    return stations.join(done, ["_lon", "_lat"]).select("left_key", "right_key", "distance_sq")
 
 
 def unique_stations(stations: DataFrame, key="port") -> DataFrame:

@@ -47,6 +47,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def stage_path(spark: SparkSession, name: str) -> str:
+    """Where a stage of this application goes; one folder per application, easy to remove."""
+    return f"{shared_folder(spark).rstrip('/')}/stages/{spark.sparkContext.applicationId}/{name}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -55,6 +60,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     whether a join may broadcast it.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/stages/{uuid.uuid4().hex}"
+    path = stage_path(spark, uuid.uuid4().hex)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
