@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from catalog.base import query, season_sql
 from catalog.cleaning import HAVERSINE, nearest_sql
 from soundings.functions import scalars as S
-from soundings.operators import (clean as C, crps as K, error as E, matchup as M, quantiles as Q, spatial as G,
+from soundings.operators import (clean as C, error as E, matchup as M, quantiles as Q, spatial as G,
                                  surface as U, timejoin as T, vertical as V)
-from soundings.plans import profile_validation
+from soundings.plans import profile_validation, surface_crps
 from soundings.session import cut_lineage
 
 VARS = ["temperature", "salinity"]
@@ -381,15 +381,9 @@ select o.profile_id, 'temperature' as variable, q.r as radius_km, s.crps, coales
 left join score s on s.profile_id = o.profile_id and s.r = q.r"""
 
 
-def crps_inputs(t):
-    top = C.near_surface(t("profile_level")).groupBy("profile_id").agg(F.avg("temperature").alias("temperature"))
-    obs = T.nearest_time(t("profile_header"), t("grid_field").select("t").distinct()).join(top, "profile_id")
-    return cut_lineage(obs.select("profile_id", "lon", "lat", "t", "temperature")), t("grid_surface").select("x", "y", "t", "temperature")
-
-
 def crps(t):
-    obs, field = crps_inputs(t)
-    return K.neighbourhood_crps(obs, t("grid_cell"), field, ["temperature"], RADII)
+    return surface_crps.surface_crps(
+        t("profile_header"), t("profile_level"), t("grid_cell"), t("grid_field"), ["temperature"], RADII)
 
 
 @query("neighbourhood_crps_A23", "profile_id:long variable:s radius_km:int crps:d n_points:long land:b", CRPS_SQL)
@@ -404,10 +398,8 @@ select m.region, c.variable, c.radius_km, avg(v) as crps, avg(case when not land
 join (select h.profile_id, r.region from {{profile_header}} h join ({nearest_sql('profile_header', RADIUS)}) n on h.lon = n.lon and h.lat = n.lat
 join ({INSIDE}) r on r.x = n.x and r.y = n.y) m on m.profile_id = c.profile_id group by 1, 2, 3""")
 def _(t):
-    errors = C.near_surface(t("profile_pair_a")).groupBy("profile_id").agg(
-        F.abs(F.avg(F.col("temperature_mod") - F.col("temperature_obs"))).alias("abs_diff")).withColumn("variable", F.lit("temperature"))
     members = G.region_membership(G.nearest_cell(t("profile_header"), t("grid_cell"), RADIUS), regions(t))
-    return K.regional_crps(crps(t), members, errors)
+    return surface_crps.crps_by_region(crps(t), members, t("profile_pair_a"), ["temperature"])
 
 
 # ---- flagship ---------------------------------------------------------------------------

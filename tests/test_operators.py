@@ -454,3 +454,27 @@ def test_times_do_not_depend_on_the_session_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     for r in rows:
         assert r.back == r.time and r.u == (r.time - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1)
+
+
+# ---- crowded groups ---------------------------------------------------------------------
+def test_crowded_profile_is_reduced_exactly(spark):
+    rng = np.random.default_rng(8)
+    hot = sorted(set(np.round(rng.uniform(0, 600, 5000), 3).tolist()))
+    rows = [(1, d, float(np.sin(d / 30))) for d in hot] + [(p, float(d), float(d + p)) for p in range(2, 40) for d in (3, 50, 120)]
+    got = vertical.interpolate_to_depths(spark.createDataFrame(rows, "profile_id long, depth double, temperature double"), ["temperature"])
+    found = {r.depth: r.temperature for r in got.filter("profile_id = 1").collect()}
+    want = [d for d in S.reference_depths() if hot[0] <= d <= hot[-1]]
+    assert sorted(found) == want
+    assert all(found[d] == pytest.approx(np.interp(d, hot, np.sin(np.array(hot) / 30))) for d in want)
+
+
+def test_crowded_box_keeps_every_point(spark):
+    rng = random.Random(6)
+    points = [(k, rng.uniform(0.0, 0.04), 55.0 + rng.uniform(0.0, 0.04)) for k in range(1500)] + [(k, 0.01, 55.01) for k in range(1500, 3000)] + [(9999, 3.0, 57.0)]
+    cells = [(x, y, x * 0.02, 55.0 + y * 0.02, 1) for x in range(4) for y in range(4)]
+    got = spatial.nearest_cell(spark.createDataFrame(points, "profile_id long, lon double, lat double"),
+                               spark.createDataFrame(cells, "x int, y int, lon double, lat double, bottom_level int"), 5.0).collect()
+    assert len(got) == 3000
+    for r in got[::37]:
+        best = min((km(r.lon, r.lat, c[2], c[3]), c[0], c[1]) for c in cells)
+        assert (r.x, r.y) == best[1:] and r.interp_dist_km == pytest.approx(best[0])
