@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from soundings.llm import decontaminate, exact_dedup, packing, quality, simhash
+from soundings.llm import decontaminate, exact_dedup, packing, quality, simhash, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,12 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+@register("op1_substring_dedup")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, folder, "documents"), with_text=False).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @register("op2_decontamination")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -34,6 +40,12 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+@register("op4_suffix_array_dedup")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, folder, "documents"), with_bytes=False).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @register("op5_quality")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))

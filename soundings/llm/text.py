@@ -97,14 +97,6 @@ def window_hashes(values: np.ndarray, width: int, base: int = MULTIPLIER) -> np.
 
 
 def cover(starts: np.ndarray, width: int, n: int) -> np.ndarray:
-    """Which of ``n`` places lie in a window of ``width`` that begins where ``starts`` is set."""
-    edge = np.zeros(n + 1, np.int32)
-    at = np.flatnonzero(starts)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + width, -1)
+    """Which of ``n`` places lie in a window of ``width`` that begins at one of ``starts``."""
+    edge = np.bincount(starts, minlength=n + 1)[:n + 1] - np.bincount(starts + width, minlength=n + 1)[:n + 1]
     return np.cumsum(edge[:n]) > 0
-
-
-def document_table(docs, *columns: str):
-    """The columns asked for, whatever else the table holds."""
-    return docs.select(*columns)
