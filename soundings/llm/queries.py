@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from soundings.llm import decontaminate, exact_dedup, packing, quality, simhash, substring_dedup, suffix_dedup
+from soundings.llm import decontaminate, exact_dedup, lm, packing, quality, simhash, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,6 +52,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_scores(table(spark, folder, "documents").select("doc_id", "text"), labels)
 
 
+@register("op7_lm_scoring")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.lm_scores(table(spark, folder, "documents"), quality.remainder("doc_id", 7) == 2)
+
+
 @register("op8_exact_dedup", """
     with texts as (select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') as norm from documents)
     select doc_id, min(doc_id) over (partition by norm) as keep_id, count(*) over (partition by norm) as group_size,
