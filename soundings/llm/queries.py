@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from soundings.llm import decontaminate, exact_dedup, lm, packing, quality, simhash, substring_dedup, suffix_dedup
+from soundings.llm import decontaminate, exact_dedup, lm, packing, quality, simhash, substring_dedup, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,6 +52,12 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_scores(table(spark, folder, "documents").select("doc_id", "text"), labels)
 
 
+@register("op6_toxicity")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return toxicity.toxicity_scores(table(spark, folder, "documents"), labels, quality.remainder("doc_id", 4) == 2)
+
+
 @register("op7_lm_scoring")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return lm.lm_scores(table(spark, folder, "documents"), quality.remainder("doc_id", 7) == 2)
