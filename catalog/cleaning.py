@@ -245,19 +245,13 @@ def _(t):
 
 
 @query("flatten_depth_P18", "x:int y:int t:t z:int temperature:d", """
-select x, y, t, z, temperature from {grid_field} where t < timestamp '1996-01-01'""")
+select x, y, t, z, temperature from {grid_field}""")
 def _(t):
-    cube = t("grid_field").filter("t < timestamp_ntz'1996-01-01'").groupBy("x", "y", "t").agg(
+    cube = t("grid_field").groupBy("x", "y", "t").agg(
         F.expr("transform(array_sort(collect_list(struct(z, temperature))), s -> s.temperature)").alias("temperature"))
     return C.flatten_levels(cube, ["temperature"], ["x", "y", "t"])
 
 
-@query("trial_row_cap_P19", "profile_id:long lon:d lat:d", """
-select profile_id, lon, lat from {profile_header} order by profile_id limit 3000""")
-def _(t):
-    return C.first_profiles(t("profile_header"), 3000)
-
-
 @query("label_selection_P20", "profile_id:long z:int diff_temperature:d", """
 select profile_id, z, diff_temperature from {profile_error_a} where region = 'north' and season = 'SON'""")
 def _(t):

@@ -311,21 +311,21 @@ def _(t):
 
 
 @query("highest_within_six_hours_J15", "port:int time:t ssh_mod:d", """
-select a.port, a.time, max(b.ssh_mod) as ssh_mod from (select port, time from {tg_extract} where ssh_obs > 0.8) a
+select a.port, a.time, max(b.ssh_mod) as ssh_mod from {tg_extract} a
 left join {tg_extract} b on b.port = a.port and abs(epoch_us(b.time) - epoch_us(a.time)) < 21600000000 group by a.port, a.time""")
 def _(t):
     e = t("tg_extract")
-    return T.highest_within(e.filter("ssh_obs > 0.8").select("port", "time"), e, "ssh_mod", ["port"])
+    return T.highest_within(e.select("port", "time"), e, "ssh_mod", ["port"])
 
 
 @query("nearest_time_transfer_J16", "port:int time:t ssh_mod:d", """
-with m as (select port, time, ssh_mod from {tg_extract} where ssh_mod > 0.6), o as (select port, time from {tg_extract} where ssh_obs is not null),
+with m as (select port, time, ssh_mod from {tg_extract} where ssh_mod is not null), o as (select port, time from {tg_extract} where ssh_obs is not null),
 e as (select port, min(time) as a, max(time) as b from m group by port)
 select o.port, o.time, case when o.time between any_value(e.a) and any_value(e.b) then first(m.ssh_mod order by abs(epoch_us(m.time) - epoch_us(o.time)), m.time) end as ssh_mod
 from o join m on m.port = o.port join e on e.port = o.port group by o.port, o.time""")
 def _(t):
     e = t("tg_extract")
-    return T.transfer_nearest(e.filter("ssh_mod > 0.6").select("port", "time", "ssh_mod"), e.filter("ssh_obs is not null"), "ssh_mod", ["port"])
+    return T.transfer_nearest(e.filter("ssh_mod is not null").select("port", "time", "ssh_mod"), e.filter("ssh_obs is not null"), "ssh_mod", ["port"])
 
 
 @query("gauge_validation_end_to_end", "port:int season:s ssh_std_err:d ntr_mae:d ntr_rmse:d ntr_corr:d n:long", f"""

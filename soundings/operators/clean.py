@@ -139,15 +139,10 @@ def drop_empty(df: DataFrame, variables) -> DataFrame:
     return df.dropna(how="all", subset=list(variables))
 
 
-def first_levels(df: DataFrame, k: int = 100, z="z") -> DataFrame:
+def first_levels(df: DataFrame, k: int, z="z") -> DataFrame:
     return df.filter(F.col(z) < k)
 
 
-def first_profiles(headers: DataFrame, n: int = 3000, key="profile_id") -> DataFrame:
-    """Trial-run cap: the n smallest ids (Spark plans this as a distributed top-n)."""
-    return headers.orderBy(key).limit(n)
-
-
 def flatten_levels(df: DataFrame, arrays, keys) -> DataFrame:
     """Array columns of equal length to one row per level."""
     zipped = F.arrays_zip(*[F.col(a) for a in arrays])

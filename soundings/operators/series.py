@@ -30,7 +30,8 @@ def smooth(series: DataFrame, value: str, keys=("port",), window: int = 25, orde
     """(keys, time, i, value) smoothed by a moving polynomial of ``order``.
 
     ``series`` comes from ``regular_hours``.  A missing value in the frame gives NULL; the
-    first and last half windows are read off the polynomial of the first and last frame.
+    first and last half windows are read off the polynomial of the first and last frame.  A
+    series shorter than the window keeps its rows, with NULL values.
     """
     keys = list(keys)
     half = window // 2
@@ -65,15 +66,17 @@ def smooth(series: DataFrame, value: str, keys=("port",), window: int = 25, orde
             .select(*keys, from_epoch_micros(F.col("_t") + F.lit(step * HOUR_MICROS) * F.col("_p")).alias(time),
                     (F.col("_p").cast("long") if step == 1 else F.col("n") - 1 - F.col("_p")).alias("i"), value)
         )
-    return inner.unionByName(ends[0]).unionByName(ends[1])
+    short = rows.filter(F.col("n") < window).select(*keys, time, "i", F.lit(None).cast("double").alias(value))
+    return inner.unionByName(ends[0]).unionByName(ends[1]).unionByName(short)
 
 
 def residual(series: DataFrame, tide: DataFrame, keys=("port",), time="time") -> DataFrame:
     """Non-tidal residual of both sides and its error: ssh - tide, model - observation.
 
-    ``tide`` has tide_obs and tide_mod of the full band on the same times.
+    ``tide`` has tide_obs and tide_mod of the full band on the same times; a time without
+    a tide keeps its row, with NULL residuals.
     """
-    joined = series.join(tide.select(*keys, time, "tide_obs", "tide_mod"), [*keys, time])
+    joined = series.join(tide.select(*keys, time, "tide_obs", "tide_mod"), [*keys, time], "left")
     return with_residual(joined)
 
 
@@ -93,4 +96,4 @@ def smooth_residual(residuals: DataFrame, keys=("port",), window: int = 25, orde
                     time="time") -> DataFrame:
     """Both residuals smoothed alike, with their errors recomputed."""
     both = [smooth(residuals, c, keys, window, order, time) for c in ("ntr_obs", "ntr_mod")]
-    return residual_error(both[0].join(both[1].drop("i"), [*keys, time]))
+    return residual_error(both[0].join(both[1].drop("i"), [*keys, time], "left"))

@@ -33,7 +33,8 @@ def regular_hours(series: DataFrame, keys=("port",), time="time") -> DataFrame:
     """The series on every hour from its first to its last, with its position.
 
     Adds ``i`` (hours since the first) and ``n`` (hours in all); hours without a row have
-    NULL values.  Needs one row per (keys, hour).
+    NULL values.  Needs one row per (keys, hour).  A row that is not a whole number of hours after its
+    series' first raises an error, as nothing may drop out silently; ``to_hours`` resamples such a series.
     """
     keys = list(keys)
     span = series.groupBy(*keys).agg(F.min(time).alias("_t0"), F.max(time).alias("_t1"))
@@ -46,4 +47,17 @@ def regular_hours(series: DataFrame, keys=("port",), time="time") -> DataFrame:
         .withColumn(time, from_epoch_micros(F.col("_a") + F.col("i") * HOUR_MICROS))
         .select(*keys, time, "i", "n")
     )
-    return hours.join(series, [*keys, time], "left")
+    since = epoch_micros(time) - F.col("_a")
+    placed = (
+        series.join(span.select(*keys, epoch_micros("_t0").alias("_a")), keys)
+        .withColumn("i", F.when(since % HOUR_MICROS == 0, F.floor(since / HOUR_MICROS))
+                    .otherwise(F.raise_error(F.concat(F.lit("not on a whole hour of its series: "), F.col(time).cast("string"))).cast("long")))
+        .drop("_a", time)
+    )
+    return hours.join(placed, [*keys, "i"], "left").select(*keys, time, "i", "n", *[c for c in series.columns if c not in (*keys, time)])
+
+
+def to_hours(series: DataFrame, values, keys=("port",), time="time") -> DataFrame:
+    """Values averaged over each clock hour (keys, time, values); the hour's beginning is its time."""
+    hour = F.date_trunc("hour", time).cast("timestamp_ntz").alias(time)
+    return series.groupBy(*keys, hour).agg(*[F.avg(v).alias(v) for v in values])

@@ -176,7 +176,8 @@ def reconstruct(times: DataFrame, fits: DataFrame, keys=("port",), constituents=
     """``times`` with tide_<side>_<band> for the sides in ``fits.source`` and three bands.
 
     The few fitted values of a station are turned into columns first, so each time gets
-    its tides by arithmetic in one row instead of a join and a sum per constituent.
+    its tides by arithmetic in one row instead of a join and a sum per constituent.  A
+    station without a fit keeps its rows, with NULL tides.
     """
     keys = list(keys)
     columns = [
@@ -185,7 +186,7 @@ def reconstruct(times: DataFrame, fits: DataFrame, keys=("port",), constituents=
     ]
     wide = fits.groupBy(*keys).agg(*columns)
     hours = epoch_micros(time) / F.lit(float(HOUR_MICROS))
-    out = times.join(wide, keys)
+    out = times.join(wide, keys, "left")
     tides = {}
     for side in ("obs", "mod"):
         for band, members in (("all", constituents), ("semidiurnal", SEMIDIURNAL), ("diurnal", DIURNAL)):

@@ -35,7 +35,7 @@ def gauge_scores(extract: DataFrame, minimum: int = 4380, smoothed: bool = False
     if smoothed:
         series = cut_lineage(series)  # read three times below
         smooth = smooth_residual(regular_hours(series.select("port", "time", "ntr_obs", "ntr_mod")))
-        series = series.select("port", "time", "ssh_obs", "ssh_mod").join(smooth, ["port", "time"])
+        series = series.select("port", "time", "ssh_obs", "ssh_mod").join(smooth, ["port", "time"], "left")
     return tide_gauge_stats(series.withColumn("season", season("time")))
 
 

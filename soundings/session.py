@@ -35,11 +35,13 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor can reach, for checkpoints and written stages.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (tests
-    on one machine) a temporary folder is made and set.
+    The cluster names it in ``spark.checkpoint.dir``.  Only on a local master (tests on
+    one machine) may that be unset; a temporary folder is then made.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = getattr(spark.sparkContext, "_soundings_folder", None)
         if not folder:
             folder = tempfile.mkdtemp(prefix="soundings-")
@@ -63,3 +65,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = stage_path(spark, uuid.uuid4().hex)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_stages(spark: SparkSession) -> None:
+    """Delete what ``cut_lineage`` has written for this application.
+
+    Call it when no DataFrame built on such a stage is needed any more, as at the end of a run.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(stage_path(spark, ""))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
