@@ -151,7 +151,45 @@ def _(t):
     return A.harmonic_fit(t("tg_dense"), "ssh_obs", constituents=["M2"], trend=False)
 
 
-@query("harmonic_fit_W04", "port:int constituent:s a:d g:d")
+# Speeds in degrees per hour, in the order in which constituents are kept.
+FIT_SPEEDS = {"M2": 28.9841042, "S2": 30.0, "K1": 15.0410686, "O1": 13.9430356, "N2": 28.4397295, "P1": 14.9589314, "K2": 30.0821373, "Q1": 13.3986609}
+SPEED_SQL = "[" + ", ".join(f"{{{{'name': '{c}', 'speed': {v!r}::double}}}}" for c, v in FIT_SPEEDS.items()) + "]"
+SPEED_SQL = SPEED_SQL.replace("{{", "{").replace("}}", "}")
+
+
+def full_fit_sql(rows: str, by: list[str], minimum: int = 0) -> str:
+    """Normal equations of all constituents each group resolves, solved by elimination, one unknown a step.
+
+    ``rows`` has the ``by`` columns, us (microseconds) and y.  Unknowns are the constant (0), the
+    trend (1), and a cosine and a sine of each constituent; column 99 is the right side.
+    """
+    keys, on = ", ".join(by), lambda a, b: " and ".join(f"{a}.{k} = {b}.{k}" for k in by)
+    of = lambda a: ", ".join(f"{a}.{k}" for k in by)
+    return f"""
+(with recursive src as (select {keys}, us, y, row_number() over (order by {keys}, us, y) as r from ({rows}) where y is not null),
+ span as (select {keys}, min(us) as u0, max(us) as u1, count(*) as n, (max(us) - min(us)) / 3.6E9 + 1 as hours from src group by {keys} having count(*) >= {minimum}),
+ kept as (select *, list_reduce([[0.0::double], {", ".join(f"[{v!r}::double]" for v in FIT_SPEEDS.values())}],
+   lambda k, x: case when len(list_filter(k, lambda z: abs(z - x[1]) * hours < 360)) = 0 then list_concat(k, x) else k end)[2:] as speeds from span),
+ used as (select *, 2 + 2 * len(speeds) as d from kept where len(speeds) > 0 and n >= 2 + 2 * len(speeds)),
+ wave as (select {of("u")}, s.r, unnest(range(0, len(u.speeds))) as k, radians(((s.us / 3.6E9) * unnest(u.speeds)) % 360) as w from src s join used u on {on("s", "u")}),
+ basis as (select {of("s")}, s.r, 0 as k, 1.0::double as x from src s join used u on {on("s", "u")}
+   union all select {of("s")}, s.r, 1, 2.0 * (s.us - u.u0) / greatest(u.u1 - u.u0, 1) - 1 from src s join used u on {on("s", "u")}
+   union all select {keys}, r, 2 + 2 * k, cos(w) from wave union all select {keys}, r, 3 + 2 * k, sin(w) from wave),
+ sides as (select * from basis union all select {of("s")}, s.r, 99, s.y from src s join used u on {on("s", "u")}),
+ normal as (select {of("a")}, a.k as i, b.k as j, sum(a.x * b.x) as v from basis a join sides b on a.r = b.r group by {of("a")}, a.k, b.k),
+ solved as (select 0 as step, u.d, {of("m")}, m.i, m.j, m.v from normal m join used u on {on("m", "u")}
+   union all
+   select e.step + 1, e.d, {of("e")}, e.i, e.j, case when e.i = e.step then e.v / p.v else e.v - c.v * r.v / p.v end
+   from solved e join solved p on {on("p", "e")} and p.i = e.step and p.j = e.step join solved r on {on("r", "e")} and r.i = e.step and r.j = e.j
+   join solved c on {on("c", "e")} and c.i = e.i and c.j = e.step where e.step < e.d),
+ found as (select {keys}, i, v from solved where step = d and j = 99),
+ waves as (select {of("c")}, (c.i - 2) // 2 as k, c.v as p, s.v as q from found c join found s on {on("c", "s")} and s.i = c.i + 1 where c.i >= 2 and c.i % 2 = 0)
+ select {of("w")}, list_filter({SPEED_SQL}, lambda z: z.speed = u.speeds[w.k + 1])[1].name as constituent, sqrt(p * p + q * q) as a,
+   ((degrees(atan2(q, p)) % 360.0E0) + 360.0E0) % 360.0E0 as g from waves w join used u on {on("w", "u")})"""
+
+
+@query("harmonic_fit_W04", "port:int constituent:s a:d g:d",
+       "select port, constituent, a, g from " + full_fit_sql("select port, epoch_us(time) as us, ssh_obs as y from {tg_dense}", ["port"], 30))
 def _(t):
     return A.harmonic_fit(t("tg_dense"), "ssh_obs", minimum=30)
 
@@ -213,7 +251,8 @@ def _(t):
     return A.lookup_constituents(A.constituent_table(t("tide_fit_a")), ["M2", "S2", "K1", "O1"])
 
 
-@query("record_length_sweep_W09", "port:int length:int constituent:s a:d g:d")
+@query("record_length_sweep_W09", "port:int length:int constituent:s a:d g:d", "select port, length, constituent, a, g from " + full_fit_sql(
+    f"select g.port, l.length, epoch_us(time) as us, ssh as y from ({GRID}) g join (select unnest([25, 225, 425, 625, 720]) as length) l on g.i < l.length", ["port", "length"]))
 def _(t):
     return A.record_length_sweep(slots.regular_hours(t("tg_dense")), "ssh", [25, 225, 425, 625, 720])
 
@@ -343,6 +382,21 @@ def _(t):
     return gauge_validation.gauge_scores(t("tg_dense").drop("ssh"), minimum=30, constituents=["M2"])
 
 
-@query("gauge_validation_all_constituents", "port:int season:s ssh_std_err:d ntr_mae:d ntr_rmse:d ntr_corr:d n:long")
+PAIRS = """select port, time, ssh_obs - avg(ssh_obs) over (partition by port) as ssh_obs, ssh_mod - avg(ssh_mod) over (partition by port) as ssh_mod
+               from {tg_dense} where ssh_obs is not null and ssh_mod is not null"""
+PAIR_SIDES = f"select port, 'obs' as source, epoch_us(time) as us, ssh_obs as y from ({PAIRS}) union all select port, 'mod' as source, epoch_us(time) as us, ssh_mod as y from ({PAIRS})"
+FITTED = "case constituent " + " ".join(f"when '{c}' then {v!r}" for c, v in FIT_SPEEDS.items()) + " end"
+
+
+@query("gauge_validation_all_constituents", "port:int season:s ssh_std_err:d ntr_mae:d ntr_rmse:d ntr_corr:d n:long", f"""
+with pairs as ({PAIRS} qualify count(*) over (partition by port) >= 30),
+fit as (select * from {full_fit_sql(PAIR_SIDES, ["port", "source"])}),
+tide as (select e.port, e.time, sum(case when f.source = 'obs' then a * cos(radians((epoch_us(e.time) / 3.6E9 * {FITTED}) % 360.0E0) - radians(f.g)) end) as tide_obs,
+         sum(case when f.source = 'mod' then a * cos(radians((epoch_us(e.time) / 3.6E9 * {FITTED}) % 360.0E0) - radians(f.g)) end) as tide_mod
+         from pairs e left join fit f on f.port = e.port group by e.port, e.time),
+v as (select e.port, {season_sql('month(e.time)')} as season, e.ssh_obs, e.ssh_mod, e.ssh_obs - tide_obs as ntr_obs, e.ssh_mod - tide_mod as ntr_mod
+      from pairs e join tide t on t.port = e.port and t.time = e.time)
+select port, season, ssh_std_err, ntr_mae, ntr_rmse, ntr_corr, n from (select port, case when grouping(season) = 1 then 'All' else season end as season, {STATS},
+       case when grouping(season) = 1 or count(*) > 100 then corr(ntr_obs, ntr_mod) end as ntr_corr, count(ntr_obs - ntr_mod) as n from v group by grouping sets ((port, season), (port)))""")
 def _(t):
     return gauge_validation.gauge_scores(t("tg_dense").drop("ssh"), minimum=30)

@@ -2,125 +2,165 @@
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from soundings.functions.scalars import epoch_micros, polar_x, polar_y, ratio, wrap_phase
 from soundings.operators.slots import HOUR_MICROS
 
-# Constituent speeds in degrees per hour.
-SPEEDS = {
-    "M2": 28.9841042, "S2": 30.0, "N2": 28.4397295, "K2": 30.0821373,
-    "K1": 15.0410686, "O1": 13.9430356, "P1": 14.9589314, "Q1": 13.3986609,
-    "M4": 57.9682084,
-}
+class Constituent(NamedTuple):
+    """A row of a table of constituents: speed in degrees per hour; band is 'long', 'diurnal', 'semidiurnal' or 'shallow'."""
+
+    name: str
+    speed: float
+    band: str
+
+
+# Tidal constituents, largest first.  When two cannot be told apart, the one
+# that stands first is kept.
+KNOWN = (
+    Constituent("M2", 28.9841042, "semidiurnal"), Constituent("S2", 30.0, "semidiurnal"), Constituent("K1", 15.0410686, "diurnal"),
+    Constituent("O1", 13.9430356, "diurnal"), Constituent("N2", 28.4397295, "semidiurnal"), Constituent("P1", 14.9589314, "diurnal"),
+    Constituent("K2", 30.0821373, "semidiurnal"), Constituent("Q1", 13.3986609, "diurnal"), Constituent("M4", 57.9682084, "shallow"),
+    Constituent("SA", 0.0410686, "long"), Constituent("SSA", 0.0821373, "long"), Constituent("MF", 1.0980331, "long"),
+    Constituent("MM", 0.5443747, "long"), Constituent("NU2", 28.5125831, "semidiurnal"), Constituent("MU2", 27.9682084, "semidiurnal"),
+    Constituent("L2", 29.5284789, "semidiurnal"), Constituent("T2", 29.9589333, "semidiurnal"), Constituent("2N2", 27.8953548, "semidiurnal"),
+    Constituent("J1", 15.5854433, "diurnal"), Constituent("M1", 14.4966939, "diurnal"), Constituent("OO1", 16.1391017, "diurnal"),
+    Constituent("RHO1", 13.4715145, "diurnal"), Constituent("2Q1", 12.8542862, "diurnal"), Constituent("S1", 15.0, "diurnal"),
+    Constituent("LAM2", 29.4556253, "semidiurnal"), Constituent("R2", 30.0410667, "semidiurnal"), Constituent("2SM2", 31.0158958, "semidiurnal"),
+    Constituent("MSF", 1.0158958, "long"), Constituent("MS4", 58.9841042, "shallow"), Constituent("MN4", 57.4238337, "shallow"),
+    Constituent("S4", 60.0, "shallow"), Constituent("M6", 86.9523127, "shallow"), Constituent("MK3", 44.0251729, "shallow"),
+    Constituent("2MK3", 42.9271398, "shallow"), Constituent("M3", 43.4761563, "shallow"), Constituent("S6", 90.0, "shallow"),
+    Constituent("M8", 115.9364166, "shallow"),
+)
+SPEEDS = {c.name: c.speed for c in KNOWN}
 SEMIDIURNAL = ("M2", "S2", "K2", "N2")
 DIURNAL = ("K1", "O1", "P1", "Q1")
-# When two constituents cannot be told apart, the one named first here is kept.
-BY_SIZE = ("M2", "S2", "K1", "O1", "N2", "P1", "K2", "Q1", "M4")
 CONSTITUENTS = ("M2", "S2", "K2", "N2", "K1", "O1", "P1", "Q1")
+ALL = tuple(c.name for c in KNOWN)
+
+
+def constituents_of(wanted) -> list[Constituent]:
+    """Rows of the table for names, which come in the table's order; rows given as such are kept as they are."""
+    own = [c for c in wanted if isinstance(c, Constituent)]
+    names = {c for c in wanted if not isinstance(c, Constituent)}
+    unknown = sorted(names - set(SPEEDS))
+    if unknown:
+        raise ValueError(f"unknown constituents {unknown}: give them as Constituent(name, speed, band)")
+    return own + [c for c in KNOWN if c.name in names]
 
 
 def resolvable(constituents, hours: float) -> list[str]:
     """Constituents a record of ``hours`` can separate (Rayleigh criterion)."""
-    kept: list[str] = []
-    for name in sorted(constituents, key=BY_SIZE.index):
-        speed = SPEEDS[name]
-        others = [SPEEDS[k] for k in kept] + [0.0]
-        if all(hours >= 360.0 / abs(speed - other) for other in others):
-            kept.append(name)
-    return kept
+    kept: list[Constituent] = []
+    for one in constituents_of(constituents):
+        if all(hours >= 360.0 / abs(one.speed - other) for other in [k.speed for k in kept] + [0.0]):
+            kept.append(one)
+    return [c.name for c in kept]
 
 
-def phase_angle(name: str, hours: Column) -> Column:
+def phase_angle(constituent: str | Constituent, hours: Column) -> Column:
     """Angle in radians of a constituent, reduced to one turn before it is converted."""
-    return F.radians(F.pmod(hours * F.lit(SPEEDS[name]), F.lit(360.0)))
+    speed = constituents_of([constituent])[0].speed
+    return F.radians(F.pmod(hours * F.lit(speed), F.lit(360.0)))
 
 
-def _terms(constituents, trend: bool) -> list[str]:
-    return ["one"] + (["slope"] if trend else []) + [f"{f}_{c}" for c in constituents for f in ("cos", "sin")]
+#: A task keeps sums of so many records before it passes them on.
+HELD = 128
 
 
-def _with_basis(df: DataFrame, constituents, trend: bool, hours: Column, centred: Column) -> DataFrame:
-    columns = {"_b_one": F.lit(1.0)}
-    if trend:
-        columns["_b_slope"] = centred
-    for c in constituents:
-        angle = phase_angle(c, hours)
-        columns[f"_b_cos_{c}"], columns[f"_b_sin_{c}"] = F.cos(angle), F.sin(angle)
-    return df.withColumns(columns)
+def _basis(micros: np.ndarray, centred: np.ndarray, constituents: list[Constituent], trend: bool) -> np.ndarray:
+    """One column for each unknown: constant, trend, and a cosine and a sine of each constituent."""
+    hours = micros / float(HOUR_MICROS)
+    angles = np.radians(np.outer(hours, [c.speed for c in constituents]) % 360.0)
+    waves = np.stack([np.cos(angles), np.sin(angles)], axis=2).reshape(len(hours), -1)
+    return np.column_stack([np.ones(len(hours)), *([centred] if trend else []), waves])
 
 
-def _sums(terms: list[str]) -> list[Column]:
-    out = []
-    for i, a in enumerate(terms):
-        out.append(F.sum(F.col(f"_b_{a}") * F.col("_y")).alias(f"r_{i}"))
-        for j in range(i, len(terms)):
-            out.append(F.sum(F.col(f"_b_{a}") * F.col(f"_b_{terms[j]}")).alias(f"m_{i}_{j}"))
-    return out
+def _summing(keys: list[str], constituents: list[Constituent], trend: bool):
+    """Products of all unknowns' columns with each other and with the record, summed per task and record."""
+    def add(batches):
+        held: dict[tuple, list] = {}
 
+        def out():
+            rows = [(*k, n, a, b, products.tobytes()) for k, (n, a, b, products) in held.items()]
+            held.clear()
+            return pd.DataFrame(rows, columns=[*keys, "_n", "_u0", "_u1", "_sums"])
 
-def _solver(keys: list[str], constituents: list[str], terms: list[str]):
-    """Solve the small normal equations of each row; one output row per constituent."""
-    place = {t: k for k, t in enumerate(terms)}
-
-    def solve(batches):
         for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                names = resolvable(constituents, row["_hours"])
-                use = [place[t] for t in terms
-                       if t in ("one", "slope") or t.split("_")[1] in names]
-                if row["_n"] < len(use) or not names:
-                    continue
-                m = np.array([[row[f"m_{min(i, j)}_{max(i, j)}"] for j in use] for i in use])
-                r = np.array([row[f"r_{i}"] for i in use])
-                scale = np.sqrt(np.diag(m))
-                if not np.all(scale > 0):
-                    continue
-                fit, _, rank, _ = np.linalg.lstsq(m / np.outer(scale, scale), r / scale, rcond=1e-12)
-                if rank < len(use):
-                    continue
-                value = dict(zip(use, fit / scale))
-                for c in names:
-                    x, y = value[place[f"cos_{c}"]], value[place[f"sin_{c}"]]
-                    out.append({**{k: row[k] for k in keys}, "constituent": c, "a": math.hypot(x, y),
-                                "g": math.degrees(math.atan2(y, x)) % 360.0})
-            yield pd.DataFrame(out, columns=[*keys, "constituent", "a", "g"])
-
-    return solve
+            for key, own in batch.groupby(keys, dropna=False):
+                micros = own["_us"].to_numpy()
+                columns = np.column_stack([_basis(micros, own["_c"].to_numpy(), constituents, trend), own["_y"].to_numpy()])
+                have = held.setdefault(tuple(key), [0, micros[0], micros[0], 0.0])
+                have[0] += len(own)
+                have[1], have[2] = min(have[1], micros.min()), max(have[2], micros.max())
+                have[3] = have[3] + columns.T @ columns
+            if len(held) >= HELD:
+                yield out()
+        yield out()
+    return add
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    flat = np.frombuffer(blob, np.float64)
+    return flat.reshape(int(round(len(flat) ** 0.5)), -1)
+
+
+def _solve(m: np.ndarray, n: int, hours: float, constituents: list[Constituent], trend: bool) -> list[tuple[str, float, float]]:
+    """(name, amplitude, phase) of the constituents the record resolves; none if the sums do not determine them."""
+    names = resolvable(constituents, hours)
+    first = 2 if trend else 1
+    place = {c.name: first + 2 * k for k, c in enumerate(constituents)}
+    use = [*range(first), *(i for c in constituents if c.name in names for i in (place[c.name], place[c.name] + 1))]
+    if n < len(use) or not names:
+        return []
+    left, right = m[np.ix_(use, use)], m[use, -1]
+    scale = np.sqrt(np.diag(left))
+    if not np.all(scale > 0):
+        return []
+    fit, _, rank, _ = np.linalg.lstsq(left / np.outer(scale, scale), right / scale, rcond=1e-12)
+    if rank < len(use):
+        return []
+    value = dict(zip(use, fit / scale))
+    return [(c, math.hypot(value[place[c]], value[place[c] + 1]), math.degrees(math.atan2(value[place[c] + 1], value[place[c]])) % 360.0) for c in names]
 
 
 def _schema(df: DataFrame, keys) -> str:
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return ", ".join(f"`{k}` {types[k]}" for k in keys) + ", constituent string, a double, g double"
+    return ", ".join(f"`{k}` {types[k]}" for k in keys)
+
+
+FIT = ", constituent string, a double, g double"
+SUMS = ", _n long, _u0 long, _u1 long, _sums binary"
 
 
 def harmonic_fit(series: DataFrame, value: str, keys=("port",), constituents=CONSTITUENTS, trend: bool = True,
                  time="time", minimum: int = 0) -> DataFrame:
     """(keys, constituent, a, g): least-squares amplitude and phase lag in degrees.
 
-    The record itself is only summed: products of the basis functions, added up per group
-    with partial sums before the shuffle, so a record of any length becomes one row.  The
-    rows are then solved in batches.  No nodal corrections; phases refer to 1970-01-01.
+    ``constituents`` are names of the table or own ``Constituent`` rows.  The record itself is only summed:
+    each task adds up one small matrix of products per record, so a record of any length
+    becomes a row per task; those meet and are solved.  No nodal corrections; phases refer to 1970-01-01.
     """
-    keys, constituents = list(keys), list(constituents)
-    terms = _terms(constituents, trend)
-    rows = series.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_y"), epoch_micros(time).alias("_us"))
-    hours = F.col("_us") / F.lit(float(HOUR_MICROS))
+    keys, chosen = list(keys), constituents_of(constituents)
+    rows = series.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_y"), epoch_micros(time).alias("_us"))
     if trend:
         span = rows.groupBy(*keys).agg(F.min("_us").alias("_u0"), F.max("_us").alias("_u1"))
-        rows = rows.join(span, keys)
-        centred = ratio(F.col("_us") - (F.col("_u0") + F.col("_u1")) / 2, F.greatest(F.col("_u1") - F.col("_u0"), F.lit(1)) / 2)
+        rows = rows.join(span, keys).withColumn(
+            "_c", ratio(F.col("_us") - (F.col("_u0") + F.col("_u1")) / 2, F.greatest(F.col("_u1") - F.col("_u0"), F.lit(1)) / 2)).drop("_u0", "_u1")
     else:
-        centred = F.lit(0.0)
-    summed = _with_basis(rows, constituents, trend, hours, centred).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        ((F.max("_us") - F.min("_us")) / F.lit(float(HOUR_MICROS)) + 1).alias("_hours"), *_sums(terms))
-    return summed.filter(F.col("_n") >= minimum).mapInPandas(
-        _solver(keys, constituents, terms), _schema(series, keys))
+        rows = rows.withColumn("_c", F.lit(0.0))
+
+    def solve(key, parts):
+        n, hours = int(parts["_n"].sum()), (parts["_u1"].max() - parts["_u0"].min()) / HOUR_MICROS + 1
+        found = _solve(sum(_unpacked(s) for s in parts["_sums"]), n, hours, chosen, trend) if n >= minimum else []
+        return pd.DataFrame([(*key, *f) for f in found], columns=[*keys, "constituent", "a", "g"])
+
+    return rows.mapInPandas(_summing(keys, chosen, trend), _schema(series, keys) + SUMS).groupBy(*keys).applyInPandas(
+        solve, _schema(series, keys) + FIT)
 
 
 def record_length_sweep(series: DataFrame, value: str, lengths, keys=("port",), constituents=CONSTITUENTS,
@@ -130,25 +170,30 @@ def record_length_sweep(series: DataFrame, value: str, lengths, keys=("port",),
     A row is summed once, into the shortest length it belongs to; sums of longer records
     are running totals over those few rows.  ``series`` comes from ``regular_hours``.
     """
-    keys, constituents, lengths = list(keys), list(constituents), sorted(lengths)
-    terms = _terms(constituents, True)
+    keys, chosen, lengths = list(keys), constituents_of(constituents), sorted(lengths)
     step = F.lit(None).cast("int")
     for length in reversed(lengths):
         step = F.when(F.col("i") < length, F.lit(length)).otherwise(step)
     rows = (
         series.filter(F.col(value).isNotNull())
-        .select(*keys, F.col(value).alias("_y"), "i", epoch_micros(time).alias("_us"))
-        .withColumn("length", step).filter(F.col("length").isNotNull())
+        .select(*keys, step.alias("length"), F.col(value).cast("double").alias("_y"), epoch_micros(time).alias("_us"),
+                (F.col("i") / F.lit(float(lengths[-1]))).alias("_c"))
+        .filter(F.col("length").isNotNull())
     )
-    hours = F.col("_us") / F.lit(float(HOUR_MICROS))
-    parts = _with_basis(rows, constituents, True, hours, F.col("i") / F.lit(float(lengths[-1]))).groupBy(*keys, "length").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("i").alias("_i0"), F.max("i").alias("_i1"), *_sums(terms))
-    w = Window.partitionBy(*keys).orderBy("length").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    names = [c for c in parts.columns if c == "_n" or c.startswith(("r_", "m_"))]
-    running = parts.select(
-        *keys, "length", (F.max("_i1").over(w) - F.min("_i0").over(w) + 1).cast("double").alias("_hours"),
-        *[F.sum(c).over(w).alias(c) for c in names])
-    return running.mapInPandas(_solver([*keys, "length"], constituents, terms), _schema(running, [*keys, "length"]))
+    by = [*keys, "length"]
+
+    def solve(key, parts):
+        out, n, total, first, last = [], 0, 0.0, None, None
+        for length, own in parts.sort_values("length").groupby("length"):
+            n += int(own["_n"].sum())
+            total = total + sum(_unpacked(s) for s in own["_sums"])
+            first = own["_u0"].min() if first is None else min(first, own["_u0"].min())
+            last = own["_u1"].max() if last is None else max(last, own["_u1"].max())
+            out += [(*key, length, *f) for f in _solve(total, n, (last - first) / HOUR_MICROS + 1, chosen, True)]
+        return pd.DataFrame(out, columns=[*by, "constituent", "a", "g"])
+
+    return rows.mapInPandas(_summing(by, chosen, True), _schema(rows, by) + SUMS).groupBy(*keys).applyInPandas(
+        solve, _schema(rows, by) + FIT)
 
 
 def constituent_table(fits: DataFrame, keys=("port",)) -> DataFrame:
@@ -179,24 +224,27 @@ def reconstruct(times: DataFrame, fits: DataFrame, keys=("port",), constituents=
     its tides by arithmetic in one row instead of a join and a sum per constituent.  A
     station without a fit keeps its rows, with NULL tides.
     """
-    keys = list(keys)
+    keys, chosen = list(keys), constituents_of(constituents)
+    pairs = [(side, c) for side in ("obs", "mod") for c in chosen]
     columns = [
-        F.max(F.when((F.col("source") == side) & (F.col("constituent") == c), F.col(p))).alias(f"_{p}_{side}_{c}")
-        for side in ("obs", "mod") for c in constituents for p in ("a", "g")
+        F.max(F.when((F.col("source") == side) & (F.col("constituent") == c.name), F.col(p))).alias(f"_{p}_{side}_{c.name}")
+        for side, c in pairs for p in ("a", "g")
     ]
     wide = fits.groupBy(*keys).agg(*columns)
     hours = epoch_micros(time) / F.lit(float(HOUR_MICROS))
     out = times.join(wide, keys, "left")
     tides = {}
     for side in ("obs", "mod"):
-        for band, members in (("all", constituents), ("semidiurnal", SEMIDIURNAL), ("diurnal", DIURNAL)):
-            total, known = F.lit(0.0), F.lit(False)
-            for c in (m for m in constituents if m in members):
-                a, g = F.col(f"_a_{side}_{c}"), F.col(f"_g_{side}_{c}")
-                total = total + F.coalesce(a * F.cos(phase_angle(c, hours) - F.radians(g)), F.lit(0.0))
-                known = known | a.isNotNull()
-            tides[f"tide_{side}_{band}"] = F.when(known, total)
-    return out.withColumns(tides).drop(*[f"_{p}_{s}_{c}" for s in ("obs", "mod") for c in constituents for p in ("a", "g")])
+        for band, members in (("all", ALL), ("semidiurnal", SEMIDIURNAL), ("diurnal", DIURNAL)):
+            terms, known = [], []
+            for c in chosen:
+                if band == "all" or c.name in members:
+                    a, g = F.col(f"_a_{side}_{c.name}"), F.col(f"_g_{side}_{c.name}")
+                    terms.append(F.coalesce(a * F.cos(phase_angle(c, hours) - F.radians(g)), F.lit(0.0)))
+                    known.append(a)
+            total = F.aggregate(F.array(*terms), F.lit(0.0), lambda x, y: x + y) if terms else F.lit(0.0)
+            tides[f"tide_{side}_{band}"] = F.when(F.coalesce(*known).isNotNull(), total) if known else F.lit(None).cast("double")
+    return out.withColumns(tides).drop(*[f"_{p}_{s}_{c.name}" for s, c in pairs for p in ("a", "g")])
 
 
 def tide_bands(reconstructed: DataFrame, keys=("port",), time="time") -> DataFrame:

@@ -77,3 +77,29 @@ def test_stages_can_be_removed(spark, tmp_path, monkeypatch):
     assert session.cut_lineage(spark.range(5)).count() == 5 and len(list(tmp_path.glob("stages/*"))) == 1
     session.remove_stages(spark)
     assert not (tmp_path / "stages").exists()
+
+
+def test_many_constituents_are_recovered(spark):
+    import math
+
+    planted = {c.name: (0.02 + 0.9 / (k + 1), (37.0 * k) % 360) for k, c in enumerate(tide.KNOWN)}
+    own = tide.Constituent("X5", 73.25, "shallow")
+    planted["X5"] = (0.3, 123.0)
+    hours = 24 * 380
+    kept = tide.resolvable([*tide.ALL, own], hours)
+    assert len(kept) >= 30 and "X5" in kept
+    speeds = {**tide.SPEEDS, "X5": 73.25}
+    epoch = (T0 - dt.datetime(1970, 1, 1)).total_seconds() / 3600
+    rows = [(1, T0 + dt.timedelta(hours=k), 0.2 + sum(planted[c][0] * math.cos(math.radians(speeds[c] * (epoch + k) - planted[c][1])) for c in kept), None)
+            for k in range(hours)]
+    df = gauges(spark, rows)
+    fits = tide.harmonic_fit(df, "ssh_obs", constituents=[own, *(c for c in kept if c != "X5")])
+    got = {r.constituent: r for r in fits.collect()}
+    assert set(got) == set(kept)
+    for c in kept:
+        assert got[c].a == pytest.approx(planted[c][0], abs=1e-5) and (got[c].g - planted[c][1] + 180) % 360 - 180 == pytest.approx(0, abs=1e-2)
+    both = fits.withColumn("source", F.lit("obs"))
+    back = tide.reconstruct(df, both, constituents=[own, *(c for c in kept if c != "X5")]).filter("abs(tide_obs_all + 0.2 - ssh_obs) > 1e-4 or tide_obs_all is null")
+    assert back.count() == 0
+    with pytest.raises(ValueError, match="unknown constituents"):
+        tide.harmonic_fit(df, "ssh_obs", constituents=["M2", "ZZ9"])
