@@ -181,8 +181,9 @@ def _accept(model, threshold: float):
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` scored at ``threshold`` or more, with the columns of ``docs``.
 
-    Only the labelled documents are looked at for fitting; then one pass scores and filters.
+    Two passes over the texts, one for the vectors to fit on and one that scores and filters;
+    only vectors are joined, so no text is shuffled.
     """
-    labelled = docs.join(labels.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id") == F.col("_id"), "left_semi")
-    model = fit(document_vectors(labelled), labels.select("doc_id", "label").filter(remainder("doc_id", 5) != 0))
+    vectors = cut_lineage(document_vectors(docs))
+    model = fit(vectors, labels.select("doc_id", "label").filter(remainder("doc_id", 5) != 0))
     return docs.mapInArrow(_accept(docs.sparkSession.sparkContext.broadcast(model), threshold), docs.schema)
