@@ -111,20 +111,20 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     column are replaced.
     """
     named = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
-    texts = docs.select(*named, normalised(text_column).alias("_norm")).withColumn("_print", F.xxhash64("_norm"))
-    again = cut_lineage(repeated_fingerprints(texts.select(F.col("_print").alias("fingerprint"))))
+    # the caller's columns travel in a struct, so that no name can clash with one used here
+    texts = docs.select(F.struct(*named).alias("row"), normalised(text_column).alias("norm")).withColumn("print", F.xxhash64("norm"))
+    again = cut_lineage(repeated_fingerprints(texts.select(F.col("print").alias("fingerprint"))))
     routed = cut_lineage(
-        texts.join(again, texts["_print"] == again["fingerprint"], "left")
-        .select(*named, F.sha2("_norm", 256).alias("text_sha256"), F.when(F.col("copies") > 1, F.col("_norm")).alias("_norm")))
-    alone = routed.filter("_norm is null").select(
-        *named, "text_sha256", F.col(id_column).alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
-        F.lit(True).alias("kept"))
-    checked = routed.filter("_norm is not null")
-    groups = checked.groupBy(F.col("_norm").alias("_same")).agg(
-        F.min(id_column).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    verified = checked.join(groups, F.col("_norm") == F.col("_same")).select(
-        *named, "text_sha256", "keep_id", "group_size", F.col(id_column).eqNullSafe(F.col("keep_id")).alias("kept"))
-    return alone.unionByName(verified)
+        texts.join(again, F.col("print") == F.col("fingerprint"), "left")
+        .select("row", F.sha2("norm", 256).alias("text_sha256"), F.when(F.col("copies") > 1, F.col("norm")).alias("norm")))
+    own_id = F.col("row").getField(id_column)
+    result = ["row", "text_sha256", "keep_id", "group_size", "kept"]
+    alone = routed.filter("norm is null").select(
+        "row", "text_sha256", own_id.alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    checked = routed.filter("norm is not null")
+    groups = checked.groupBy(F.col("norm").alias("same")).agg(F.min(own_id).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    verified = checked.join(groups, F.col("norm") == F.col("same")).withColumn("kept", own_id.eqNullSafe(F.col("keep_id"))).select(*result)
+    return alone.unionByName(verified).select(*(F.col("row").getField(c).alias(c) for c in named), *result[1:])
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:

@@ -222,4 +222,4 @@ def first_documents(docs: DataFrame, width: int = 5, distance: int = DISTANCE) -
     Rows that repeat the staying doc_id all stay, and so do NULL ids.
     """
     gone = near_duplicates(docs, width, distance).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
