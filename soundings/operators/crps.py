@@ -1,7 +1,7 @@
 """Neighbourhood CRPS of surface observations."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from soundings.functions.scalars import CRPS_RADII_KM, ratio
 from soundings.operators.spatial import neighbourhood
@@ -43,18 +43,20 @@ def neighbourhood_crps(obs: DataFrame, cells: DataFrame, field: DataFrame, varia
         obs.unpivot([key, "lon", "lat", "t"], list(variables), "variable", "_y").filter(F.col("_y").isNotNull())
         .join(ring, ["lon", "lat"]).select(key, "t", "variable", "_y", "_land", F.inline("_cells"))
         .join(model, ["x", "y", "t", "variable"], "left")
-        .select(key, "variable", F.explode("_in").alias("radius_km"), "_y", "_x", "_land")
+        .groupBy(key, "variable").agg(
+            F.first("_y").alias("_y"), F.first("_land").alias("_land"),
+            F.sort_array(F.collect_list(F.when(F.col("_x").isNotNull(), F.struct("_x", "_in")))).alias("_near"))
     )
-    w = Window.partitionBy(key, "variable", "radius_km").orderBy(F.asc_nulls_last("_x"))
-    scored = (
-        ensemble.withColumn("_i", F.row_number().over(w)).groupBy(key, "variable", "radius_km")
-        .agg(F.count("_x").alias("n_points"), F.avg(F.abs(F.col("_x") - F.col("_y"))).alias("_miss"),
-             F.sum("_x").alias("_sx"), F.sum(F.col("_i") * F.col("_x")).alias("_six"),
-             F.max(F.array_contains("_land", F.col("radius_km"))).alias("land"))
-    )
-    n = F.col("n_points")
-    spread = ratio(2 * F.col("_six") - (n + 1) * F.col("_sx"), n * n)
-    return scored.select(key, "variable", "radius_km", (F.col("_miss") - spread).alias("crps"), "n_points", "land")
+    # The values are in order once, for all radii; a radius takes its own from them.
+    each = ensemble.withColumn("radius_km", F.explode(F.array(*[F.lit(r) for r in radii]))).withColumn(
+        "_xs", F.transform(F.filter("_near", lambda s: F.array_contains(s["_in"], F.col("radius_km"))), lambda s: s["_x"]))
+    n = F.size("_xs")
+    zero = F.lit(0.0)
+    ranked = F.zip_with("_xs", F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda x, i: F.coalesce(x * i, zero))
+    miss = ratio(F.aggregate("_xs", zero, lambda acc, x: acc + F.abs(x - F.col("_y"))), n)
+    spread = ratio(2 * F.aggregate(ranked, zero, lambda acc, x: acc + x) - (n + 1) * F.aggregate("_xs", zero, lambda acc, x: acc + x), n * n)
+    return each.select(key, "variable", "radius_km", (miss - spread).alias("crps"), n.cast("long").alias("n_points"),
+                       F.array_contains("_land", F.col("radius_km")).alias("land"))
 
 
 def regional_crps(crps: DataFrame, membership: DataFrame, errors: DataFrame, key="profile_id") -> DataFrame:

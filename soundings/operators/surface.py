@@ -5,11 +5,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from soundings.functions.scalars import DOMAIN_LAT, DOMAIN_LON, bin_centre, interval_bin, season_of_month
 from soundings.operators.clean import near_surface
+from soundings.schema import run_key
 
 
 def surface_mean(field: DataFrame, variables, depth: float = 5.0, keys=("x", "y", "t")) -> DataFrame:
-    """Plain mean of the levels no deeper than ``depth``."""
-    return near_surface(field, depth).groupBy(*keys).agg(*[F.avg(v).alias(v) for v in variables])
+    """Plain mean of the levels no deeper than ``depth``; runs, where the field names them, stay apart."""
+    return near_surface(field, depth).groupBy(*run_key(field), *keys).agg(*[F.avg(v).alias(v) for v in variables])
 
 
 def with_bins(df: DataFrame, cells: int = 20, lon_bounds=DOMAIN_LON, lat_bounds=DOMAIN_LAT) -> DataFrame:

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 from soundings.functions.scalars import CRPS_RADII_KM
 from soundings.operators.clean import near_surface
 from soundings.operators.crps import neighbourhood_crps, regional_crps
+from soundings.operators.spatial import neighbourhood
 from soundings.operators.surface import surface_mean
 from soundings.operators.timejoin import nearest_time
+from soundings.schema import one_run
 from soundings.session import cut_lineage
 
 
@@ -15,11 +17,19 @@ def surface_crps(headers: DataFrame, levels: DataFrame, cells: DataFrame, field:
                  radii=CRPS_RADII_KM, depth: float = 5.0) -> DataFrame:
     """CRPS of each profile's near-surface mean against the model's at the nearest time."""
     variables = list(variables)
+    field, cells = one_run(field), one_run(cells)
     top = near_surface(levels, depth).groupBy("profile_id").agg(*[F.avg(v).alias(v) for v in variables])
     timed = nearest_time(headers, field.select("t").distinct())
     # Read twice: for its positions and for its values.
     obs = cut_lineage(timed.join(top, "profile_id").select("profile_id", "lon", "lat", "t", *variables))
-    return neighbourhood_crps(obs, cells, surface_mean(field, variables, depth), variables, radii)
+    return neighbourhood_crps(obs, cells, surface_mean(needed_field(field, obs, cells, max(radii)), variables, depth), variables, radii)
+
+
+def needed_field(field: DataFrame, obs: DataFrame, cells: DataFrame, radius_km: float) -> DataFrame:
+    """The field's rows at the times of observations and in cells within the radius of one then."""
+    places = neighbourhood(obs.select("lon", "lat").distinct(), cells, radius_km).select("lon", "lat", "x", "y")
+    wanted = obs.select("lon", "lat", "t").distinct().join(places, ["lon", "lat"]).select("x", "y", "t").distinct()
+    return field.join(wanted, ["x", "y", "t"], "left_semi")
 
 
 def crps_by_region(crps: DataFrame, membership: DataFrame, pairs: DataFrame, variables, depth: float = 5.0) -> DataFrame:

@@ -48,3 +48,17 @@ def canonicalise(df: DataFrame, table: str, renames: dict[str, str] | None = Non
             value = F.when(~F.isnan(value), value)
         out.append(value.alias(field.name))
     return df.select(*out)
+
+
+def run_key(*tables: DataFrame) -> list[str]:
+    """``["run"]`` if all the tables name the run of their rows, else nothing: part of the keys they share."""
+    return ["run"] if all("run" in t.columns for t in tables) else []
+
+
+def one_run(table: DataFrame) -> DataFrame:
+    """The table without ``run``; rows of a second run raise an error rather than mix with the first's."""
+    if "run" not in table.columns:
+        return table
+    first = table.select(F.min("run").alias("run")).select("run").scalar()
+    same = F.when(F.col("run").eqNullSafe(first), True).otherwise(F.raise_error(F.lit("several runs in one table: choose one")).cast("boolean"))
+    return table.filter(same).drop("run")
