@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from soundings.llm.marks import block_of, blocks_for, written
+from soundings.llm.marks import block_of, blocks_for, own_block, release
 from soundings.llm.text import WordHashes
+from soundings.session import cut_lineage
 
 FREQUENT = 512
 CLASSES = 128
@@ -31,7 +32,8 @@ ROUNDS = 3
 BATCH = 2048
 NOISE = 64
 RATE = 0.15
-UNIT_TOKENS = 1 << 20
+FIRST_SQUARE = 1e-4
+UNIT_TOKENS = 1 << 19
 SLOT = 4096
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -84,7 +86,7 @@ class _Unit:
         place[order] = np.arange(len(words), dtype=np.uint32)
         ids = np.array([-1 if i is None else i for i in self.ids], np.int64)
         flags = np.array([(i is None) + 2 * h for i, h in zip(self.ids, self.held)], np.uint8)
-        yield {"block": -1 - self.number % (1 << 20), "unit": self.number, "first": len(words), "a": place[whole].tobytes(), "b": kinds[order].tobytes(),
+        yield {"block": own_block(self.number), "unit": self.number, "first": len(words), "a": place[whole].tobytes(), "b": kinds[order].tobytes(),
                "c": ids.tobytes(), "d": np.array(self.sizes, np.uint32).tobytes(), "e": flags.tobytes()}
         block = block[order]
         cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
@@ -211,6 +213,8 @@ class LogBilinear:
             "context": random.normal(0, 0.1, (n, dimensions)), "target": random.normal(0, 0.1, (n, dimensions)),
             "last": np.eye(dimensions), "before": 0.5 * np.eye(dimensions), "bias": np.log(noise)}
         self.parts = {k: v.astype(np.float32) for k, v in self.parts.items()}
+        # squared gradients so far; the first steps are small, and stay so from unit to unit
+        self.squares = {k: np.full_like(v, FIRST_SQUARE) for k, v in self.parts.items()}
         self._norms = None
 
     def vector(self) -> np.ndarray:
@@ -230,8 +234,7 @@ class LogBilinear:
     def train(self, last: np.ndarray, before: np.ndarray, target: np.ndarray, random: np.random.Generator,
               batch: int = BATCH, noise: int = NOISE, rate: float = RATE) -> None:
         """One pass of noise-contrastive estimation with adaptive step sizes."""
-        squares = {k: np.full_like(v, 1e-6) for k, v in self.parts.items()}
-        p = self.parts
+        p, squares = self.parts, self.squares
         offset = np.log(noise * self.noise).astype(np.float32)
         cumulative = np.cumsum(self.noise)
         order = random.permutation(len(target))
@@ -360,15 +363,18 @@ def lm_scores(docs: DataFrame, held_out, frequent: int = FREQUENT, classes: int
         raise ValueError("classes are numbered in one byte")
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     sc = docs.sparkSession.sparkContext
-    sent = docs.mapInArrow(_send(blocks_for(docs), classes, unit_tokens), SENT)
-    counted = written(sent.groupBy("block").applyInPandas(_count(frequent), COUNTED))
+    counted = cut_lineage(
+        docs.mapInArrow(_send(blocks_for(docs), classes, unit_tokens), SENT).groupBy("block").applyInPandas(_count(frequent), COUNTED))
+    release(docs.sparkSession)
     top = counted.filter("kind = 'token'").orderBy(F.desc("amount"), "number").limit(frequent).select("number", "amount", "words").collect()
     sums = counted.filter("kind = 'class'").groupBy("number").agg(F.sum("amount").alias("amount"), F.sum("words").alias("words")).collect()
     corpus = Corpus([tuple(r) for r in top], [tuple(r) for r in sums], classes)
     end = corpus.symbols.get(int(WordHashes().of([END])[0]), 0)
-    numbered = written(counted.filter("kind in ('unit', 'counts')").groupBy("unit").applyInPandas(
+    numbered = cut_lineage(counted.filter("kind in ('unit', 'counts')").groupBy("unit").applyInPandas(
         _number(sc.broadcast(corpus)),
         "unit long, symbols binary, sizes binary, ids binary, flags binary, fixed binary, base binary, known binary"))
+    del counted
+    release(docs.sparkSession)
     n = corpus.frequent + classes
     vector = LogBilinear(n, corpus.noise, dimensions).vector()
     for turn in range(rounds):

@@ -8,19 +8,20 @@ the answers of a unit are put back to its documents.
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from soundings.session import cut_lineage
 
 #: A unit is closed at so many marks or so many bytes of text.
-UNIT_MARKS = 1 << 20
-UNIT_BYTES = 32 << 20
+UNIT_MARKS = 1 << 18
+UNIT_BYTES = 8 << 20
 
 #: A mark with more places than this in all documents is called crowded.
 CROWDED = 4096
@@ -32,16 +33,17 @@ SENT = "block int, unit long, values binary, counts binary, places binary, owner
 ANSWER = "unit long, places binary, values binary, ids binary, prints binary, nulls binary, bases binary"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read back; shuffle files of what came before may go.
+def release(spark: SparkSession) -> None:
+    """Let shuffle files of forgotten plans go.
 
-    Spark removes them when the driver forgets the plan, which otherwise waits for a
-    collection of the driver's garbage.
+    Spark removes them when the driver's plan is collected as garbage, which else may come
+    long after the results are written.  Forgotten objects are handed back to the driver's
+    virtual machine by a background thread, hence the pause.
     """
-    out = cut_lineage(df)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.4)
+        spark.sparkContext._jvm.System.gc()
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -101,9 +103,14 @@ def blocks_for(df: DataFrame) -> int:
     return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def own_block(unit: int) -> int:
+    """A block below zero for what a unit keeps for itself; units (task << 24 | number) have different ones."""
+    return -1 - ((unit >> 24) * 8191 + (unit & 0xFFFFFF)) % (1 << 30)
+
+
 def _documents_row(unit: Unit) -> dict:
     ids, prints, nulls, bases = unit.about()
-    return {"block": -1 - unit.number % (1 << 20), "unit": unit.number, "values": ids, "counts": prints, "places": nulls, "owners": bases, "extra": b""}
+    return {"block": own_block(unit.number), "unit": unit.number, "values": ids, "counts": prints, "places": nulls, "owners": bases, "extra": b""}
 
 
 def send(unit: Unit, blocks: int) -> Iterator[dict]:
@@ -195,7 +202,7 @@ def repeated_marks(docs: DataFrame, mark: Callable, width: int = 1, crowded: int
     than ``crowded`` of them have ``CROWDED_BIT`` set.
     """
     sent = docs.mapInArrow(sender(mark, blocks_for(docs)), SENT)
-    answers = written(sent.groupBy("block").applyInPandas(_repeated(width, crowded), ANSWER))
+    answers = cut_lineage(sent.groupBy("block").applyInPandas(_repeated(width, crowded), ANSWER))
     return by_document(answers)
 
 

@@ -26,7 +26,7 @@ OPEN = 32
 MERGED = 256
 END = 0
 #: Pieces of text whose ids a worker remembers; the table is emptied when full.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 WRITTEN = 4096
 
 FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

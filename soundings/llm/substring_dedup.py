@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from soundings.llm.marks import CROWDED_BIT, Unit, anchors, identified, repeated_marks, with_answers
+from soundings.llm.marks import CROWDED_BIT, Unit, anchors, identified, release, repeated_marks, with_answers
 from soundings.llm.text import WordHashes, text_runs, window_hashes
 
 WINDOW = 35
@@ -104,6 +104,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wit
         raise ValueError("a gram must fit into a window")
     texts = identified(docs)
     candidates = repeated_marks(texts, _anchor_marks(window, gram))
+    release(docs.sparkSession)
     found = repeated_marks(with_answers(texts, candidates, "inner"), _window_marks(window, gram), 2)
+    del candidates
+    release(docs.sparkSession)
     return with_answers(texts, found, "left").mapInArrow(
         _remove(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, n_factors long, kept_text string")

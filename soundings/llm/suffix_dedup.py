@@ -32,15 +32,16 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from soundings.llm.marks import (ANSWER, CROWDED, CROWDED_BIT, SENT, Unit, _documents_row, _pass_documents, anchors, answer,
-                                 block_of, blocks_for, by_document, identified, repeated_marks, sender, with_answers, written)
+                                 block_of, blocks_for, by_document, identified, own_block, release, repeated_marks, sender, with_answers)
 from soundings.llm.text import cover, mix, text_runs, window_hashes
+from soundings.session import cut_lineage
 
 WIDTH = 50
 GRAM = 20
 #: Windows of a stretch, as bits of one number.
 STRETCH = 64
 #: Suffixes sorted at a time, unless one anchor has more.
-SORTED = 400_000
+SORTED = 150_000
 
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 
@@ -106,7 +107,7 @@ def _send(width: int):
         later = np.flatnonzero(ids > first[entry])  # copies of an earlier document of the same unit
         if len(later):
             masks = (np.uint64(2 ** 64 - 1) >> (np.uint64(64) - sizes[entry[later]].astype(np.uint64)))
-            yield {"block": -1 - unit.number % (1 << 20), "unit": unit.number, "values": masks.tobytes(), "counts": None,
+            yield {"block": own_block(unit.number), "unit": unit.number, "values": masks.tobytes(), "counts": None,
                    "places": places[later].astype(np.uint32).tobytes(), "owners": b"", "extra": b""}
         own = np.flatnonzero(ids == first[entry])
         entry_keys = np.fromiter((k for k, _ in entries), np.uint64, len(entries))
@@ -225,8 +226,15 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowded:
         raise ValueError("a gram must fit into the width")
     texts = identified(docs)
     candidates = repeated_marks(texts, _anchor_marks(width, gram), 1, crowded)
-    rivals = with_answers(texts, candidates, "inner")
-    sent = rivals.mapInArrow(sender(_stretches(width, gram), blocks_for(docs), _send(width)), SENT)
-    found = by_document(written(sent.groupBy("block").applyInPandas(_find(width), ANSWER)))
+    release(docs.sparkSession)
+    found = by_document(_copied(texts, candidates, width, gram))
+    del candidates
+    release(docs.sparkSession)
     return with_answers(texts, found, "left").mapInArrow(
         _remove(width, with_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+def _copied(texts: DataFrame, candidates: DataFrame, width: int, gram: int) -> DataFrame:
+    """Answers of the blocks: places of stretches and the windows in them that are copies."""
+    sent = with_answers(texts, candidates, "inner").mapInArrow(sender(_stretches(width, gram), blocks_for(texts), _send(width)), SENT)
+    return cut_lineage(sent.groupBy("block").applyInPandas(_find(width), ANSWER))

@@ -10,11 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 RUN_BYTES = 4 << 20
 #: Words whose hash a worker remembers; the table is emptied when full.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 MULTIPLIER = 0x9E3779B97F4A7C15  # fixed value: odd, bits well spread
 
 
@@ -36,24 +37,25 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def runs(texts: list[bytes], limit: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
+def runs(sizes: list[int], limit: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
     """Bounds of consecutive texts of at most ``limit`` bytes together, or of one longer text."""
-    start, size = 0, 0
-    for i, text in enumerate(texts):
-        if i > start and size + len(text) > limit:
+    start, total = 0, 0
+    for i, size in enumerate(sizes):
+        if i > start and total + size > limit:
             yield start, i
-            start, size = i, 0
-        size += len(text)
-    if texts:
-        yield start, len(texts)
+            start, total = i, 0
+        total += size
+    if sizes:
+        yield start, len(sizes)
 
 
 def text_runs(batches: Iterator[pa.RecordBatch], limit: int = RUN_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with their texts (column ``text``), each of bounded size."""
     for batch in batches:
-        texts = as_bytes(batch.column("text"))
-        for a, b in runs(texts, limit):
-            yield batch.slice(a, b - a), texts[a:b]
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+        for a, b in runs(sizes, limit):
+            part = batch.slice(a, b - a)
+            yield part, as_bytes(part.column("text"))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
