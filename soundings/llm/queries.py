@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from soundings.llm import decontaminate, exact_dedup, lm, packing, quality, simhash, substring_dedup, suffix_dedup, toxicity
+from soundings.llm import decontaminate, exact_dedup, line_dedup, lm, packing, quality, simhash, substring_dedup, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,13 +24,34 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-@register("op1_substring_dedup")
+@register("op1_substring_dedup", """
+    with docs as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as words from documents),
+    places as (select doc_id, unnest(range(1, len(words) - 33)) as i, words from docs where len(words) >= 35),
+    windows as (select doc_id, i, sha256(array_to_string(words[i:i + 34], ' ')) as w from places),
+    again as (select w from windows group by w having count(*) > 1),
+    hit as (select distinct doc_id, i + d as j from (select doc_id, i from windows where w in (select w from again)) cross join (select unnest(range(0, 35)) as d)),
+    gone as (select doc_id, list(j) as js from hit group by doc_id)
+    select d.doc_id, len(d.words) as n_words, coalesce(len(g.js), 0) as n_removed,
+      sha256(coalesce(array_to_string(case when g.js is null then d.words else list_filter(d.words, lambda w, k: not list_contains(g.js, k)) end, ' '), '')) as kept_sha256
+    from docs d left join gone g on g.doc_id = d.doc_id""")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, folder, "documents"), with_text=False).select(
         "doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-@register("op2_decontamination")
+@register("op2_decontamination", """
+    with dw as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') as words from documents),
+    iw as (select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') as words from benchmark),
+    wins as (select distinct item_id, least(10, len(words)) as n, array_to_string(words[i:i + least(10, len(words)) - 1], ' ') as w
+      from (select *, unnest(range(1, len(words) - least(10, len(words)) + 2)) as i from iw where len(words) > 0)),
+    sizes as (select distinct n from wins),
+    places as (select doc_id, n, unnest(range(1, len(words) - n + 2)) as i, words from dw join sizes on len(words) >= n),
+    hits as (select p.doc_id, p.i, p.n, w.item_id from (select doc_id, n, i, array_to_string(words[i:i + n - 1], ' ') as w from places) p join wins w on w.n = p.n and w.w = p.w),
+    words_hit as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + n)) as j from hits) group by doc_id),
+    items as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids from hits group by doc_id)
+    select d.doc_id, len(d.words) as n_words, coalesce(h.n_hit, 0) as n_hit, coalesce(t.n_items, 0) as n_items, sha256(coalesce(t.ids, '')) as items_sha256,
+      h.n_hit is not null as contaminated
+    from dw d left join words_hit h on h.doc_id = d.doc_id left join items t on t.doc_id = d.doc_id""")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -40,7 +61,21 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
-@register("op4_suffix_array_dedup")
+@register("op4_suffix_array_dedup", """
+    with docs as (select doc_id, lower(hex(encode(coalesce(text, '')))) as h from documents),
+    places as (select doc_id, unnest(range(0, len(h) // 2 - 49)) as i, h from docs where len(h) >= 100),
+    windows as (select doc_id, i, md5(substr(h, 2 * i + 1, 100)) as w from places),
+    firsts as (select w, min(doc_id) as first from windows group by w having count(*) > 1),
+    starts as (select s.doc_id, s.i from windows s join firsts f on f.w = s.w where f.first < s.doc_id),
+    runs as (select doc_id, min(i) as a, max(i) + 50 as b from
+      (select doc_id, i, sum(new) over (partition by doc_id order by i) as g from
+       (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 50 then 0 else 1 end as new from starts)) group by doc_id, g),
+    gone as (select doc_id, count(*) as n_spans, sum(b - a) as n_removed, list([a, b] order by a) as spans from runs group by doc_id),
+    kept as (select doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' order by a) as k from (
+      select d.doc_id, d.h, unnest(list_concat([0], list_transform(g.spans, lambda s: s[2]))) as a, unnest(list_concat(list_transform(g.spans, lambda s: s[1]), [len(d.h) // 2])) as b
+      from docs d join gone g on g.doc_id = d.doc_id) group by doc_id)
+    select d.doc_id, len(d.h) // 2 as n_bytes, cast(coalesce(g.n_removed, 0) as bigint) as n_removed, coalesce(g.n_spans, 0) as n_spans, sha256(unhex(coalesce(k.k, d.h))) as kept_sha256
+    from docs d left join gone g on g.doc_id = d.doc_id left join kept k on k.doc_id = d.doc_id""")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, folder, "documents"), with_bytes=False).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -76,3 +111,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @register("op9_simhash")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@register("op10_line_dedup")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, folder, "documents"), with_text=False).select(
+        "doc_id", "class_id", "n_lines", "n_removed", "n_links", "kept_sha256")

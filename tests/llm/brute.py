@@ -101,3 +101,34 @@ def simhash(rows, width=4, distance=4):
 
 def crc(i):
     return zlib.crc32(str(i).encode())
+
+
+def line_dedup(rows, similarity=0.8):
+    lines, per_doc = {}, {}
+    for i, t in rows:
+        low = bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode())
+        per_doc[i] = [frozenset(WORD.findall(x)) for x in low.split(b"\n")]
+        for k, s in enumerate(per_doc[i]):
+            if s:
+                lines.setdefault(s, []).append((i, k))
+    sets = list(lines)
+    linked = {s: [] for s in sets}
+    holding = defaultdict(list)
+    for k, s in enumerate(sets):
+        near = Counter(j for w in s for j in holding[w])
+        for j, both in near.items():
+            if both >= similarity * (len(s) + len(sets[j]) - both) - 1e-9:
+                linked[s].append(sets[j])
+                linked[sets[j]].append(s)
+        for w in s:
+            holding[w].append(k)
+    earliest = {s: min(min(lines[x]) for x in [s, *linked[s]]) for s in sets}
+    classes = defaultdict(list)
+    for i, sets_of in per_doc.items():
+        classes[tuple(sets_of)].append(i)
+    out = []
+    for i, t in rows:
+        gone = {k for k, s in enumerate(per_doc[i]) if s and earliest[s] < (i, k)}
+        kept = b"\n".join(x for k, x in enumerate((t or "").encode().split(b"\n")) if k not in gone)
+        out.append((i, min(classes[tuple(per_doc[i])]), sum(map(bool, per_doc[i])), len(gone), sum(len(linked[s]) for s in per_doc[i] if s), sha(kept)))
+    return out
