@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, distance: int = DISTA
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_documents(docs: DataFrame, width: int = 5, distance: int = DISTANCE) -> DataFrame:
+def first_documents(docs: DataFrame, width: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """One document of each group, that with the smallest doc_id, with the columns of ``docs``.
 
     Rows that repeat the staying doc_id all stay, and so do NULL ids.

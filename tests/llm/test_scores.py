@@ -242,7 +242,7 @@ def test_pipeline_stages(spark):
     rows = [[(r["doc_id"], r["text"]) for r in s.collect()] for s in steps]
     assert len(rows[0]) > len(rows[1]) > len(rows[2]) >= len(rows[3]) > len(rows[4]) > 0
     assert {r[0] for r in rows[2]} == {r[0] for r in brute.exact_dedup(rows[1]) if r[3]}
-    assert {r[0] for r in rows[3]} == {i for i, _, c in brute.simhash(rows[2], 5) if i == c}
+    assert {r[0] for r in rows[3]} == {i for i, _, c in brute.simhash(rows[2]) if i == c}
     items = [tuple(r) for r in table(spark, "benchmark").select("item_id", "text").collect()]
     assert {r[0] for r in rows[4]} == {r[0] for r in brute.contamination(rows[3], items) if not r[5]}
     pieces_are_whole(corpus_pipeline.STAGES[-1][1](spark, steps[-1], FOLDER).collect(), rows[4])
