@@ -142,7 +142,7 @@ def _(t):
 
 # ---- tides ------------------------------------------------------------------------------
 @query("harmonic_fit_one_constituent_W04", "port:int constituent:s a:d g:d", f"""
-with b as (select port, ssh_obs as y, cos(w) as c, sin(w) as s from (select port, ssh_obs, radians((epoch_us(time) / 3600000000.0E0 * {A.SPEEDS['M2']}E0) % 360.0E0) as w
+with b as (select port, ssh_obs as y, cos(w) as c, sin(w) as s from (select port, ssh_obs, radians((epoch_us(time) / 3600000000.0E0 * 28.9841042E0) % 360.0E0) as w
            from {{tg_dense}} where ssh_obs is not null)),
 m as (select port, covar_pop(c, c) as cc, covar_pop(s, s) as ss, covar_pop(c, s) as cs, covar_pop(c, y) as cy, covar_pop(s, y) as sy from b group by port),
 r as (select port, (cy * ss - sy * cs) / (cc * ss - cs * cs) as p, (sy * cc - cy * cs) / (cc * ss - cs * cs) as q from m)
@@ -194,11 +194,13 @@ def _(t):
     return A.harmonic_fit(t("tg_dense"), "ssh_obs", minimum=30)
 
 
+FITTED = "case constituent " + " ".join(f"when '{c}' then {v!r}" for c, v in FIT_SPEEDS.items()) + " end"
+
 BANDS = {"all": A.CONSTITUENTS, "semidiurnal": A.SEMIDIURNAL, "diurnal": A.DIURNAL}
 
 
 def tide_sql(side: str) -> str:
-    speeds = "case constituent " + " ".join(f"when '{c}' then {A.SPEEDS[c]}E0" for c in A.CONSTITUENTS) + " end"
+    speeds = FITTED
     names = {b: ", ".join(f"'{c}'" for c in m) for b, m in BANDS.items()}
     one = f"f.a * cos(radians((epoch_us(e.time) / 3600000000.0E0 * {speeds}) % 360.0E0) - radians(f.g))"
     return (f"select e.port, e.time, " + ", ".join(f"sum(case when f.constituent in ({n}) then {one} end) as {b}" for b, n in names.items())
@@ -268,7 +270,7 @@ def one_fit(rows: str, by: str) -> str:
           covar_pop(s, y) as y1, covar_pop(c, y) as y2, covar_pop(q, y) as y3 from ({rows}) group by {by})))"""
 
 
-M2_ANGLE = f"radians((epoch_us(time) / 3600000000.0E0 * {A.SPEEDS['M2']}E0) % 360.0E0)"
+M2_ANGLE = f"radians((epoch_us(time) / 3600000000.0E0 * 28.9841042E0) % 360.0E0)"
 M2_BASIS = f"cos({M2_ANGLE}) as c, sin({M2_ANGLE}) as q"
 
 
@@ -385,7 +387,6 @@ def _(t):
 PAIRS = """select port, time, ssh_obs - avg(ssh_obs) over (partition by port) as ssh_obs, ssh_mod - avg(ssh_mod) over (partition by port) as ssh_mod
                from {tg_dense} where ssh_obs is not null and ssh_mod is not null"""
 PAIR_SIDES = f"select port, 'obs' as source, epoch_us(time) as us, ssh_obs as y from ({PAIRS}) union all select port, 'mod' as source, epoch_us(time) as us, ssh_mod as y from ({PAIRS})"
-FITTED = "case constituent " + " ".join(f"when '{c}' then {v!r}" for c, v in FIT_SPEEDS.items()) + " end"
 
 
 @query("gauge_validation_all_constituents", "port:int season:s ssh_std_err:d ntr_mae:d ntr_rmse:d ntr_corr:d n:long", f"""

@@ -102,25 +102,28 @@ def polygon_edges(polygons: DataFrame) -> DataFrame:
 
 
 def region_cells(cells: DataFrame, polygons: DataFrame, limits: DataFrame | None = None,
-                 whole_domain: str | None = None, band_degrees: float = 0.25) -> DataFrame:
+                 whole_domain: str | None = None, band_degrees: float = 0.25, salts: int = 8) -> DataFrame:
     """(region, x, y) of the cells inside each polygon and its bathymetry limits.
 
     Edge-crossing parity: an edge counts when it spans the cell's latitude (lower end
     included, upper end not) and crosses east of the cell.  Edges and cells meet in
-    latitude bands, so this is an equi-join.
+    latitude bands, so this is an equi-join; a band's cells are dealt to ``salts`` tasks, to
+    which its few edges are copied.
     """
     band = lambda c: F.floor(F.col(c) / band_degrees).cast("long")
     edges = (
         polygon_edges(polygons)
         .withColumn("_lo", F.least("lat1", "lat2")).withColumn("_hi", F.greatest("lat1", "lat2"))
         .withColumn("_band", F.explode(F.sequence(band("_lo"), band("_hi"))))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
-    here = cells.select("x", "y", "lon", "lat", "bathymetry").withColumn("_band", band("lat"))
+    here = cells.select("x", "y", "lon", "lat", "bathymetry").withColumn("_band", band("lat")).withColumn(
+        "_salt", F.pmod(F.hash("x", "y"), F.lit(salts)))
     crossing = F.col("lon1") + (F.col("lat") - F.col("lat1")) * F.try_divide(
         F.col("lon2") - F.col("lon1"), F.col("lat2") - F.col("lat1")
     )
     inside = (
-        here.join(edges, "_band")
+        here.join(edges, ["_band", "_salt"])
         .filter((F.col("lat") >= F.col("_lo")) & (F.col("lat") < F.col("_hi")) & (F.col("lon") < crossing))
         .groupBy("region", "x", "y")
         .agg(F.count(F.lit(1)).alias("_crossings"), F.max("bathymetry").alias("bathymetry"))
@@ -145,13 +148,14 @@ def region_membership(matched: DataFrame, members: DataFrame) -> DataFrame:
 # ---- stations of two runs ---------------------------------------------------------------
 
 def match_stations(left: DataFrame, right: DataFrame, key="port",
-                   widths: tuple[float, ...] = (0.03125, 0.5, 8.0, 256.0)) -> DataFrame:
+                   widths: tuple[float, ...] = (0.03125, 0.5, 4.0, 32.0, 256.0), salts: int = 16) -> DataFrame:
     """For each left station the right one nearest in squared degrees (tie: smallest key).
 
     Square boxes of growing width: whatever is found closer than one box width is
     certainly the nearest, and only places still open go on to the next width, so crowded
     areas are settled in small boxes.  The last width spans the globe, so every station
-    ends with a partner.  Stations sharing a place are searched for, and found, once.
+    ends with a partner; it serves only places without any station within the width before, and
+    those are dealt to ``salts`` tasks.  Stations sharing a place are searched for, and found, once.
     """
     places = right.groupBy(F.col("lon").alias("_rlon"), F.col("lat").alias("_rlat")).agg(F.min(key).alias("right_key"))
     todo = left.select(F.col("lon").alias("_lon"), F.col("lat").alias("_lat")).dropna().distinct()
@@ -162,14 +166,20 @@ def match_stations(left: DataFrame, right: DataFrame, key="port",
             places.withColumn("_bx", F.explode(F.array(*[box("_rlon") + d for d in (-1, 0, 1)])))
             .withColumn("_by", F.explode(F.array(*[box("_rlat") + d for d in (-1, 0, 1)])))
         )
+        last, by = i == len(widths) - 1, ["_bx", "_by"]
+        open_ = todo.withColumn("_bx", box("_lon")).withColumn("_by", box("_lat"))
+        if last:
+            by = [*by, "_salt"]
+            ring = ring.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+            open_ = open_.withColumn("_salt", F.pmod(F.hash("_lon", "_lat"), F.lit(salts)))
         square = lambda a, b: (F.col(a) - F.col(b)) * (F.col(a) - F.col(b))
         near = (
-            todo.withColumn("_bx", box("_lon")).withColumn("_by", box("_lat")).join(ring, ["_bx", "_by"])
+            open_.join(ring, by)
             .withColumn("distance_sq", square("_rlon", "_lon") + square("_rlat", "_lat"))
             .groupBy("_lon", "_lat").agg(F.min(F.struct("distance_sq", "right_key")).alias("_best"))
             .select("_lon", "_lat", "_best.right_key", "_best.distance_sq")
         )
-        if i < len(widths) - 1:
+        if not last:
             near = cut_lineage(near.filter(F.col("distance_sq") <= width * width))
             todo = todo.join(near, ["_lon", "_lat"], "left_anti")
         done = near if done is None else done.unionByName(near)

@@ -11,12 +11,14 @@ MICROS = 1_000_000
 
 
 def nearest_time(obs: DataFrame, model_times: DataFrame, time="time", model_time="t",
-                 keys: list[str] | None = None, slot_seconds: int = 30 * DAY) -> DataFrame:
+                 keys: list[str] | None = None, slot_seconds: int | None = None) -> DataFrame:
     """``obs`` with the nearest model time and ``interp_lag_s`` = model time - obs time.
 
-    Ties take the earlier time.  Only the distinct times take part in the search.
+    Ties take the earlier time.  Only the distinct times take part in the search, in slots of
+    a month for each of ``keys``, or of a day where all share one axis.
     """
     by = keys or ["_all"]
+    slot_seconds = slot_seconds or (30 * DAY if keys else DAY)
     one = {} if keys else {"_all": F.lit(0)}
     wanted = obs.select(*(keys or []), time).distinct().withColumns(one).withColumn("s", epoch_micros(time))
     known = (
