@@ -41,7 +41,7 @@ END = b""  # no word is empty
 
 _BLOBS = ("a", "b", "c", "d", "e")
 SENT = "block int, unit long, first long, " + ", ".join(f"{c} binary" for c in _BLOBS)
-COUNTED = "kind string, unit long, first long, number long, amount double, words long, " + ", ".join(f"{c} binary" for c in _BLOBS)
+COUNTED = "kind string, unit long, first long, " + ", ".join(f"{c} binary" for c in _BLOBS)
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -120,8 +120,7 @@ def _send(blocks: int, classes: int, unit_tokens: int):
 
 
 def _frame(rows: list[dict]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["kind", "unit", "first", "number", "amount", "words", *_BLOBS])
-    return out.astype({c: "Int64" for c in ("unit", "first", "number", "words")})
+    return pd.DataFrame(rows, columns=["kind", "unit", "first", *_BLOBS]).astype({"unit": "Int64", "first": "Int64"})
 
 
 def _count(frequent: int):
@@ -136,13 +135,10 @@ def _count(frequent: int):
         total = np.bincount(at, counts, len(distinct)).astype(np.int64)
         kinds = kinds[first]
         out, seen = [], total > 0
-        for kind in np.unique(kinds[seen]):
-            own = seen & (kinds == kind)
-            out.append({"kind": "class", "number": int(kind), "amount": float(total[own].sum()), "words": int(own.sum())})
+        sums = np.stack([np.bincount(kinds[seen], total[seen], 256), np.bincount(kinds[seen], minlength=256)])
         top = np.lexsort((distinct, -total))[:frequent]
         top = top[total[top] > 0]
-        out += [{"kind": "token", "number": int(h), "amount": float(c), "words": int(k)}
-                for h, c, k in zip(distinct[top].view(np.int64), total[top], kinds[top])]
+        out.append({"kind": "block", "unit": int(key[0]), "a": distinct[top].tobytes(), "b": total[top].tobytes(), "c": kinds[top].tobytes(), "d": sums.tobytes()})
         marked = np.zeros(len(distinct), bool)
         marked[top] = True
         start = 0
@@ -156,6 +152,16 @@ def _count(frequent: int):
     return count
 
 
+def _most(frequent: int):
+    def most(key, rows: pd.DataFrame) -> pd.DataFrame:
+        """The most frequent tokens of several blocks, and their classes' counts, as one row."""
+        hashes, counts, kinds = (np.concatenate([np.frombuffer(x, t) for x in rows[c]]) for c, t in (("a", np.uint64), ("b", np.int64), ("c", np.uint8)))
+        top = np.lexsort((hashes, -counts))[:frequent]
+        sums = np.sum([np.frombuffer(x, np.float64) for x in rows["d"]], axis=0)
+        return pd.DataFrame({"a": [hashes[top].tobytes()], "b": [counts[top].tobytes()], "c": [kinds[top].tobytes()], "d": [sums.tobytes()]})
+    return most
+
+
 class Corpus:
     """Counts of the training tokens: N, V, the frequent tokens' symbols and the classes' shares."""
 
@@ -262,21 +268,24 @@ class LogBilinear:
                 p[name] -= rate * grad / np.sqrt(squares[name])
         self._norms = None
 
+    def norms(self) -> np.ndarray:
+        """Log normalisers of all contexts, a row for each last symbol: products of batches of contexts with all symbols."""
+        if self._norms is None:
+            self._norms = np.empty((self.n, self.n), np.float32)
+            every = np.arange(self.n)
+            for last in range(self.n):
+                scores = self.predicted(np.full(self.n, last), every) @ self.parts["target"].T + self.parts["bias"]
+                most = scores.max(axis=1)
+                self._norms[last] = most + np.log(np.exp(scores - most[:, None]).sum(axis=1))
+        return self._norms
+
     def log_probabilities(self, last: np.ndarray, before: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithms, normalised over all symbols."""
-        if self._norms is None:
-            self._norms = np.full((self.n, self.n), np.nan)
-        pairs = np.unique(last.astype(np.int64) * self.n + before)
-        new = pairs[np.isnan(self._norms[pairs // self.n, pairs % self.n])]
-        for a in range(0, len(new), 4096):
-            c1, c2 = new[a:a + 4096] // self.n, new[a:a + 4096] % self.n
-            scores = self.predicted(c1, c2) @ self.parts["target"].T + self.parts["bias"]
-            most = scores.max(axis=1)
-            self._norms[c1, c2] = most + np.log(np.exp(scores - most[:, None]).sum(axis=1))
+        norms = self.norms()
         out = np.empty(len(target))
         for a in range(0, len(target), 1 << 16):
             c1, c2, w = last[a:a + (1 << 16)], before[a:a + (1 << 16)], target[a:a + (1 << 16)]
-            out[a:a + (1 << 16)] = (self.predicted(c1, c2) * self.parts["target"][w]).sum(axis=1) + self.parts["bias"][w] - self._norms[c1, c2]
+            out[a:a + (1 << 16)] = (self.predicted(c1, c2) * self.parts["target"][w]).sum(axis=1) + self.parts["bias"][w] - norms[c1, c2]
         return out
 
 
@@ -335,8 +344,7 @@ def _add(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _score(state, end: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, noise, vector, shape = state.value
-        model = LogBilinear(n, noise, shape).load(vector)
+        model = state.value
         for batch in batches:
             for i in range(batch.num_rows):
                 symbols, sizes, flags = _unpack(batch, i)
@@ -351,6 +359,11 @@ def _score(state, end: int):
     return score
 
 
+def _nothing(docs: DataFrame) -> DataFrame:
+    long, double = F.lit(0).cast("long"), F.lit(0.0)
+    return docs.limit(0).select("doc_id", "held_out", long.alias("n_tokens"), long.alias("n_known"), long.alias("train_tokens"), double.alias("base_score"), double.alias("score"))
+
+
 def lm_scores(docs: DataFrame, held_out, frequent: int = FREQUENT, classes: int = CLASSES, dimensions: int = DIMENSIONS,
               rounds: int = ROUNDS, unit_tokens: int = UNIT_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs``.
@@ -366,9 +379,15 @@ def lm_scores(docs: DataFrame, held_out, frequent: int = FREQUENT, classes: int
     counted = cut_lineage(
         docs.mapInArrow(_send(blocks_for(docs), classes, unit_tokens), SENT).groupBy("block").applyInPandas(_count(frequent), COUNTED))
     release(docs.sparkSession)
-    top = counted.filter("kind = 'token'").orderBy(F.desc("amount"), "number").limit(frequent).select("number", "amount", "words").collect()
-    sums = counted.filter("kind = 'class'").groupBy("number").agg(F.sum("amount").alias("amount"), F.sum("words").alias("words")).collect()
-    corpus = Corpus([tuple(r) for r in top], [tuple(r) for r in sums], classes)
+    blobs = "a binary, b binary, c binary, d binary"
+    merged = (counted.filter("kind = 'block'").withColumn("part", F.col("unit") % 16).groupBy("part").applyInPandas(_most(frequent), blobs)
+              .groupBy().applyInPandas(_most(frequent), blobs)).first()  # of each block and part at most ``frequent`` tokens
+    if merged is None:
+        return _nothing(docs)
+    hashes, counts, kinds = (np.frombuffer(merged[c], t) for c, t in (("a", np.int64), ("b", np.int64), ("c", np.uint8)))
+    amounts, words = np.frombuffer(merged["d"], np.float64).reshape(2, -1)
+    corpus = Corpus(list(zip(hashes.tolist(), counts.tolist(), kinds.tolist())),
+                    [(k, amounts[k], words[k]) for k in np.flatnonzero(words).tolist()], classes)
     end = corpus.symbols.get(int(WordHashes().of([END])[0]), 0)
     numbered = cut_lineage(counted.filter("kind in ('unit', 'counts')").groupBy("unit").applyInPandas(
         _number(sc.broadcast(corpus)),
@@ -385,7 +404,9 @@ def lm_scores(docs: DataFrame, held_out, frequent: int = FREQUENT, classes: int
         got = {r["slot"]: np.frombuffer(r["sums"], np.float64) / r["weight"] for r in sums.collect()}  # the parameters, once
         if got:
             vector = np.concatenate([got[i] for i in sorted(got)])
-    state = sc.broadcast((n, corpus.noise, vector, dimensions))
+    model = LogBilinear(n, corpus.noise, dimensions).load(vector)
+    model.norms()  # once, as its size is the model's
+    state = sc.broadcast(model)
     return numbered.mapInArrow(
         _score(state, end), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double").select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(corpus.n).cast("long").alias("train_tokens"), "base_score", "score")
