@@ -122,7 +122,8 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     alone = routed.filter("norm is null").select(
         "row", "text_sha256", own_id.alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     checked = routed.filter("norm is not null")
-    groups = checked.groupBy(F.col("norm").alias("same")).agg(F.min(own_id).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # written, so that the join below is between two plain shuffles, of which a large group of copies can be split
+    groups = cut_lineage(checked.groupBy(F.col("norm").alias("same")).agg(F.min(own_id).alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     verified = checked.join(groups, F.col("norm") == F.col("same")).withColumn("kept", own_id.eqNullSafe(F.col("keep_id"))).select(*result)
     return alone.unionByName(verified).select(*(F.col("row").getField(c).alias(c) for c in named), *result[1:])
 
