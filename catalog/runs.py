@@ -12,7 +12,7 @@ from soundings.functions import scalars as S
 from soundings.plans import bias_angle
 
 KEYS = ("region", "season", "time", "lat", "lon", "z")
-N_BOOT, SEED = 20, 42
+N_BOOT, SEED = 1000, 42
 
 
 def aligned_sql(variable: str) -> str:

@@ -1,8 +1,11 @@
 """Two runs against the same observations: alignment, bias angle, histograms, bootstrap."""
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from soundings.functions.scalars import QUANTILES, bias_angle, bin_centre, histogram_bin, ratio
@@ -73,19 +76,54 @@ def uniform(seed: int, *columns) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def poisson_weight(u: Column, terms: int = 12) -> Column:
-    """Poisson(1) count for a uniform number: how many cumulative probabilities it reaches."""
+def _poisson_steps(terms: int) -> list[float]:
     total, p, steps = 0.0, math.exp(-1.0), []
     for k in range(terms):
         total += p
         steps.append(total)
         p /= k + 1
+    return steps
+
+
+def poisson_weight(u: Column, terms: int = 12) -> Column:
+    """Poisson(1) count for a uniform number: how many cumulative probabilities it reaches."""
+    steps = _poisson_steps(terms)
     out = F.lit(terms)
     for k in range(terms - 1, -1, -1):
         out = F.when(u < F.lit(steps[k]), F.lit(k)).otherwise(out)
     return out
 
 
+#: Profiles whose cells meet the weights of all replicates in one matrix product.
+UNIT = 2048
+
+
+def poisson_weights(texts, n_boot: int, terms: int = 12) -> np.ndarray:
+    """As ``poisson_weight(uniform(...))``: a row for each text (seed and key), a column for each replicate."""
+    tails = [b"|%d" % rep for rep in range(n_boot)]
+    out = np.empty((len(texts), n_boot), np.uint8)
+    steps = _poisson_steps(terms)
+    for i, text in enumerate(texts):
+        head = text.encode()
+        digests = b"".join([hashlib.md5(head + tail).digest()[:4] for tail in tails])
+        out[i] = np.searchsorted(steps, np.frombuffer(digests, ">u4") / 4294967296.0, side="right")
+    return out
+
+
+def _products(keys: list[str], n_boot: int):
+    def multiply(key, cells):
+        """Cells of a unit's profiles (profiles by cells) times their weights (replicates by profiles)."""
+        profiles, row = np.unique(cells["_text"].to_numpy(), return_inverse=True)
+        names, column = np.unique(cells["_cell"].to_numpy(), return_inverse=True)
+        matrix = np.zeros((len(profiles), len(names)))
+        np.add.at(matrix, (row, column), cells["_x"].to_numpy())
+        sums = poisson_weights(profiles.tolist(), n_boot).T.astype(np.float64) @ matrix
+        rep, at = np.nonzero(sums)
+        held = {k: [v] * len(rep) for k, v in zip(keys, key)}
+        return pd.DataFrame({**held, "rep": rep.astype(np.int32), "_cell": names[at], "_w": sums[rep, at]})
+    return multiply
+
+
 class PoissonDraws:
     """How often a profile is drawn in a replicate: Poisson(1), from its id alone.
 
@@ -105,6 +143,27 @@ class PoissonDraws:
         """One row per replicate a row is drawn in."""
         return self.weigh(df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(self.n_boot - 1)))))
 
+    def add_up(self, cells: DataFrame, keys, unit: int = UNIT) -> DataFrame:
+        """(keys, rep, _cell, _w): ``_x`` of each profile's cells times its weight, summed; zeros are left out.
+
+        Profiles of a group are dealt to units, and a unit is one product of two matrices.  So a
+        profile is never repeated per replicate, and a unit gives a row per replicate and cell.
+        """
+        keys = list(keys)
+        types = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
+        sizes = cells.groupBy(*keys).agg(F.ceil(F.count_distinct(F.coalesce(F.col(self.key).cast("string"), F.lit(""))) / unit).alias("_units"))
+        sizes = sizes.select("_units", *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        dealt = cells.join(sizes, same).select(
+            *keys, F.pmod(F.xxhash64(self.key), "_units").alias("_unit"),
+            F.concat_ws("|", F.lit(str(self.seed)), F.col(self.key).cast("string")).alias("_text"),
+            F.col("_cell").cast("int").alias("_cell"), F.col("_x").cast("double").alias("_x"))
+        schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", rep int, _cell int, _w double"
+        # Few bytes, much arithmetic: a fixed number of tasks, which are not merged by size.
+        tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return dealt.repartition(tasks, *keys, "_unit").groupBy(*keys, "_unit").applyInPandas(_products(keys, self.n_boot), schema).groupBy(
+            *keys, "rep", "_cell").agg(F.sum("_w").alias("_w"))
+
 
 class MultinomialDraws:
     """As ``PoissonDraws``, but exactly as many draws per replicate as there are profiles.
@@ -139,27 +198,34 @@ class MultinomialDraws:
     def spread(self, df: DataFrame) -> DataFrame:
         return df.join(self.table, [*self.keys, self.key])
 
+    def add_up(self, cells: DataFrame, keys) -> DataFrame:
+        """As for ``PoissonDraws``; the written draws are joined, one row per profile and replicate."""
+        packed = cells.groupBy(*keys, self.key).agg(F.collect_list(F.struct("_cell", "_x")).alias("_cells"))
+        return self.spread(packed).select(*keys, "rep", "weight", F.inline("_cells")).groupBy(*keys, "rep", "_cell").agg(
+            F.sum(F.col("_x").cast("double") * F.col("weight")).alias("_w"))
+
 
 def bootstrap_histogram(df: DataFrame, value: str, draws, keys=("region", "season"),
                         low=-HALF_PI, high=HALF_PI, n: int = 100, key="profile_id") -> DataFrame:
     """(keys, rep, bin, frequency), occupied bins only.
 
-    A profile's levels become its bin counts (at most ``n``) before it is repeated, so
-    its weight is worked out once per replicate and its levels are never repeated.
+    A profile's levels become its bin counts (at most ``n``), which ``draws`` adds up.
     """
     keys = list(keys)
-    binned = df.withColumn("bin", histogram_bin(value, low, high, n)).filter(F.col("bin").isNotNull()).groupBy(
-        *keys, key, "bin").agg(F.count(F.lit(1)).alias("_c"))
-    packed = binned.groupBy(*keys, key).agg(F.collect_list(F.struct("bin", "_c")).alias("_bins"))
-    return draws.spread(packed).select(*keys, "rep", "weight", F.inline("_bins")).groupBy(*keys, "rep", "bin").agg(
-        F.sum(F.col("_c") * F.col("weight")).alias("frequency"))
+    binned = df.withColumn("_cell", histogram_bin(value, low, high, n)).filter(F.col("_cell").isNotNull()).groupBy(
+        *keys, key, "_cell").agg(F.count(F.lit(1)).alias("_x"))
+    return draws.add_up(cut_lineage(binned), keys).select(
+        *keys, "rep", F.col("_cell").alias("bin"), F.col("_w").cast("long").alias("frequency"))
 
 
 def bootstrap_mean(df: DataFrame, value: str, draws, keys=("region", "season"), key="profile_id") -> DataFrame:
     keys = list(keys)
     parts = df.groupBy(*keys, key).agg(F.sum(value).alias("_s"), F.count(value).alias("_c"))
-    return draws.spread(parts).groupBy(*keys, "rep").agg(
-        ratio(F.sum(F.col("_s") * F.col("weight")), F.sum(F.col("_c") * F.col("weight"))).alias("mean"))
+    # Cells: the sum, the number of values, the profile itself (so that a replicate without values is seen).
+    cells = parts.select(*keys, key, F.posexplode(F.array(
+        F.coalesce(F.col("_s").cast("double"), F.lit(0.0)), F.col("_c").cast("double"), F.lit(1.0))).alias("_cell", "_x"))
+    of = lambda cell: F.coalesce(F.sum(F.when(F.col("_cell") == cell, F.col("_w"))), F.lit(0.0))
+    return draws.add_up(cut_lineage(cells), keys).groupBy(*keys, "rep").agg(ratio(of(0), of(1)).alias("mean"))
 
 
 def bootstrap_median(df: DataFrame, value: str, draws, keys=("region", "season"), key="profile_id",
@@ -174,12 +240,10 @@ def bootstrap_median(df: DataFrame, value: str, draws, keys=("region", "season")
     rows = df.filter(F.col(value).isNotNull()).select(*keys, key, F.col(value).alias("_v"))
     ends = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     placed = rows.join(ends, keys).withColumn("_shared", _bin(F.col("_v"), F.col("_lo"), F.col("_hi"), bins)).drop("_lo", "_hi")
-    counts = placed.groupBy(*keys, key, "_shared").agg(F.count(F.lit(1)).alias("_c"))
-    packed = counts.groupBy(*keys, key).agg(F.collect_list(F.struct("_shared", "_c")).alias("_bins"))  # at most ``bins``
+    counts = placed.groupBy(*keys, key, F.col("_shared").alias("_cell")).agg(F.count(F.lit(1)).alias("_x"))  # at most ``bins``
     by = [*keys, "rep"]
-    per_rep = cut_lineage(
-        draws.spread(packed).select(*by, "weight", F.inline("_bins")).groupBy(*by, "_shared")
-        .agg(F.sum(F.col("_c") * F.col("weight")).alias("_w")))
+    per_rep = cut_lineage(draws.add_up(cut_lineage(counts), keys).select(
+        *by, F.col("_cell").alias("_shared"), F.col("_w").cast("long").alias("_w")))
     ranks = per_rep.groupBy(*by).agg(F.sum("_w").alias("_n")).select(
         *by, F.explode(F.array_distinct(F.array(F.expr("(_n - 1) div 2"), F.expr("_n div 2")))).alias("rank")).withColumn("_rest", F.col("rank"))
     hits = cut_lineage(_locate(per_rep, by, ranks, by, "_shared").select(*by, "_shared", F.col("_rest").alias("rank")))

@@ -421,6 +421,25 @@ def test_bootstrap_draws_and_median(spark):
     assert {r.rep: r.n for r in hist} == {rep: sum(weights.get(pid, 0) for *_, pid, _ in rows) for rep, weights in draws.items()}
 
 
+def test_bootstrap_products_equal_repeated_profiles(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["r", None]), "DJF", rng.choice([*range(40), None]), rng.uniform(-1.5, 1.5)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "region string, season string, profile_id long, angle double")
+    draws = bias.PoissonDraws(30, 3)
+    cells = df.groupBy("region", "season", "profile_id", F.floor(F.col("angle") * 4).alias("_cell")).agg(F.count(F.lit(1)).alias("_x"))
+    told = {(r.region, r.rep, r._cell): r.n for r in draws.spread(cells).groupBy("region", "rep", "_cell").agg(F.sum(F.col("_x") * F.col("weight")).alias("n")).collect()}
+    got = {(r.region, r.rep, r._cell): r._w for r in draws.add_up(cells, ["region", "season"], unit=7).collect()}
+    assert got == told
+
+
+def test_registered_bootstrap_has_the_default_replicates():
+    import inspect
+
+    from catalog import runs
+    from soundings.plans import bias_angle
+    assert runs.N_BOOT == inspect.signature(bias_angle.draws_of).parameters["n_boot"].default == 1000
+
+
 def test_absent_replicates_count_as_zero(spark):
     df = spark.createDataFrame([(0, 0, 4), (0, 1, 2)], "bin int, rep int, frequency long")
     every = spark.createDataFrame([(0,), (1,)], "bin int")
