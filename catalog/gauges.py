@@ -194,6 +194,12 @@ def _(t):
     return A.harmonic_fit(t("tg_dense"), "ssh_obs", minimum=30)
 
 
+# The SQL twins solve the eight of FIT_SPEEDS; the whole table has queries of its own.
+@query("harmonic_fit_whole_table_W04", "port:int constituent:s a:d g:d", None)
+def _(t):
+    return A.harmonic_fit(t("tg_dense"), "ssh_obs", constituents=A.ALL, minimum=30)
+
+
 FITTED = "case constituent " + " ".join(f"when '{c}' then {v!r}" for c, v in FIT_SPEEDS.items()) + " end"
 
 BANDS = {"all": A.CONSTITUENTS, "semidiurnal": A.SEMIDIURNAL, "diurnal": A.DIURNAL}
@@ -255,6 +261,11 @@ def _(t):
 
 @query("record_length_sweep_W09", "port:int length:int constituent:s a:d g:d", "select port, length, constituent, a, g from " + full_fit_sql(
     f"select g.port, l.length, epoch_us(time) as us, ssh as y from ({GRID}) g join (select unnest([25, 225, 425, 625, 720]) as length) l on g.i < l.length", ["port", "length"]))
+def _(t):
+    return A.record_length_sweep(slots.regular_hours(t("tg_dense")), "ssh", [25, 225, 425, 625, 720], constituents=A.CONSTITUENTS)
+
+
+@query("record_length_sweep_whole_table_W09", "port:int length:int constituent:s a:d g:d", None)
 def _(t):
     return A.record_length_sweep(slots.regular_hours(t("tg_dense")), "ssh", [25, 225, 425, 625, 720])
 
@@ -399,5 +410,10 @@ v as (select e.port, {season_sql('month(e.time)')} as season, e.ssh_obs, e.ssh_m
       from pairs e join tide t on t.port = e.port and t.time = e.time)
 select port, season, ssh_std_err, ntr_mae, ntr_rmse, ntr_corr, n from (select port, case when grouping(season) = 1 then 'All' else season end as season, {STATS},
        case when grouping(season) = 1 or count(*) > 100 then corr(ntr_obs, ntr_mod) end as ntr_corr, count(ntr_obs - ntr_mod) as n from v group by grouping sets ((port, season), (port)))""")
+def _(t):
+    return gauge_validation.gauge_scores(t("tg_dense").drop("ssh"), minimum=30, constituents=A.CONSTITUENTS)
+
+
+@query("gauge_validation_whole_table", "port:int season:s ssh_std_err:d ntr_mae:d ntr_rmse:d ntr_corr:d n:long", None)
 def _(t):
     return gauge_validation.gauge_scores(t("tg_dense").drop("ssh"), minimum=30)

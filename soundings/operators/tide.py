@@ -163,7 +163,7 @@ def harmonic_fit(series: DataFrame, value: str, keys=("port",), constituents=CON
         solve, _schema(series, keys) + FIT)
 
 
-def record_length_sweep(series: DataFrame, value: str, lengths, keys=("port",), constituents=CONSTITUENTS,
+def record_length_sweep(series: DataFrame, value: str, lengths, keys=("port",), constituents=ALL,
                         time="time") -> DataFrame:
     """(keys, length, constituent, a, g) of the first ``length`` hours for each length.
 
@@ -216,7 +216,7 @@ def lookup_constituents(table: DataFrame, wanted, keys=("port",)) -> DataFrame:
     return every.join(table, [*keys, "constituent"], "left")
 
 
-def reconstruct(times: DataFrame, fits: DataFrame, keys=("port",), constituents=CONSTITUENTS,
+def reconstruct(times: DataFrame, fits: DataFrame, keys=("port",), constituents=ALL,
                 time="time") -> DataFrame:
     """``times`` with tide_<side>_<band> for the sides in ``fits.source`` and three bands.
 

@@ -9,7 +9,7 @@ from soundings.operators.error import demean, tide_gauge_stats
 from soundings.operators.peaks import find_peaks, skew_surge
 from soundings.operators.series import smooth_residual, with_residual
 from soundings.operators.slots import regular_hours
-from soundings.operators.tide import CONSTITUENTS, harmonic_fit, reconstruct
+from soundings.operators.tide import ALL, harmonic_fit, reconstruct
 from soundings.session import cut_lineage
 
 
@@ -20,7 +20,7 @@ def both_sides(series: DataFrame, prefix: str = "ssh") -> DataFrame:
         F.struct(F.lit("mod").alias("source"), F.col(f"{prefix}_mod").alias(prefix)))))
 
 
-def residual_series(extract: DataFrame, minimum: int = 4380, constituents=CONSTITUENTS) -> DataFrame:
+def residual_series(extract: DataFrame, minimum: int = 4380, constituents=ALL) -> DataFrame:
     """Shared mask, minimum data, demeaned, tide fitted on both sides and subtracted."""
     kept = enough_data(shared_missing(extract), ["ssh_obs", "ssh_mod"], minimum)
     centred = demean(kept, ["ssh_obs", "ssh_mod"])
@@ -29,7 +29,7 @@ def residual_series(extract: DataFrame, minimum: int = 4380, constituents=CONSTI
     return with_residual(tides.withColumnsRenamed({"tide_obs_all": "tide_obs", "tide_mod_all": "tide_mod"}))
 
 
-def gauge_scores(extract: DataFrame, minimum: int = 4380, smoothed: bool = False, constituents=CONSTITUENTS) -> DataFrame:
+def gauge_scores(extract: DataFrame, minimum: int = 4380, smoothed: bool = False, constituents=ALL) -> DataFrame:
     """Error statistics of sea level and residual per station, by season and for all."""
     series = residual_series(extract, minimum, constituents)
     if smoothed:

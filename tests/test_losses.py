@@ -103,3 +103,18 @@ def test_many_constituents_are_recovered(spark):
     assert back.count() == 0
     with pytest.raises(ValueError, match="unknown constituents"):
         tide.harmonic_fit(df, "ssh_obs", constituents=["M2", "ZZ9"])
+
+
+def test_scores_solve_every_constituent_of_the_record(spark):
+    import math
+
+    planted = {"M2": 1.2, "S2": 0.4, "M4": 0.3, "MS4": 0.2, "MM": 0.25}
+    tides = lambda k: sum(a * math.cos(math.radians(tide.SPEEDS[c] * k - 40 * a)) for c, a in planted.items())
+    rows = [(1, T0 + dt.timedelta(hours=k), tides(k), 1.1 * tides(k)) for k in range(24 * 60)]
+    one = gauge_validation.gauge_scores(gauges(spark, rows), minimum=30).filter("season = 'All'").first()
+    assert one.ntr_std_obs < 1e-6 and one.ntr_std_mod < 1e-6
+
+
+def test_reconstruction_keeps_every_fitted_constituent(spark):
+    fits = spark.createDataFrame([(1, s, "M4", 1.0, 10.0) for s in ("obs", "mod")], "port int, source string, constituent string, a double, g double")
+    assert tide.reconstruct(gauges(spark, hourly(1, 5)), fits).filter("tide_obs_all is null").count() == 0
