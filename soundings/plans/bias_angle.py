@@ -28,5 +28,5 @@ def bootstrapped_histogram(first: DataFrame, second: DataFrame, variable: str, n
                            bins: int = 100, method: str = "poisson") -> DataFrame:
     """Mean and quantiles over the replicates of the frequency of each angle bin."""
     angles = bias_angles(first, second, variable)
-    per_rep = bootstrap_histogram(angles, "angle", draws_of(angles, n_boot, seed, method), GROUP, n=bins)
+    per_rep = cut_lineage(bootstrap_histogram(angles, "angle", draws_of(angles, n_boot, seed, method), GROUP, n=bins))  # read twice below
     return summarise_replicates(per_rep, "frequency", [*GROUP, "bin"], n_boot, all_bins(angles, GROUP, bins))
