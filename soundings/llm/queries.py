@@ -5,7 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from soundings.llm import decontaminate, exact_dedup, line_dedup, lm, packing, quality, simhash, substring_dedup, suffix_dedup, toxicity
+from soundings.llm import (
+    bpe, decontaminate, exact_dedup, line_dedup, lm, merkle, packing, product_codes, quality, simhash, substring_dedup, suffix_dedup, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +118,82 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, folder, "documents"), with_text=False).select(
         "doc_id", "class_id", "n_lines", "n_removed", "n_links", "kept_sha256")
+
+
+def _leaf_sql(text: str) -> str:
+    values = ("doc_id", "source", "lang", "n_chars", text)
+    return "sha256(" + " || ".join(f"coalesce(cast(strlen(cast({v} as varchar)) as varchar) || ':' || cast({v} as varchar), '-')" for v in values) + ")"
+
+
+@register("op11_merkle_manifest", f"""
+    with recursive prints as (
+      select *, xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(cast(doc_id as varchar), ''),
+        lambda c: [cast(ascii(c) as bigint), -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda c, x: case when x >= 0 then xor(c, x) when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as crc from documents),
+    altered as (select *, case when crc % 3 = 0 then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end as low from prints),
+    leaves as (select doc_id, lang, row_number() over (partition by lang order by doc_id) - 1 as i, {_leaf_sql('text')} as leaf, {_leaf_sql('low')} as other from altered),
+    nodes as (
+      select lang, 0 as lvl, i, leaf as h, count(*) over (partition by lang) as n from leaves
+      union all
+      select lang, any_value(lvl) + 1, i // 8, sha256(string_agg(h, '' order by i)), (any_value(n) + 7) // 8 from nodes where n > 1 group by lang, i // 8),
+    subroots as (select lang, h as subroot, row_number() over (order by lang nulls first) - 1 as k from nodes where n = 1),
+    tops as (
+      select 0 as lvl, k as i, subroot as h, count(*) over () as n from subroots
+      union all
+      select any_value(lvl) + 1, i // 8, sha256(string_agg(h, '' order by i)), (any_value(n) + 7) // 8 from tops where n > 1 group by i // 8),
+    beside as (
+      select a.lang, a.lvl, a.i, coalesce(string_agg(b.h, '' order by b.i) filter (where b.i < a.i), '') as before, coalesce(string_agg(b.h, '' order by b.i) filter (where b.i > a.i), '') as after
+      from nodes a join nodes b on a.lang is not distinct from b.lang and a.lvl = b.lvl and a.i // 8 = b.i // 8 where a.n > 1 group by a.lang, a.lvl, a.i),
+    beside_top as (
+      select a.lvl, a.i, coalesce(string_agg(b.h, '' order by b.i) filter (where b.i < a.i), '') as before, coalesce(string_agg(b.h, '' order by b.i) filter (where b.i > a.i), '') as after
+      from tops a join tops b on a.lvl = b.lvl and a.i // 8 = b.i // 8 where a.n > 1 group by a.lvl, a.i),
+    folds as (
+      select doc_id, lang, leaf, 0 as lvl, i, other as cur, '' as proof from leaves
+      union all
+      select f.doc_id, f.lang, f.leaf, f.lvl + 1, f.i // 8, sha256(s.before || f.cur || s.after), f.proof || s.before || s.after
+      from folds f join beside s on f.lang is not distinct from s.lang and f.lvl = s.lvl and f.i = s.i),
+    ended as (select f.doc_id, f.leaf, s.subroot, s.k, f.cur, f.proof from (select * from folds qualify lvl = max(lvl) over (partition by lang)) f
+      join subroots s on f.lang is not distinct from s.lang),
+    top_folds as (
+      select doc_id, leaf, subroot, 0 as lvl, k as i, cur, proof from ended
+      union all
+      select f.doc_id, f.leaf, f.subroot, f.lvl + 1, f.i // 8, sha256(s.before || f.cur || s.after), f.proof || s.before || s.after
+      from top_folds f join beside_top s on f.lvl = s.lvl and f.i = s.i)
+    select t.doc_id, t.leaf, t.subroot, r.h as root, sha256(t.proof) as proof_sha256, t.cur as folded_root, t.cur = r.h as verified
+    from (select * from top_folds qualify lvl = max(lvl) over ()) t cross join (select h from tops where n = 1) r""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest(table(spark, folder, "documents"), altered={"text": merkle.tampered_text()})
+
+
+@register("op12_byte_bpe")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), with_ids=False)
+
+
+def _codes_sql() -> str:
+    """Six rounds, then codes; each round's entries come from the distances to those before."""
+    def near(r: int) -> str:
+        return (f"near{r} as materialized (select vec_id, part, min(struct_pack(d := d, entry := entry)) as best from (select vec_id, part, entry, sum((x - c) * (x - c)) as d "
+                f"from dims join book{r} using (part, place) group by vec_id, part, entry) group by vec_id, part)")
+
+    def book(r: int) -> str:
+        return (f"book{r} as materialized (select b.part, b.entry, b.place, coalesce(m.c, b.c) as c from book{r - 1} b left join (select part, entry, place, (s - ((s % n) + n) % n) // n as c from ("
+                f"select d.part, a.best.entry as entry, d.place, sum(d.x) as s, count(*) as n from dims d join near{r - 1} a using (vec_id, part) group by all)) m using (part, entry, place))")
+
+    rounds = ", ".join(f"{near(r - 1)}, {book(r)}" for r in range(1, 7))
+    return f"""
+    with kept as (select vec_id, label, list_transform(embedding, lambda x: cast(floor(4096 * cast(x as double)) as bigint)) as v from embeddings
+      where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    dims as materialized (select vec_id, i // w as part, i % w as place, v[i + 1] as x from (select vec_id, v, len(v) // 8 as w, unnest(range(len(v))) as i from kept)),
+    seeds as (select vec_id, row_number() over (order by vec_id) - 1 as entry from kept qualify entry < 16),
+    book0 as materialized (select part, entry, place, x as c from dims join seeds using (vec_id)), {rounds}, {near(6)},
+    codes as (select vec_id, string_agg(printf('%02x', best.entry), '' order by part) as code, cast(sum(best.d) as bigint) as error from near6 group by vec_id),
+    labelled as (select k.vec_id, k.label, c.code, c.error from kept k join codes c using (vec_id))
+    select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+      (select sha256(string_agg(cast(c as varchar), ',' order by part, entry, place)) from book6) as codebooks_sha256
+    from labelled"""
+
+
+@register("op13_vector_codes", _codes_sql())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return product_codes.compress(table(spark, folder, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")

@@ -132,3 +132,95 @@ def line_dedup(rows, similarity=0.8):
         kept = b"\n".join(x for k, x in enumerate((t or "").encode().split(b"\n")) if k not in gone)
         out.append((i, min(classes[tuple(per_doc[i])]), sum(map(bool, per_doc[i])), len(gone), sum(len(linked[s]) for s in per_doc[i] if s), sha(kept)))
     return out
+
+
+def tampered(doc_id):
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 3 == 0
+
+
+def manifest(rows, fanout=8):
+    def leaf(row):
+        return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row).encode())
+
+    def levels(nodes):
+        out = [nodes]
+        while len(out[-1]) > 1:
+            out.append([sha("".join(out[-1][i:i + fanout]).encode()) for i in range(0, len(out[-1]), fanout)])
+        return out
+
+    def path(tree, i):
+        for nodes in tree[:-1]:
+            a = i // fanout * fanout
+            yield "".join(nodes[a:i]), "".join(nodes[i + 1:a + fanout])
+            i //= fanout
+
+    trees = defaultdict(list)
+    for doc_id, source, lang, n_chars, text in rows:
+        low = text
+        if tampered(doc_id) and text is not None:
+            low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+        trees[lang].append((doc_id, leaf((doc_id, source, lang, n_chars, text)), leaf((doc_id, source, lang, n_chars, low))))
+    langs = sorted(trees, key=lambda x: (x is not None, (x or "").encode()))
+    built = {}
+    for lang in langs:
+        trees[lang].sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        built[lang] = levels([r[1] for r in trees[lang]])
+    top = levels([built[lang][-1][0] for lang in langs])
+    out = []
+    for k, lang in enumerate(langs):
+        for i, (doc_id, own, other) in enumerate(trees[lang]):
+            beside = [*path(built[lang], i), *path(top, k)]
+            folded = other
+            for before, after in beside:
+                folded = sha((before + folded + after).encode())
+            out.append((doc_id, own, built[lang][-1][0], top[-1][0], sha("".join(b + a for b, a in beside).encode()), folded, folded == top[-1][0]))
+    return out
+
+
+def encoded(rows, library):
+    out = []
+    for i, t in rows:
+        ids = library.encode_ordinary(t or "")
+        out.append((i, len(ids), sha(",".join(map(str, ids)).encode()), sha((t or "").encode())))
+    return out
+
+
+def joined(piece, ranks):
+    """Byte-pair joins one after another; a piece that is a token is that token."""
+    if piece in ranks:
+        return [ranks[piece]]
+    parts = [piece[i:i + 1] for i in range(len(piece))]
+    while True:
+        found = [(ranks[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+        if not found:
+            return [ranks[p] for p in parts]
+        k = min(found)[1]
+        parts[k:k + 2] = [parts[k] + parts[k + 1]]
+
+
+def codes(rows, parts=8, entries=16, rounds=6):
+    import math
+
+    kept = [(i, [math.floor(4096 * x) for x in v], label) for i, v, label in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    first = [v for _, v, _ in sorted(kept, key=lambda r: (r[0], r[1]))[:entries]]
+    w = len(first[0]) // parts
+    books = [[v[p * w:p * w + w] for v in first] for p in range(parts)]
+
+    def near(part, book):
+        return min((sum((a - b) ** 2 for a, b in zip(part, entry)), e) for e, entry in enumerate(book))
+
+    for _ in range(rounds):
+        new = []
+        for p, book in enumerate(books):
+            met = defaultdict(list)
+            for _, v, _ in kept:
+                met[near(v[p * w:p * w + w], book)[1]].append(v[p * w:p * w + w])
+            new.append([[sum(c) // len(met[e]) for c in zip(*met[e])] if e in met else entry for e, entry in enumerate(book)])
+        books = new
+    out, total = [], defaultdict(int)
+    for i, v, label in kept:
+        found = [near(v[p * w:p * w + w], book) for p, book in enumerate(books)]
+        out.append((i, "".join(f"{e:02x}" for _, e in found), sum(d for d, _ in found), label))
+        total[label] += out[-1][2]
+    digest = sha(",".join(str(x) for book in books for entry in book for x in entry).encode())
+    return [(i, code, error, total[label], digest) for i, code, error, label in out]
