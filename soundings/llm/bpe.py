@@ -34,9 +34,9 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from soundings.llm.text import text_runs
 
-#: States a worker keeps (about 1 KB each), and pieces of text whose ids it remembers; both start anew when full.
-STATES = 120_000
-REMEMBERED = 200_000
+#: States a worker keeps (about half a KB each), and pieces of text whose ids it remembers; both start anew when full.
+STATES = 300_000
+REMEMBERED = 400_000
 #: Pieces, and ids, that are handled at a time.
 CHUNK = 1 << 17
 
@@ -105,7 +105,7 @@ class Merges:
             return self.ends_of(token) is not None
         found = self.known.get((before, token))
         if found is None:
-            if len(self.known) >= 10 * REMEMBERED:
+            if len(self.known) >= 5 * REMEMBERED:
                 self.known.clear()
             found = self.known[before, token] = self.ends_of(token) is not None and self._apart(before, token)
         return found
