@@ -153,22 +153,22 @@ def _(t):
 
 # Speeds in degrees per hour, in the order in which constituents are kept.
 FIT_SPEEDS = {"M2": 28.9841042, "S2": 30.0, "K1": 15.0410686, "O1": 13.9430356, "N2": 28.4397295, "P1": 14.9589314, "K2": 30.0821373, "Q1": 13.3986609}
-SPEED_SQL = "[" + ", ".join(f"{{{{'name': '{c}', 'speed': {v!r}::double}}}}" for c, v in FIT_SPEEDS.items()) + "]"
-SPEED_SQL = SPEED_SQL.replace("{{", "{").replace("}}", "}")
 
 
-def full_fit_sql(rows: str, by: list[str], minimum: int = 0) -> str:
+def full_fit_sql(rows: str, by: list[str], minimum: int = 0, chosen: dict[str, float] | None = None) -> str:
     """Normal equations of all constituents each group resolves, solved by elimination, one unknown a step.
 
     ``rows`` has the ``by`` columns, us (microseconds) and y.  Unknowns are the constant (0), the
     trend (1), and a cosine and a sine of each constituent; column 99 is the right side.
     """
+    chosen = chosen or FIT_SPEEDS
+    named = "[" + ", ".join(f"{{'name': '{c}', 'speed': {v!r}::double}}" for c, v in chosen.items()) + "]"
     keys, on = ", ".join(by), lambda a, b: " and ".join(f"{a}.{k} = {b}.{k}" for k in by)
     of = lambda a: ", ".join(f"{a}.{k}" for k in by)
     return f"""
 (with recursive src as (select {keys}, us, y, row_number() over (order by {keys}, us, y) as r from ({rows}) where y is not null),
  span as (select {keys}, min(us) as u0, max(us) as u1, count(*) as n, (max(us) - min(us)) / 3.6E9 + 1 as hours from src group by {keys} having count(*) >= {minimum}),
- kept as (select *, list_reduce([[0.0::double], {", ".join(f"[{v!r}::double]" for v in FIT_SPEEDS.values())}],
+ kept as (select *, list_reduce([[0.0::double], {", ".join(f"[{v!r}::double]" for v in chosen.values())}],
    lambda k, x: case when len(list_filter(k, lambda z: abs(z - x[1]) * hours < 360)) = 0 then list_concat(k, x) else k end)[2:] as speeds from span),
  used as (select *, 2 + 2 * len(speeds) as d from kept where len(speeds) > 0 and n >= 2 + 2 * len(speeds)),
  wave as (select {of("u")}, s.r, unnest(range(0, len(u.speeds))) as k, radians(((s.us / 3.6E9) * unnest(u.speeds)) % 360) as w from src s join used u on {on("s", "u")}),
@@ -184,20 +184,45 @@ def full_fit_sql(rows: str, by: list[str], minimum: int = 0) -> str:
    join solved c on {on("c", "e")} and c.i = e.i and c.j = e.step where e.step < e.d),
  found as (select {keys}, i, v from solved where step = d and j = 99),
  waves as (select {of("c")}, (c.i - 2) // 2 as k, c.v as p, s.v as q from found c join found s on {on("c", "s")} and s.i = c.i + 1 where c.i >= 2 and c.i % 2 = 0)
- select {of("w")}, list_filter({SPEED_SQL}, lambda z: z.speed = u.speeds[w.k + 1])[1].name as constituent, sqrt(p * p + q * q) as a,
+ select {of("w")}, list_filter({named}, lambda z: z.speed = u.speeds[w.k + 1])[1].name as constituent, sqrt(p * p + q * q) as a,
    ((degrees(atan2(q, p)) % 360.0E0) + 360.0E0) % 360.0E0 as g from waves w join used u on {on("w", "u")})"""
 
 
 @query("harmonic_fit_W04", "port:int constituent:s a:d g:d",
        "select port, constituent, a, g from " + full_fit_sql("select port, epoch_us(time) as us, ssh_obs as y from {tg_dense}", ["port"], 30))
+def _(t):
+    return A.harmonic_fit(t("tg_dense"), "ssh_obs", constituents=A.CONSTITUENTS, minimum=30)
+
+
+@query("harmonic_fit_whole_table_W04", "port:int constituent:s a:d g:d",
+       "select port, constituent, a, g from " + full_fit_sql("select port, epoch_us(time) as us, ssh_obs as y from {tg_dense}", ["port"], 30, A.SPEEDS))
 def _(t):
     return A.harmonic_fit(t("tg_dense"), "ssh_obs", minimum=30)
 
 
-# The SQL twins solve the eight of FIT_SPEEDS; the whole table has queries of its own.
-@query("harmonic_fit_whole_table_W04", "port:int constituent:s a:d g:d", None)
+# Longitudes, argument and nodal factors of M2 and O1 by time, without the lines that depend on latitude.
+SKY_SQL = """select *, {{m}} as sky_t, 218.3164477E0 + (481267.88123421E0 - 0.0015786E0 * {{m}}) * {{m}} as s, 280.46646E0 + (36000.76983E0 + 0.0003032E0 * {{m}}) * {{m}} as h,
+ radians(125.0445479E0 + (-1934.1362891E0 + 0.0020754E0 * {{m}}) * {{m}}) as node, epoch_us(time) / 3.6E9 * 15 as sun from """.replace("{{m}}", "((epoch_us(time) / 3.6E9 - 262980) / 876600)")
+NODAL_SQL = {
+    "M2": ("1.0004E0 - 0.0373E0 * cos(node) + 0.0002E0 * cos(2 * node)", "2 * (sun + h - s) - 2.14E0 * sin(node)"),
+    "O1": ("1.0089E0 + 0.1871E0 * cos(node) - 0.0147E0 * cos(2 * node) + 0.0014E0 * cos(3 * node)",
+           "sun + h - 2 * s - 90 + 10.8E0 * sin(node) - 1.34E0 * sin(2 * node) + 0.19E0 * sin(3 * node)"),
+}
+
+
+def nodal_fit_sql(name: str) -> str:
+    f, angle = NODAL_SQL[name]
+    return f"""
+with b as (select port, y, f * cos(w) as c, f * sin(w) as s from (select port, ssh_obs as y, {f} as f, radians(({angle}) % 360) as w from ({SKY_SQL} {{tg_dense}} where ssh_obs is not null))),
+m as (select port, covar_pop(c, c) as cc, covar_pop(s, s) as ss, covar_pop(c, s) as cs, covar_pop(c, y) as cy, covar_pop(s, y) as sy from b group by port),
+r as (select port, (cy * ss - sy * cs) / (cc * ss - cs * cs) as p, (sy * cc - cy * cs) / (cc * ss - cs * cs) as q from m)
+select port, '{name}' as constituent, sqrt(p * p + q * q) as a, ((degrees(atan2(q, p)) % 360.0E0) + 360.0E0) % 360.0E0 as g from r"""
+
+
+@query("harmonic_fit_nodal_W04", "port:int constituent:s a:d g:d", f"select * from ({nodal_fit_sql('M2')}) union all select * from ({nodal_fit_sql('O1')})")
 def _(t):
-    return A.harmonic_fit(t("tg_dense"), "ssh_obs", constituents=A.ALL, minimum=30)
+    fits = [A.harmonic_fit(t("tg_dense"), "ssh_obs", constituents=[c], trend=False, nodal=True) for c in ("M2", "O1")]
+    return fits[0].unionByName(fits[1])
 
 
 FITTED = "case constituent " + " ".join(f"when '{c}' then {v!r}" for c, v in FIT_SPEEDS.items()) + " end"
@@ -229,6 +254,18 @@ def _(t):
     return tides(t)
 
 
+def nodal_tide_sql(side: str) -> str:
+    one = " ".join(f"when '{c}' then f.a * ({factor}) * cos(radians(({angle}) % 360) - radians(f.g))" for c, (factor, angle) in NODAL_SQL.items())
+    return (f"select e.port, e.time, sum(case f.constituent {one} end) as tide from ({SKY_SQL} {{tg_extract}}) e "
+            f"left join (select * from {{tide_fit_a}} where source = '{side}') f on f.port = e.port group by e.port, e.time")
+
+
+@query("tide_reconstruction_nodal_W05", "port:int time:t tide_obs_all:d tide_mod_all:d", f"""
+select o.port, o.time, o.tide as tide_obs_all, m.tide as tide_mod_all from ({nodal_tide_sql('obs')}) o join ({nodal_tide_sql('mod')}) m on m.port = o.port and m.time = o.time""")
+def _(t):
+    return A.reconstruct(t("tg_extract"), t("tide_fit_a"), constituents=["M2", "O1"], bands=("all",), nodal=True)
+
+
 @query("tide_error_series_W06", "port:int time:t band:s tide_obs:d tide_mod:d tide_err:d tide_abs_err:d tide_square_err:d", " union all ".join(
     f"""select port, time, '{b}' as band, tide_obs_{b} as tide_obs, tide_mod_{b} as tide_mod, tide_mod_{b} - tide_obs_{b} as tide_err,
  abs(tide_mod_{b} - tide_obs_{b}) as tide_abs_err, pow(tide_mod_{b} - tide_obs_{b}, 2) as tide_square_err from ({TIDES})""" for b in BANDS).replace("as all", 'as "all"'))
@@ -265,7 +302,8 @@ def _(t):
     return A.record_length_sweep(slots.regular_hours(t("tg_dense")), "ssh", [25, 225, 425, 625, 720], constituents=A.CONSTITUENTS)
 
 
-@query("record_length_sweep_whole_table_W09", "port:int length:int constituent:s a:d g:d", None)
+@query("record_length_sweep_whole_table_W09", "port:int length:int constituent:s a:d g:d", "select port, length, constituent, a, g from " + full_fit_sql(
+    f"select g.port, l.length, epoch_us(time) as us, ssh as y from ({GRID}) g join (select unnest([25, 225, 425, 625, 720]) as length) l on g.i < l.length", ["port", "length"], 0, A.SPEEDS))
 def _(t):
     return A.record_length_sweep(slots.regular_hours(t("tg_dense")), "ssh", [25, 225, 425, 625, 720])
 
@@ -400,20 +438,33 @@ PAIRS = """select port, time, ssh_obs - avg(ssh_obs) over (partition by port) as
 PAIR_SIDES = f"select port, 'obs' as source, epoch_us(time) as us, ssh_obs as y from ({PAIRS}) union all select port, 'mod' as source, epoch_us(time) as us, ssh_mod as y from ({PAIRS})"
 
 
-@query("gauge_validation_all_constituents", "port:int season:s ssh_std_err:d ntr_mae:d ntr_rmse:d ntr_corr:d n:long", f"""
+def scores_sql(chosen: dict[str, float]) -> str:
+    speeds = "case constituent " + " ".join(f"when '{c}' then {v!r}" for c, v in chosen.items()) + " end"
+    return f"""
 with pairs as ({PAIRS} qualify count(*) over (partition by port) >= 30),
-fit as (select * from {full_fit_sql(PAIR_SIDES, ["port", "source"])}),
-tide as (select e.port, e.time, sum(case when f.source = 'obs' then a * cos(radians((epoch_us(e.time) / 3.6E9 * {FITTED}) % 360.0E0) - radians(f.g)) end) as tide_obs,
-         sum(case when f.source = 'mod' then a * cos(radians((epoch_us(e.time) / 3.6E9 * {FITTED}) % 360.0E0) - radians(f.g)) end) as tide_mod
+fit as (select * from {full_fit_sql(PAIR_SIDES, ["port", "source"], 0, chosen)}),
+tide as (select e.port, e.time, sum(case when f.source = 'obs' then a * cos(radians((epoch_us(e.time) / 3.6E9 * {speeds}) % 360.0E0) - radians(f.g)) end) as tide_obs,
+         sum(case when f.source = 'mod' then a * cos(radians((epoch_us(e.time) / 3.6E9 * {speeds}) % 360.0E0) - radians(f.g)) end) as tide_mod
          from pairs e left join fit f on f.port = e.port group by e.port, e.time),
 v as (select e.port, {season_sql('month(e.time)')} as season, e.ssh_obs, e.ssh_mod, e.ssh_obs - tide_obs as ntr_obs, e.ssh_mod - tide_mod as ntr_mod
       from pairs e join tide t on t.port = e.port and t.time = e.time)
 select port, season, ssh_std_err, ntr_mae, ntr_rmse, ntr_corr, n from (select port, case when grouping(season) = 1 then 'All' else season end as season, {STATS},
-       case when grouping(season) = 1 or count(*) > 100 then corr(ntr_obs, ntr_mod) end as ntr_corr, count(ntr_obs - ntr_mod) as n from v group by grouping sets ((port, season), (port)))""")
+       case when grouping(season) = 1 or count(*) > 100 then corr(ntr_obs, ntr_mod) end as ntr_corr, count(ntr_obs - ntr_mod) as n from v group by grouping sets ((port, season), (port)))"""
+
+
+SCORE_SPEC = "port:int season:s ssh_std_err:d ntr_mae:d ntr_rmse:d ntr_corr:d n:long"
+
+
+@query("gauge_validation_main_constituents", SCORE_SPEC, scores_sql(FIT_SPEEDS))
 def _(t):
     return gauge_validation.gauge_scores(t("tg_dense").drop("ssh"), minimum=30, constituents=A.CONSTITUENTS)
 
 
-@query("gauge_validation_whole_table", "port:int season:s ssh_std_err:d ntr_mae:d ntr_rmse:d ntr_corr:d n:long", None)
+@query("gauge_validation_all_constituents", SCORE_SPEC, scores_sql(A.SPEEDS))
+def _(t):
+    return gauge_validation.gauge_scores(t("tg_dense").drop("ssh"), minimum=30, constituents=A.ALL)
+
+
+@query("gauge_validation_whole_table", SCORE_SPEC, scores_sql(A.SPEEDS))
 def _(t):
     return gauge_validation.gauge_scores(t("tg_dense").drop("ssh"), minimum=30)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from soundings.functions.scalars import epoch_micros, polar_x, polar_y, ratio, wrap_phase
+from soundings.operators import astro
 from soundings.operators.slots import HOUR_MICROS
 
 class Constituent(NamedTuple):
@@ -72,15 +73,24 @@ def phase_angle(constituent: str | Constituent, hours: Column) -> Column:
 HELD = 128
 
 
-def _basis(micros: np.ndarray, centred: np.ndarray, constituents: list[Constituent], trend: bool) -> np.ndarray:
+def _basis(micros: np.ndarray, centred: np.ndarray, constituents: list[Constituent], trend: bool,
+           nodal: bool = False, latitude: np.ndarray | None = None) -> np.ndarray:
     """One column for each unknown: constant, trend, and a cosine and a sine of each constituent."""
     hours = micros / float(HOUR_MICROS)
-    angles = np.radians(np.outer(hours, [c.speed for c in constituents]) % 360.0)
-    waves = np.stack([np.cos(angles), np.sin(angles)], axis=2).reshape(len(hours), -1)
+    angles = np.outer(hours, [c.speed for c in constituents])
+    factors = np.ones_like(angles)
+    if nodal:
+        at = astro.sky(hours)
+        for k, c in enumerate(constituents):
+            if astro.known(c.name):
+                f, u = astro.nodal(c.name, at, np, latitude)
+                angles[:, k], factors[:, k] = astro.argument(c.name, at) + u, f
+    angles = np.radians(angles % 360.0)
+    waves = np.stack([factors * np.cos(angles), factors * np.sin(angles)], axis=2).reshape(len(hours), -1)
     return np.column_stack([np.ones(len(hours)), *([centred] if trend else []), waves])
 
 
-def _summing(keys: list[str], constituents: list[Constituent], trend: bool):
+def _summing(keys: list[str], constituents: list[Constituent], trend: bool, nodal: bool = False):
     """Products of all unknowns' columns with each other and with the record, summed per task and record."""
     def add(batches):
         held: dict[tuple, list] = {}
@@ -93,7 +103,8 @@ def _summing(keys: list[str], constituents: list[Constituent], trend: bool):
         for batch in batches:
             for key, own in batch.groupby(keys, dropna=False):
                 micros = own["_us"].to_numpy()
-                columns = np.column_stack([_basis(micros, own["_c"].to_numpy(), constituents, trend), own["_y"].to_numpy()])
+                latitude = own["_lat"].to_numpy(float) if "_lat" in own else None
+                columns = np.column_stack([_basis(micros, own["_c"].to_numpy(), constituents, trend, nodal, latitude), own["_y"].to_numpy()])
                 have = held.setdefault(tuple(key), [0, micros[0], micros[0], 0.0])
                 have[0] += len(own)
                 have[1], have[2] = min(have[1], micros.min()), max(have[2], micros.max())
@@ -137,16 +148,23 @@ FIT = ", constituent string, a double, g double"
 SUMS = ", _n long, _u0 long, _u1 long, _sums binary"
 
 
-def harmonic_fit(series: DataFrame, value: str, keys=("port",), constituents=CONSTITUENTS, trend: bool = True,
-                 time="time", minimum: int = 0) -> DataFrame:
+def harmonic_fit(series: DataFrame, value: str, keys=("port",), constituents=ALL, trend: bool = True,
+                 time="time", minimum: int = 0, nodal: bool = False, latitude: str | None = None) -> DataFrame:
     """(keys, constituent, a, g): least-squares amplitude and phase lag in degrees.
 
     ``constituents`` are names of the table or own ``Constituent`` rows.  The record itself is only summed:
     each task adds up one small matrix of products per record, so a record of any length
-    becomes a row per task; those meet and are solved.  No nodal corrections; phases refer to 1970-01-01.
+    becomes a row per task; those meet and are solved.
+
+    Without ``nodal`` phases refer to 1970-01-01.  With it they are lags behind the astronomical
+    argument at Greenwich, and every value is fitted with the nodal factors of its own time, so
+    amplitudes do not depend on the years of the record; ``latitude`` names a column of degrees
+    for the factors' part that depends on it (none of it where that is NULL).  Own constituents
+    have no astronomical argument and are fitted as without.
     """
     keys, chosen = list(keys), constituents_of(constituents)
-    rows = series.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_y"), epoch_micros(time).alias("_us"))
+    rows = series.filter(F.col(value).isNotNull()).select(
+        *keys, F.col(value).cast("double").alias("_y"), epoch_micros(time).alias("_us"), *_latitude_column(nodal, latitude))
     if trend:
         span = rows.groupBy(*keys).agg(F.min("_us").alias("_u0"), F.max("_us").alias("_u1"))
         rows = rows.join(span, keys).withColumn(
@@ -159,13 +177,17 @@ def harmonic_fit(series: DataFrame, value: str, keys=("port",), constituents=CON
         found = _solve(sum(_unpacked(s) for s in parts["_sums"]), n, hours, chosen, trend) if n >= minimum else []
         return pd.DataFrame([(*key, *f) for f in found], columns=[*keys, "constituent", "a", "g"])
 
-    return rows.mapInPandas(_summing(keys, chosen, trend), _schema(series, keys) + SUMS).groupBy(*keys).applyInPandas(
+    return rows.mapInPandas(_summing(keys, chosen, trend, nodal), _schema(series, keys) + SUMS).groupBy(*keys).applyInPandas(
         solve, _schema(series, keys) + FIT)
 
 
+def _latitude_column(nodal: bool, latitude: str | None) -> list[Column]:
+    return [astro.off_equator(F.col(latitude)).alias("_lat")] if nodal and latitude else []
+
+
 def record_length_sweep(series: DataFrame, value: str, lengths, keys=("port",), constituents=ALL,
-                        time="time") -> DataFrame:
-    """(keys, length, constituent, a, g) of the first ``length`` hours for each length.
+                        time="time", nodal: bool = False, latitude: str | None = None) -> DataFrame:
+    """(keys, length, constituent, a, g) of the first ``length`` hours for each length; ``nodal`` and ``latitude`` as in ``harmonic_fit``.
 
     A row is summed once, into the shortest length it belongs to; sums of longer records
     are running totals over those few rows.  ``series`` comes from ``regular_hours``.
@@ -177,7 +199,7 @@ def record_length_sweep(series: DataFrame, value: str, lengths, keys=("port",),
     rows = (
         series.filter(F.col(value).isNotNull())
         .select(*keys, step.alias("length"), F.col(value).cast("double").alias("_y"), epoch_micros(time).alias("_us"),
-                (F.col("i") / F.lit(float(lengths[-1]))).alias("_c"))
+                (F.col("i") / F.lit(float(lengths[-1]))).alias("_c"), *_latitude_column(nodal, latitude))
         .filter(F.col("length").isNotNull())
     )
     by = [*keys, "length"]
@@ -192,7 +214,7 @@ def record_length_sweep(series: DataFrame, value: str, lengths, keys=("port",),
             out += [(*key, length, *f) for f in _solve(total, n, (last - first) / HOUR_MICROS + 1, chosen, True)]
         return pd.DataFrame(out, columns=[*by, "constituent", "a", "g"])
 
-    return rows.mapInPandas(_summing(by, chosen, True), _schema(rows, by) + SUMS).groupBy(*keys).applyInPandas(
+    return rows.mapInPandas(_summing(by, chosen, True, nodal), _schema(rows, by) + SUMS).groupBy(*keys).applyInPandas(
         solve, _schema(rows, by) + FIT)
 
 
@@ -216,35 +238,50 @@ def lookup_constituents(table: DataFrame, wanted, keys=("port",)) -> DataFrame:
     return every.join(table, [*keys, "constituent"], "left")
 
 
-def reconstruct(times: DataFrame, fits: DataFrame, keys=("port",), constituents=ALL,
-                time="time") -> DataFrame:
-    """``times`` with tide_<side>_<band> for the sides in ``fits.source`` and three bands.
+def reconstruct(times: DataFrame, fits: DataFrame, keys=("port",), constituents=ALL, time="time",
+                bands=("all", "semidiurnal", "diurnal"), nodal: bool = False, latitude: str | None = None) -> DataFrame:
+    """``times`` with tide_<side>_<band> for the sides in ``fits.source`` and the bands asked for.
 
     The few fitted values of a station are turned into columns first, so each time gets
-    its tides by arithmetic in one row instead of a join and a sum per constituent.  A
-    station without a fit keeps its rows, with NULL tides.
+    its tides by arithmetic in one row instead of a join and a sum per constituent; the cosine and
+    sine of a constituent are worked out once for all bands and sides.  A station without a fit
+    keeps its rows, with NULL tides.  ``nodal`` and ``latitude`` (a column of ``times``) have to be those of the fit.
     """
-    keys, chosen = list(keys), constituents_of(constituents)
-    pairs = [(side, c) for side in ("obs", "mod") for c in chosen]
-    columns = [
-        F.max(F.when((F.col("source") == side) & (F.col("constituent") == c.name), F.col(p))).alias(f"_{p}_{side}_{c.name}")
-        for side, c in pairs for p in ("a", "g")
-    ]
-    wide = fits.groupBy(*keys).agg(*columns)
+    members = {"all": None, "semidiurnal": SEMIDIURNAL, "diurnal": DIURNAL}
+    keys, chosen, sides = list(keys), constituents_of(constituents), ("obs", "mod")
+    chosen = [c for c in chosen if any(members[b] is None or c.name in members[b] for b in bands)]
+    own = lambda side, c: (F.col("source") == side) & (F.col("constituent") == c.name)
+    lag = F.radians("g")
+    wide = fits.groupBy(*keys).agg(*[
+        F.max(F.when(own(side, c), F.col("a") * part)).alias(f"_{name}_{side}_{c.name}")
+        for side in sides for c in chosen for name, part in (("x", F.cos(lag)), ("y", F.sin(lag)))])
     hours = epoch_micros(time) / F.lit(float(HOUR_MICROS))
-    out = times.join(wide, keys, "left")
+    out = times.join(wide, keys, "left").withColumn("_hours", hours)
+    lat = None
+    if nodal:
+        out = out.withColumns({f"_{name}": value for name, value in astro.sky(F.col("_hours"))._asdict().items()})
+        if latitude:
+            out, lat = out.withColumn("_lat", astro.off_equator(F.col(latitude))), F.col("_lat")
+    at, waves = astro.Sky(*(F.col(f"_{name}") for name in astro.Sky._fields)), {}
+    for c in chosen:
+        angle, f = phase_angle(c, F.col("_hours")), F.lit(1.0)
+        if nodal and astro.known(c.name):
+            f, u = astro.nodal(c.name, at, F, lat)
+            angle = F.radians(F.pmod(astro.argument(c.name, at) + u, F.lit(360.0)))
+        waves |= {f"_c_{c.name}": F.cos(angle) * f, f"_s_{c.name}": F.sin(angle) * f}
+    out = out.withColumns(waves)
     tides = {}
-    for side in ("obs", "mod"):
-        for band, members in (("all", ALL), ("semidiurnal", SEMIDIURNAL), ("diurnal", DIURNAL)):
+    for side in sides:
+        for band in bands:
             terms, known = [], []
             for c in chosen:
-                if band == "all" or c.name in members:
-                    a, g = F.col(f"_a_{side}_{c.name}"), F.col(f"_g_{side}_{c.name}")
-                    terms.append(F.coalesce(a * F.cos(phase_angle(c, hours) - F.radians(g)), F.lit(0.0)))
-                    known.append(a)
+                if members[band] is None or c.name in members[band]:
+                    x, y = F.col(f"_x_{side}_{c.name}"), F.col(f"_y_{side}_{c.name}")
+                    terms.append(F.coalesce(x * F.col(f"_c_{c.name}") + y * F.col(f"_s_{c.name}"), F.lit(0.0)))
+                    known.append(x)
             total = F.aggregate(F.array(*terms), F.lit(0.0), lambda x, y: x + y) if terms else F.lit(0.0)
             tides[f"tide_{side}_{band}"] = F.when(F.coalesce(*known).isNotNull(), total) if known else F.lit(None).cast("double")
-    return out.withColumns(tides).drop(*[f"_{p}_{s}_{c.name}" for s, c in pairs for p in ("a", "g")])
+    return out.withColumns(tides).select(*times.columns, *tides)
 
 
 def tide_bands(reconstructed: DataFrame, keys=("port",), time="time") -> DataFrame:

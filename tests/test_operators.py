@@ -322,11 +322,11 @@ def test_harmonic_fit_recovers_planted_tide(spark):
     epoch = (T0 - dt.datetime(1970, 1, 1)).total_seconds() / 3600
     values = [0.3 + 1e-5 * k + sum(a * math.cos(math.radians(tide.SPEEDS[c] * (epoch + k) - g)) for c, (a, g) in planted.items()) for k in range(4400)]
     df = hourly(spark, values).withColumn("ssh", F.when(F.col("i") % 11 != 3, F.col("ssh")))
-    got = {r.constituent: r for r in tide.harmonic_fit(df, "ssh").collect()}
+    got = {r.constituent: r for r in tide.harmonic_fit(df, "ssh", constituents=tide.CONSTITUENTS).collect()}
     assert set(got) == set(planted)
     for c, (a, g) in planted.items():
         assert got[c].a == pytest.approx(a, abs=1e-6) and (got[c].g - g + 180) % 360 - 180 == pytest.approx(0, abs=1e-3)
-    fits = tide.harmonic_fit(df, "ssh").select("port", F.lit("obs").alias("source"), "constituent", "a", "g")
+    fits = tide.harmonic_fit(df, "ssh", constituents=tide.CONSTITUENTS).select("port", F.lit("obs").alias("source"), "constituent", "a", "g")
     back = tide.reconstruct(df, fits).select("i", "tide_obs_all").collect()
     assert all(r.tide_obs_all == pytest.approx(values[r.i] - 0.3 - 1e-5 * r.i, abs=1e-4) for r in back)
     sweep = {(r.length, r.constituent): r.a for r in tide.record_length_sweep(df, "ssh", [25, 1025, 4400]).collect()}
