@@ -11,7 +11,7 @@ from soundings.operators import clean as C
 from soundings.operators import matchup as M
 from soundings.schema import canonicalise
 from soundings.session import stage_path
-from soundings.sources import scan, sink
+from soundings.sources import clustered, scan, sink
 
 
 def _folder(t, name):
@@ -36,6 +36,32 @@ def _(t):
                            renames={"o_orderkey": "profile_id", "o_orderdate": "time"})
 
 
+@query("bounded_field_scan_S01", "x:int y:int t:t z:int depth:d temperature:d", """
+select x, y, t, z, depth, temperature from {grid_field} where run = 'a' and year * 12 + month between 1996 * 12 + 11 and 1998 * 12 + 2
+and depth between 0.0 and 6.0 and t >= timestamp '1997-01-01 00:00:00' and t < timestamp '1998-01-01 00:00:00'""")
+def _(t):
+    path = _folder(t, "grid_field")
+    sink.write_replacing(canonicalise(t("grid_field"), "grid_field"), path, ("year", "month"))
+    return scan.scan_months(t.spark, "grid_field", path, (1996, 11), (1998, 2), run="a",
+                            bounds={"depth": (0.0, 6.0), "t": ("1997-01-01 00:00:00", "1998-01-01 00:00:00")})
+
+
+@query("bounded_profile_scan_S02", "profile_id:long time:t", """
+select o_orderkey as profile_id, o_orderdate as time from {orders} where o_orderdate >= timestamp '1996-01-01' and o_orderdate < timestamp '1996-03-01' and o_orderkey >= 100""")
+def _(t):
+    return scan.scan_table(t.spark, "profile_header", t.path("orders"), renames={"o_orderkey": "profile_id", "o_orderdate": "time"},
+                           bounds={"time": ("1996-01-01 00:00:00", "1996-03-01 00:00:00"), "profile_id": (100, None)})
+
+
+@query("extent_scan_P01", "profile_id:long lon:d lat:d", """
+select profile_id, lon, lat from {profile_header} where lon between (select min(lon) + 1 from {grid_cell}) and (select max(lon) - 1 from {grid_cell})
+and lat between (select min(lat) + 1 from {grid_cell}) and (select max(lat) - 1 from {grid_cell})""")
+def _(t):
+    path = _folder(t, "headers")
+    sink.write_replacing(canonicalise(t("profile_header"), "profile_header"), path)
+    return scan.scan_table(t.spark, "profile_header", path, bounds=scan.extent_bounds(t("grid_cell"), -1.0))
+
+
 @query("static_grid_scan_S03", "x:int y:int lon:d lat:d bathymetry:d bottom_level:int",
        "select x, y, lon, lat, bathymetry, bottom_level from {grid_cell}")
 def _(t):
@@ -85,6 +111,30 @@ def _(t):
     return scan.keep_station_cells(t("grid_field"), nearest_cell(t("tg_station"), t("grid_cell"), 60.0))
 
 
+@query("clustered_station_scan_S07", "x:int y:int t:t z:int temperature:d", f"""
+select f.x, f.y, f.t, f.z, f.temperature from {{grid_field}} f
+where (f.x, f.y) in (select (x, y) from ({nearest_sql('tg_station', 60.0)}) as n)""")
+def _(t):
+    from soundings.operators.spatial import nearest_cell
+
+    path = _folder(t, "grid_field")
+    clustered.write_clustered(canonicalise(t("grid_field"), "grid_field"), path)
+    return clustered.scan_cells(t.spark, "grid_field", path, nearest_cell(t("tg_station"), t("grid_cell"), 60.0), (1900, 1), (2100, 12))
+
+
+@query("clustered_station_series_J05", "port:int time:t ssh:d", f"""
+select s.port, g.t as time, g.ssh from (select s.port, n.x, n.y from {{tg_station}} s join ({nearest_sql('tg_station', 60.0)}) n on s.lon = n.lon and s.lat = n.lat) s
+join {{grid_ssh}} g on g.x = s.x and g.y = s.y""")
+def _(t):
+    from soundings.operators.matchup import model_series
+    from soundings.operators.spatial import nearest_cell
+
+    path, stations = _folder(t, "grid_ssh"), nearest_cell(t("tg_station"), t("grid_cell"), 60.0)
+    months = t("grid_ssh").withColumns({"year": F.year("t"), "month": F.month("t")})
+    clustered.write_clustered(canonicalise(months, "grid_ssh"), path)
+    return model_series(stations, clustered.scan_cells(t.spark, "grid_ssh", path, stations, (1900, 1), (2100, 12)))
+
+
 @query("replace_if_exists_S08", "season:s port:int time:t ssh_obs:d", """
 select season, port, time, case when season = 'MAM' then ssh_obs * 2 else ssh_obs end as ssh_obs from {tg_daily}""")
 def _(t):

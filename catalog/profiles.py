@@ -1,6 +1,8 @@
 """Matchup, interpolation, depth averages, regions and their statistics, surface maps."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog.base import query, season_sql
@@ -9,7 +11,8 @@ from soundings.functions import scalars as S
 from soundings.operators import (clean as C, error as E, matchup as M, quantiles as Q, spatial as G,
                                  surface as U, timejoin as T, vertical as V)
 from soundings.plans import profile_validation, surface_crps
-from soundings.session import cut_lineage
+from soundings.session import cut_lineage, stage_path
+from soundings.sources import scan, sink
 
 VARS = ["temperature", "salinity"]
 RADIUS = 60.0
@@ -406,6 +409,54 @@ def _(t):
 FLAG_MOD = f"""(select m.profile_id, f.depth, f.temperature from mm m join {{grid_field}} f on f.x = m.x and f.y = m.y and f.t = m.t where f.temperature is not null)"""
 
 
+CHAIN = f"""
+mm as ({MATCH_SQL}),
+obs as ({interp_sql('profile_level', 'temperature')}),
+col as {FLAG_MOD},
+at_obs as (select profile_id, depth, case when da = depth then va else va + (vb - va) * ((depth - da) / nullif(db - da, 0)) end as temperature from
+ (select r.profile_id, r.depth, max(f.depth) filter (f.depth <= r.depth) as da, arg_max(f.temperature, f.depth) filter (f.depth <= r.depth) as va,
+         min(f.depth) filter (f.depth >= r.depth) as db, arg_min(f.temperature, f.depth) filter (f.depth >= r.depth) as vb
+  from {{profile_level}} r join col f on f.profile_id = r.profile_id group by r.profile_id, r.depth)),
+mod as (select profile_id, z, depth, case when da = depth then va else va + (vb - va) * ((depth - da) / nullif(db - da, 0)) end as temperature from
+ (select s.profile_id, r.z, r.depth, max(s.depth) filter (s.depth <= r.depth) as da, arg_max(s.temperature, s.depth) filter (s.depth <= r.depth) as va,
+         min(s.depth) filter (s.depth >= r.depth) as db, arg_min(s.temperature, s.depth) filter (s.depth >= r.depth) as vb
+  from at_obs s cross join (select * from {{ref_depth}} where depth <= 50) r where s.temperature is not null group by s.profile_id, r.z, r.depth) where da is not null and db is not null),
+firsts as (select x, y, t, min(profile_id) as first_id from mm group by x, y, t),
+obs_cell as (select m.x, m.y, m.t, o.z, avg(o.temperature) as temperature from obs o join mm m on m.profile_id = o.profile_id group by 1, 2, 3, 4),
+mod_cell as (select c.x, c.y, c.t, m.z, m.temperature from firsts c join mod m on m.profile_id = c.first_id),
+err as (select coalesce(o.x, m.x) as x, coalesce(o.y, m.y) as y, coalesce(o.t, m.t) as t, coalesce(o.z, m.z) as z, o.temperature as temperature_obs, m.temperature as temperature_mod
+        from obs_cell o full join mod_cell m on o.x = m.x and o.y = m.y and o.t = m.t and o.z = m.z),
+deep as (select e.*, r.depth, r.thickness, b.bathymetry as bed, case when b.bathymetry < 100 then 10 when b.bathymetry < 500 then 30 else 100 end as h
+         from err e join {{ref_depth}} r on r.z = e.z left join {{grid_cell}} b on b.x = e.x and b.y = e.y)"""
+
+
+def layer_sql(kind: str, where: str) -> str:
+    side = lambda s: (f"sum(temperature_{s} * thickness) filter (temperature_{s} is not null) / nullif(sum(thickness) filter (temperature_{s} is not null), 0)")
+    return f"""select '{kind}' as kind, year(t) as year, month(t) as month, count(*) as n, avg(m - o) as diff from
+ (select x, y, t, {side('obs')} as o, {side('mod')} as m from deep where {where} group by x, y, t) group by 2, 3"""
+
+
+@query("profile_publication_S09", "kind:s year:int month:int n:long diff:d", f"""
+with {CHAIN}
+select 'profile_errors' as kind, year(t) as year, month(t) as month, count(*) as n, avg(temperature_mod - temperature_obs) as diff from err group by 2, 3
+union all select 'interpolated_profiles', year(t), month(t), count(*), avg(temperature_mod) from err group by 2, 3
+union all select 'interpolated_obs', year(t), month(t), count(*), avg(temperature_obs) from err group by 2, 3
+union all {layer_sql('surface_data', 'depth between 0 and 5')}
+union all {layer_sql('mid_data', 'depth between 20 and 40')}
+union all {layer_sql('bottom_data', 'depth between bed - h and bed')}
+union all select 'extracted_profiles', year(m.t), month(m.t), count(*), avg(f.temperature) from mm m join {{grid_field}} f on f.x = m.x and f.y = m.y and f.t = m.t group by 2, 3""")
+def _(t):
+    base = stage_path(t.spark, uuid.uuid4().hex)
+    profile_validation.publish_profile_tables(
+        t("profile_header"), t("profile_level"), t("grid_cell"), t("grid_field"), t("grid_cell").select("x", "y", "bathymetry"), ["temperature"], base,
+        depth_choices={"mid": (20.0, 40.0)}, max_km=RADIUS, max_lag_seconds=LAG)
+    shown = {"profile_errors": "diff_temperature", "interpolated_profiles": "temperature_mod", "interpolated_obs": "temperature_obs", "surface_data": "diff_temperature",
+             "mid_data": "diff_temperature", "bottom_data": "diff_temperature", "extracted_profiles": "temperature"}
+    return scan.stack_tables([
+        sink.read_published(t.spark, base, name).groupBy("year", "month").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("diff")).withColumn("kind", F.lit(name))
+        for name, value in shown.items()])
+
+
 @query("profile_validation_flagship", "region:s season:s z:int level_set:s mean_diff_temperature:d mean_abs_diff_temperature:d n:long", f"""
 with mm as ({MATCH_SQL}),
 obs as ({interp_sql('profile_level', 'temperature')}),

@@ -8,7 +8,7 @@ from soundings.operators.spatial import neighbourhood
 
 
 def neighbourhood_crps(obs: DataFrame, cells: DataFrame, field: DataFrame, variables,
-                       radii=CRPS_RADII_KM, key="profile_id", salts: int = 4) -> DataFrame:
+                       radii=CRPS_RADII_KM, key="profile_id", salts: int = 4, around: DataFrame | None = None) -> DataFrame:
     """(key, variable, radius_km, crps, n_points, land) for every observation and radius.
 
     ``obs`` has lon, lat, the model time ``t`` nearest to it and the observed variables;
@@ -17,11 +17,13 @@ def neighbourhood_crps(obs: DataFrame, cells: DataFrame, field: DataFrame, varia
     each model value once.  The spread term mean|xi - xj| / 2 comes from the ranks within
     the neighbourhood.  ``land`` tells that a land cell lies within the radius.
 
-    The cells around one position are gathered in an array; the grid spacing bounds it.
+    The cells around one position are gathered in an array; the grid spacing bounds it.  ``around`` is the result
+    of ``neighbourhood`` at the largest radius, where the caller has it already.
     """
     radii = sorted(int(r) for r in radii)
     rings = [r for r in radii if r > 0]
-    around = neighbourhood(obs, cells, max(radii), salts).groupBy("lon", "lat").agg(
+    near = neighbourhood(obs, cells, max(radii), salts) if around is None else around
+    around = near.groupBy("lon", "lat").agg(
         F.collect_list(F.when(~F.col("land"), F.struct("dist_km", "x", "y"))).alias("_sea"),
         F.min(F.when(~F.col("land"), F.struct("dist_km", "x", "y"))).alias("_best"),
         F.array_compact(F.array(*[

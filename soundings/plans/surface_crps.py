@@ -14,22 +14,34 @@ from soundings.session import cut_lineage
 
 
 def surface_crps(headers: DataFrame, levels: DataFrame, cells: DataFrame, field: DataFrame, variables,
-                 radii=CRPS_RADII_KM, depth: float = 5.0) -> DataFrame:
-    """CRPS of each profile's near-surface mean against the model's at the nearest time."""
+                 radii=CRPS_RADII_KM, depth: float = 5.0, run: str | None = None, model_times: DataFrame | None = None) -> DataFrame:
+    """CRPS of each profile's near-surface mean against the model's at the nearest time.
+
+    Cells around each position are searched once.  The field is read for the months and cells needed; ``run``
+    names the run to take from it, and ``model_times`` (t) spares a pass over it for its times.
+    """
     variables = list(variables)
-    field, cells = one_run(field), one_run(cells)
+    cells = one_run(cells, run)
+    if run is not None:
+        field = one_run(field, run)
     top = near_surface(levels, depth).groupBy("profile_id").agg(*[F.avg(v).alias(v) for v in variables])
-    timed = nearest_time(headers, field.select("t").distinct())
+    timed = nearest_time(headers, field.select("t").distinct() if model_times is None else model_times.select("t").distinct())
     # Read twice: for its positions and for its values.
     obs = cut_lineage(timed.join(top, "profile_id").select("profile_id", "lon", "lat", "t", *variables))
-    return neighbourhood_crps(obs, cells, surface_mean(needed_field(field, obs, cells, max(radii)), variables, depth), variables, radii)
+    around = cut_lineage(neighbourhood(obs.select("lon", "lat").distinct(), cells, max(radii)))
+    surface = cut_lineage(surface_mean(needed_field(field, obs, around), variables, depth))
+    return neighbourhood_crps(obs, cells, one_run(surface), variables, radii, around=around)
 
 
-def needed_field(field: DataFrame, obs: DataFrame, cells: DataFrame, radius_km: float) -> DataFrame:
-    """The field's rows at the times of observations and in cells within the radius of one then."""
-    places = neighbourhood(obs.select("lon", "lat").distinct(), cells, radius_km).select("lon", "lat", "x", "y")
-    wanted = obs.select("lon", "lat", "t").distinct().join(places, ["lon", "lat"]).select("x", "y", "t").distinct()
-    return field.join(wanted, ["x", "y", "t"], "left_semi")
+def needed_field(field: DataFrame, obs: DataFrame, around: DataFrame) -> DataFrame:
+    """The field's rows at the times of observations and in cells near one then.
+
+    ``around`` (lon, lat, x, y) has the cells around each position.  Where the field is stored by year and month, those
+    of the times join as well, so that only their folders are read.
+    """
+    months = {"year": F.year("t"), "month": F.month("t")} if {"year", "month"} <= set(field.columns) else {}
+    wanted = obs.select("lon", "lat", "t").distinct().join(around.select("lon", "lat", "x", "y"), ["lon", "lat"]).select("x", "y", "t").distinct()
+    return field.join(wanted.withColumns(months) if months else wanted, ["x", "y", "t", *months], "left_semi")
 
 
 def crps_by_region(crps: DataFrame, membership: DataFrame, pairs: DataFrame, variables, depth: float = 5.0) -> DataFrame:

@@ -55,10 +55,16 @@ def run_key(*tables: DataFrame) -> list[str]:
     return ["run"] if all("run" in t.columns for t in tables) else []
 
 
-def one_run(table: DataFrame) -> DataFrame:
-    """The table without ``run``; rows of a second run raise an error rather than mix with the first's."""
+def one_run(table: DataFrame, run: str | None = None) -> DataFrame:
+    """The table without ``run``: the rows of the run named, or of the only one.
+
+    Without a name, rows of a second run raise an error rather than mix with the first's; that takes a pass over
+    the table's ``run`` column, so large tables are checked after they are cut to what is needed.
+    """
     if "run" not in table.columns:
         return table
+    if run is not None:
+        return table.filter(F.col("run") == run).drop("run")
     first = table.select(F.min("run").alias("run")).select("run").scalar()
     same = F.when(F.col("run").eqNullSafe(first), True).otherwise(F.raise_error(F.lit("several runs in one table: choose one")).cast("boolean"))
     return table.filter(same).drop("run")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from soundings.operators import matchup, surface
+from soundings.operators import matchup, spatial, surface
 from soundings.plans import surface_crps
 from soundings.schema import TABLES, one_run
 
@@ -39,7 +39,7 @@ def test_crps_field_is_cut_before_its_mean(spark, field):
     own = one_run(field.filter("run = 'a'"))
     far = own.withColumns({"x": F.lit(9), "y": F.lit(9)})
     later = own.withColumn("t", F.col("t") + F.expr("interval 1 day"))
-    needed = surface_crps.needed_field(own.unionByName(far).unionByName(later), obs, cells, 20.0)
+    needed = surface_crps.needed_field(own.unionByName(far).unionByName(later), obs, spatial.neighbourhood(obs, cells, 20.0))
     assert [(r.x, r.t) for r in needed.collect()] == [(1, T0)]
     plan = surface.surface_mean(needed, ["temperature"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate [x") < plan.index("LeftSemi")
