@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from catalog.base import query, season_sql
 from catalog.cleaning import HAVERSINE, nearest_sql
 from soundings.functions import scalars as S
-from soundings.operators import (clean as C, error as E, matchup as M, quantiles as Q, spatial as G,
+from soundings.operators import (clean as C, error as E, matchup as M, moments as N, quantiles as Q, spatial as G,
                                  surface as U, timejoin as T, vertical as V)
 from soundings.plans import profile_validation, surface_crps
 from soundings.session import cut_lineage, stage_path
@@ -232,6 +232,51 @@ def _(t):
     return E.region_stats(t("profile_error_a"), ["diff_temperature"])
 
 
+def stored_errors(t, sketch=None):
+    """Monthly states of the errors: all but the last year in one publication, the last year and a correction in another."""
+    base, late = stage_path(t.spark, uuid.uuid4().hex), F.col("time") >= F.lit("1998-01-01").cast("timestamp_ntz")
+    states = lambda rows: N.month_states(rows, ["diff_temperature", "diff_salinity"], sketch=sketch)
+    early = t("profile_error_a").filter(~late)
+    # a month stored with wrong values first, and put right by the second publication
+    wrong = early.withColumn("diff_temperature", F.when((F.year("time") == 1997) & (F.month("time") == 5), 1e6).otherwise(F.col("diff_temperature")))
+    N.store_months(states(wrong), base, "errors")
+    N.store_months(states(t("profile_error_a").filter(late | ((F.year("time") == 1997) & (F.month("time") == 5)))), base, "errors")
+    return N.stored_months(t.spark, base, "errors")
+
+
+@query("incremental_region_stats_A08", "region:s season:s z:int diff_temperature_mean:d diff_temperature_std:d diff_temperature_count:long diff_temperature_min:d diff_temperature_max:d", """
+select region, season, z, avg(diff_temperature) as diff_temperature_mean, stddev_pop(diff_temperature) as diff_temperature_std, count(diff_temperature) as diff_temperature_count,
+       min(diff_temperature) as diff_temperature_min, max(diff_temperature) as diff_temperature_max from {profile_error_a} group by region, season, z""")
+def _(t):
+    return N.merged_stats(stored_errors(t), ["diff_temperature"])
+
+
+@query("incremental_std_A09", "region:s season:s std:d", """
+select region, season, stddev_pop(diff_temperature) as std from {profile_error_a} group by region, season""")
+def _(t):
+    return N.merged_stats(stored_errors(t), ["diff_temperature"], ("region", "season")).withColumnRenamed("diff_temperature_std", "std")
+
+
+@query("incremental_seasons_A12", "region:s season:s mean:d std:d", """
+select region, season, avg(diff_salinity) as mean, stddev_pop(diff_salinity) as std from {profile_error_a} group by region, season""")
+def _(t):
+    levels = N.merge_states(stored_errors(t), ["diff_salinity"], ("region", "season", "z"))  # a state again, merged once more
+    return N.merged_stats(levels, ["diff_salinity"], ("region", "season")).withColumnsRenamed({"diff_salinity_mean": "mean", "diff_salinity_std": "std"})
+
+
+@query("sketch_quantiles_A10", "region:s season:s q:d n:long within:b", """
+select region, season, unnest([0.1, 0.25, 0.5, 0.75, 0.9]) as q, n, true as within from
+(select region, season, count(diff_temperature) as n from {profile_error_a} where diff_temperature is not null group by region, season)""")
+def _(t):
+    found = N.sketch_quantiles(stored_errors(t, sketch=N.SKETCH), "diff_temperature", [0.1, 0.25, 0.5, 0.75, 0.9], ("region", "season"))
+    rows = t("profile_error_a").select("region", "season", F.col("diff_temperature").alias("v")).filter("v is not null")
+    ranks = found.join(rows, ["region", "season"]).groupBy("region", "season", "q", "n").agg(
+        F.count_if(F.col("v") < F.col("diff_temperature")).alias("below"), F.count_if(F.col("v") <= F.col("diff_temperature")).alias("upto"))
+    # the value's ranks are an interval where it occurs more than once; three times the error of 99 % confidence
+    slack = F.col("n") * 3 * N.rank_error() + 1
+    return ranks.withColumn("within", (F.col("below") - slack <= F.col("q") * F.col("n")) & (F.col("q") * F.col("n") <= F.col("upto") + slack))
+
+
 @query("std_from_moments_A09", "region:s season:s std:d", """
 select region, season, stddev_pop(diff_temperature) as std from {profile_error_a} group by region, season""")
 def _(t):
@@ -346,6 +391,15 @@ def _(t):
     return U.seasonal_climatology(t("grid_surface"), VARS, ("x", "y"))
 
 
+@query("incremental_climatology_A27", "season:s x:int y:int temperature:d salinity:d", f"""
+select {season_sql('month')} as season, x, y, avg(temperature) as temperature, avg(salinity) as salinity from {{grid_surface}} group by 1, 2, 3""")
+def _(t):
+    base, surface = stage_path(t.spark, uuid.uuid4().hex), t("grid_surface")
+    for part in (surface.filter("year < 2000"), surface.filter("year >= 2000")):
+        N.store_months(N.month_states(part, VARS, ("x", "y"), "t"), base, "surface")
+    return N.merged_climatology(N.stored_months(t.spark, base, "surface"), VARS, S.season_of_month)
+
+
 @query("climatology_difference_J11", "season:s lon_bin:d lat_bin:d diff_temperature:d diff_salinity:d", f"""
 select m.season, m.lon_bin, m.lat_bin, m.temperature - o.temperature as diff_temperature, m.salinity - o.salinity as diff_salinity
 from ({clim_sql(MODEL_BINS)}) m join ({clim_sql(OBS_BINS)}) o on m.season = o.season and m.lon_bin = o.lon_bin and m.lat_bin = o.lat_bin""")
