@@ -97,6 +97,17 @@ def _(t):
     return C.drop_audit(matchup(t), 30.0, 432_000)
 
 
+@query("observed_audit_A39", "n_all:long n_too_far:long n_too_late:long n_kept:long n_rows:long", f"""
+select count(*) as n_all, count(*) filter (interp_dist_km > 30) as n_too_far, count(*) filter (interp_dist_km <= 30 and abs(interp_lag_s) > 432000) as n_too_late,
+       count(*) filter (interp_dist_km <= 30 and abs(interp_lag_s) <= 432000) as n_kept, count(*) filter (interp_dist_km <= 30 and abs(interp_lag_s) <= 432000) as n_rows from ({MATCH_SQL})""")
+def _(t):
+    near = G.nearest_cell(t("profile_header"), t("grid_cell"), RADIUS)
+    timed = T.nearest_time(near, t("grid_field").select("t").distinct())
+    kept, audit = C.observe_audit(timed.filter(F.abs(F.col("interp_lag_s")) <= LAG), 30.0, 432_000)
+    kept = cut_lineage(kept)  # the write that a chain makes anyway; its counts come along
+    return kept.agg(F.count(F.lit(1)).alias("n_rows")).withColumns({name: F.lit(n) for name, n in audit.get.items()})
+
+
 @query("radius_neighbourhood_J07", "lon:d lat:d x:int y:int land:b dist_km:d", f"""
 select p.lon, p.lat, c.x, c.y, c.bottom_level = 0 as land, {HAVERSINE} as dist_km from (select distinct lon, lat from {{profile_header}}) p
 join {{grid_cell}} c on abs(p.lat - c.lat) < 0.6 where {HAVERSINE} <= {RADIUS}""")

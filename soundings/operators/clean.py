@@ -1,7 +1,7 @@
 """Filters, masks and projections."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from soundings.functions.scalars import DOMAIN_LAT, DOMAIN_LON, season
 
@@ -85,6 +85,19 @@ def drop_audit(matchup: DataFrame, max_km: float = 5.0, max_seconds: int = 43_20
     )
 
 
+def observe_audit(matchup: DataFrame, max_km: float = 5.0, max_seconds: int = 43_200) -> tuple[DataFrame, Observation]:
+    """The matchups that pass both filters, and ``drop_audit``'s counts, taken while they are computed.
+
+    The observation has them (n_all, n_too_far, n_too_late, n_kept) once the result has been written or
+    collected; no pass of its own is made.
+    """
+    audit = Observation()
+    far, late = F.col("interp_dist_km") > max_km, F.abs(F.col("interp_lag_s")) > max_seconds
+    seen = matchup.observe(audit, F.count(F.lit(1)).alias("n_all"), F.count_if(far).alias("n_too_far"),
+                           F.count_if(~far & late).alias("n_too_late"), F.count_if(~far & ~late).alias("n_kept"))
+    return seen.filter(~far & ~late), audit
+
+
 def with_season(df: DataFrame, time="time") -> DataFrame:
     return df.withColumn("season", season(time))
 

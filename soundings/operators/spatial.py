@@ -87,54 +87,105 @@ def neighbourhood(points: DataFrame, cells: DataFrame, radius_km: float, salts:
 
 # ---- regions ----------------------------------------------------------------------------
 
-def polygon_edges(polygons: DataFrame) -> DataFrame:
-    """Closed polygons (region, seq, lon, lat) to edges, the last joined to the first."""
+def polygon_edges(polygons: DataFrame, horizontal: bool = False) -> DataFrame:
+    """Closed polygons (region, seq, lon, lat) to edges, the last joined to the first; horizontal ones, which no parity counts, on demand."""
     w = Window.partitionBy("region").orderBy("seq")
     first = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start = F.first(F.struct("lon", "lat")).over(first)
     following = F.coalesce(F.lead(F.struct("lon", "lat")).over(w), start)
-    return (
+    edges = (
         polygons.withColumn("_to", following)
         .select("region", F.col("lon").alias("lon1"), F.col("lat").alias("lat1"),
                 F.col("_to.lon").alias("lon2"), F.col("_to.lat").alias("lat2"))
-        .filter(F.col("lat1") != F.col("lat2"))
     )
+    return edges if horizontal else edges.filter(F.col("lat1") != F.col("lat2"))
 
 
-def region_cells(cells: DataFrame, polygons: DataFrame, limits: DataFrame | None = None,
-                 whole_domain: str | None = None, band_degrees: float = 0.25, salts: int = 8) -> DataFrame:
-    """(region, x, y) of the cells inside each polygon and its bathymetry limits.
+def _inside_by_parity(points: DataFrame, edges: DataFrame, keys: list[str], band_degrees: float, salts: int) -> DataFrame:
+    """``points`` (region, keys, lon, lat) that lie inside their region.
 
-    Edge-crossing parity: an edge counts when it spans the cell's latitude (lower end
-    included, upper end not) and crosses east of the cell.  Edges and cells meet in
-    latitude bands, so this is an equi-join; a band's cells are dealt to ``salts`` tasks, to
-    which its few edges are copied.
+    Edge-crossing parity: an edge counts when it spans the point's latitude (lower end
+    included, upper end not) and crosses east of the point.  Edges and points meet in latitude bands,
+    so this is an equi-join; a band's points are dealt to ``salts`` tasks, to which its edges are copied.
     """
     band = lambda c: F.floor(F.col(c) / band_degrees).cast("long")
-    edges = (
-        polygon_edges(polygons)
-        .withColumn("_lo", F.least("lat1", "lat2")).withColumn("_hi", F.greatest("lat1", "lat2"))
+    spans = (
+        edges.withColumn("_lo", F.least("lat1", "lat2")).withColumn("_hi", F.greatest("lat1", "lat2"))
         .withColumn("_band", F.explode(F.sequence(band("_lo"), band("_hi"))))
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
-    here = cells.select("x", "y", "lon", "lat", "bathymetry").withColumn("_band", band("lat")).withColumn(
-        "_salt", F.pmod(F.hash("x", "y"), F.lit(salts)))
+    here = points.select("region", *keys, "lon", "lat").withColumn("_band", band("lat")).withColumn(
+        "_salt", F.pmod(F.hash(*keys), F.lit(salts)))
     crossing = F.col("lon1") + (F.col("lat") - F.col("lat1")) * F.try_divide(
         F.col("lon2") - F.col("lon1"), F.col("lat2") - F.col("lat1")
     )
-    inside = (
-        here.join(edges, ["_band", "_salt"])
+    return (
+        here.join(spans, ["region", "_band", "_salt"])
         .filter((F.col("lat") >= F.col("_lo")) & (F.col("lat") < F.col("_hi")) & (F.col("lon") < crossing))
-        .groupBy("region", "x", "y")
-        .agg(F.count(F.lit(1)).alias("_crossings"), F.max("bathymetry").alias("bathymetry"))
-        .filter(F.col("_crossings") % 2 == 1)
+        .groupBy("region", *keys).agg(F.count(F.lit(1)).alias("_crossings"))
+        .filter(F.col("_crossings") % 2 == 1).select("region", *keys)
     )
+
+
+#: A cover's largest boxes are this many times halved to its smallest.
+COVER_LEVELS = 8
+
+
+def polygon_cover(polygons: DataFrame, leaf_degrees: float = 0.25, salts: int = 8) -> tuple[DataFrame, DataFrame]:
+    """A quadtree cover of each polygon: boxes wholly inside, and the smallest boxes that its edge touches.
+
+    Both have (region, _level, _bx, _by); a box of level k is ``leaf_degrees * 2**k`` wide.  Boxes in
+    neither are wholly outside.  The smallest boxes along each edge are listed, row by row; all
+    their ancestors are on the edge, too, and a child of such an ancestor that is not has one side throughout,
+    which the parity of its centre tells.  So the number of boxes follows the length of the edge, not the area.
+    """
+    w, margin = leaf_degrees, leaf_degrees * 1e-6
+    box = lambda c: F.floor(c / w).cast("long")
+    edges = cut_lineage(polygon_edges(polygons, horizontal=True))
+    low, high = F.least("lat1", "lat2"), F.greatest("lat1", "lat2")
+    rows = edges.withColumn("_by", F.explode(F.sequence(box(low - margin), box(high + margin))))
+    lon_at = lambda lat: F.coalesce(F.col("lon1") + (lat - F.col("lat1")) * F.try_divide(
+        F.col("lon2") - F.col("lon1"), F.col("lat2") - F.col("lat1")), F.col("lon1"))
+    at = [lon_at(F.least(F.greatest(F.col("_by") * w - margin, low), high)), lon_at(F.least(F.greatest((F.col("_by") + 1) * w + margin, low), high))]
+    ends = [F.when(F.col("lat1") == F.col("lat2"), side).otherwise(f(*at)) for f, side in ((F.least, F.least("lon1", "lon2")), (F.greatest, F.greatest("lon1", "lon2")))]
+    leaves = rows.withColumn("_bx", F.explode(F.sequence(box(ends[0] - margin), box(ends[1] + margin)))).select("region", "_bx", "_by").distinct()
+    levels = F.explode(F.sequence(F.lit(0), F.lit(COVER_LEVELS)))
+    on_edge = cut_lineage(leaves.withColumn("_level", levels).select(
+        "region", "_level", F.expr("shiftright(_bx, _level)").alias("_bx"), F.expr("shiftright(_by, _level)").alias("_by")).distinct())
+    child = lambda axis: F.explode(F.array(F.col(axis) * 2, F.col(axis) * 2 + 1))
+    clean = on_edge.filter("_level > 0").select("region", (F.col("_level") - 1).alias("_level"), child("_bx").alias("_bx"), "_by").withColumn(
+        "_by", child("_by")).join(on_edge, ["region", "_level", "_bx", "_by"], "left_anti")
+    width = F.lit(w) * F.pow(F.lit(2.0), F.col("_level"))
+    centres = clean.withColumn("lon", (F.col("_bx") + 0.5) * width).withColumn("lat", (F.col("_by") + 0.5) * width)
+    inside = _inside_by_parity(centres, edges.filter("lat1 <> lat2"), ["_level", "_bx", "_by"], w, salts)
+    return cut_lineage(inside), on_edge.filter("_level = 0")
+
+
+def region_cells(cells: DataFrame, polygons: DataFrame, limits: DataFrame | None = None,
+                 whole_domain: str | None = None, leaf_degrees: float = 0.25, salts: int = 8) -> DataFrame:
+    """(region, x, y) of the cells inside each polygon and its bathymetry limits.
+
+    Cells in boxes wholly inside a polygon belong to it, those in boxes wholly outside do not; only cells in the smallest
+    boxes along its edge meet edges, by crossing parity (see ``_inside_by_parity``).  The boxes
+    are matched by key, and those of a level are copied to ``salts`` tasks to which its cells are dealt.
+    """
+    inside, on_edge = polygon_cover(polygons, leaf_degrees, salts)
+    edges = polygon_edges(polygons)
+    leaf = lambda c: F.floor(F.col(c) / leaf_degrees).cast("long")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    here = cells.select("x", "y", "lon", "lat", "bathymetry").withColumn("_salt", F.pmod(F.hash("x", "y"), F.lit(salts)))
+    placed = here.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(COVER_LEVELS)))).withColumns({"_bx": leaf("lon"), "_by": leaf("lat")})
+    placed = placed.withColumns({axis: F.expr(f"shiftright({axis}, _level)") for axis in ("_bx", "_by")})
+    by = ["_level", "_bx", "_by", "_salt"]
+    sure = placed.join(inside.withColumn("_salt", copies), by).select("region", "x", "y", "bathymetry")
+    near = placed.filter("_level = 0").join(on_edge.withColumn("_salt", copies), by).select("region", "x", "y", "lon", "lat", "bathymetry")
+    found = sure.unionByName(_inside_by_parity(near, edges, ["x", "y", "bathymetry"], leaf_degrees, salts))
     if limits is not None:
-        inside = inside.join(limits, "region", "left").filter(
+        found = found.join(limits, "region", "left").filter(
             (F.col("min_depth").isNull() | (F.col("bathymetry") >= F.col("min_depth")))
             & (F.col("max_depth").isNull() | (F.col("bathymetry") < F.col("max_depth")))
         )
-    out = inside.select("region", "x", "y")
+    out = found.select("region", "x", "y")
     if whole_domain is not None:
         out = out.unionByName(cells.select(F.lit(whole_domain).alias("region"), "x", "y"))
     return out
@@ -148,45 +199,86 @@ def region_membership(matched: DataFrame, members: DataFrame) -> DataFrame:
 # ---- stations of two runs ---------------------------------------------------------------
 
 def match_stations(left: DataFrame, right: DataFrame, key="port",
-                   widths: tuple[float, ...] = (0.03125, 0.5, 4.0, 32.0, 256.0), salts: int = 16) -> DataFrame:
+                   widths: tuple[float, ...] = (0.03125, 0.5, 4.0), salts: int = 16) -> DataFrame:
     """For each left station the right one nearest in squared degrees (tie: smallest key).
 
     Square boxes of growing width: whatever is found closer than one box width is
     certainly the nearest, and only places still open go on to the next width, so crowded
-    areas are settled in small boxes.  The last width spans the globe, so every station
-    ends with a partner; it serves only places without any station within the width before, and
-    those are dealt to ``salts`` tasks.  Stations sharing a place are searched for, and found, once.
+    areas are settled in small boxes.  Places without any station within the last width descend a
+    pyramid of occupied boxes instead (``_nearest_by_descent``), so no width pairs all with all, and every
+    station ends with a partner.  Stations sharing a place are searched for, and found, once.
     """
-    places = right.groupBy(F.col("lon").alias("_rlon"), F.col("lat").alias("_rlat")).agg(F.min(key).alias("right_key"))
+    places = cut_lineage(right.groupBy(F.col("lon").alias("_rlon"), F.col("lat").alias("_rlat")).agg(F.min(key).alias("right_key")).dropna())
     todo = left.select(F.col("lon").alias("_lon"), F.col("lat").alias("_lat")).dropna().distinct()
     done = None
-    for i, width in enumerate(widths):
+    for width in widths:
         box = lambda c, w=width: F.floor(F.col(c) / w).cast("long")
         ring = (
             places.withColumn("_bx", F.explode(F.array(*[box("_rlon") + d for d in (-1, 0, 1)])))
             .withColumn("_by", F.explode(F.array(*[box("_rlat") + d for d in (-1, 0, 1)])))
         )
-        last, by = i == len(widths) - 1, ["_bx", "_by"]
         open_ = todo.withColumn("_bx", box("_lon")).withColumn("_by", box("_lat"))
-        if last:
-            by = [*by, "_salt"]
-            ring = ring.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-            open_ = open_.withColumn("_salt", F.pmod(F.hash("_lon", "_lat"), F.lit(salts)))
-        square = lambda a, b: (F.col(a) - F.col(b)) * (F.col(a) - F.col(b))
-        near = (
-            open_.join(ring, by)
-            .withColumn("distance_sq", square("_rlon", "_lon") + square("_rlat", "_lat"))
-            .groupBy("_lon", "_lat").agg(F.min(F.struct("distance_sq", "right_key")).alias("_best"))
-            .select("_lon", "_lat", "_best.right_key", "_best.distance_sq")
-        )
-        if not last:
-            near = cut_lineage(near.filter(F.col("distance_sq") <= width * width))
-            todo = todo.join(near, ["_lon", "_lat"], "left_anti")
+        near = _nearest_of(open_.join(ring, ["_bx", "_by"]))
+        near = cut_lineage(near.filter(F.col("distance_sq") <= width * width))
+        todo = cut_lineage(todo.join(near, ["_lon", "_lat"], "left_anti"))
         done = near if done is None else done.unionByName(near)
+    if not todo.isEmpty():
+        done = done.unionByName(_nearest_by_descent(todo, places, salts))
     stations = left.select(F.col(key).alias("left_key"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
     return stations.join(done, ["_lon", "_lat"]).select("left_key", "right_key", "distance_sq")
 
 
+def _nearest_of(pairs: DataFrame) -> DataFrame:
+    square = lambda a, b: (F.col(a) - F.col(b)) * (F.col(a) - F.col(b))
+    return (
+        pairs.withColumn("distance_sq", square("_rlon", "_lon") + square("_rlat", "_lat"))
+        .groupBy("_lon", "_lat").agg(F.min(F.struct("distance_sq", "right_key")).alias("_best"))
+        .select("_lon", "_lat", "_best.right_key", "_best.distance_sq")
+    )
+
+
+#: Widths of the pyramid's boxes, each a quarter of the one before.
+PYRAMID = tuple(512.0 / 4 ** k for k in range(11))
+#: Boxes with no more places are not divided further.
+FEW = 32
+
+
+def _nearest_by_descent(todo: DataFrame, places: DataFrame, salts: int) -> DataFrame:
+    """(_lon, _lat, right_key, distance_sq) by descent through boxes that hold places.
+
+    From the largest boxes down, each open place keeps the boxes that may hold its nearest: those no
+    farther, at their nearest point, than the farthest point of some other box.  That leaves a few boxes
+    at every width, wherever the places lie.  The descent ends when all boxes left hold few places.
+    """
+    occupied = cut_lineage(places.withColumn("_width", F.explode(F.array(*[F.lit(w) for w in PYRAMID]))).groupBy(
+        "_width", F.floor(F.col("_rlon") / F.col("_width")).cast("long").alias("_bx"), F.floor(F.col("_rlat") / F.col("_width")).cast("long").alias("_by")
+    ).agg(F.count(F.lit(1)).alias("_n")))
+    salt = F.pmod(F.hash("_lon", "_lat"), F.lit(salts)).alias("_salt")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
+    roots = F.explode(F.array(F.lit(-1).cast("long"), F.lit(0).cast("long")))
+    state = todo.select("_lon", "_lat", salt, roots.alias("_bx")).withColumn("_by", roots)
+    for k, width in enumerate(PYRAMID):
+        if k:
+            quarter = lambda axis: F.explode(F.array(*[F.col(axis) * 4 + d for d in range(4)]))
+            state = state.select("_lon", "_lat", "_salt", quarter("_bx").alias("_bx"), "_by").withColumn("_by", quarter("_by"))
+        boxes = occupied.filter(F.col("_width") == width).select("_bx", "_by", "_n", copies)
+        nearest, farthest = F.lit(0.0), F.lit(0.0)
+        for place, axis in (("_lon", "_bx"), ("_lat", "_by")):
+            low, high = F.col(axis) * width, (F.col(axis) + 1) * width
+            nearest = nearest + F.pow(F.greatest(low - F.col(place), F.col(place) - high, F.lit(0.0)), F.lit(2.0))
+            farthest = farthest + F.pow(F.greatest(F.abs(low - F.col(place)), F.abs(high - F.col(place))), F.lit(2.0))
+        met = state.join(boxes, ["_bx", "_by", "_salt"]).withColumns({"_near": nearest, "_far": farthest})
+        # at most sixteen children of a few boxes come together here
+        kept = met.groupBy("_lon", "_lat", "_salt").agg(F.min("_far").alias("_bound"), F.collect_list(F.struct("_bx", "_by", "_n", "_near")).alias("_boxes"))
+        kept = kept.select("_lon", "_lat", "_salt", F.inline(F.filter("_boxes", lambda b: b["_near"] <= F.col("_bound") * (1 + 1e-9))))
+        state = cut_lineage(kept.select("_lon", "_lat", "_salt", "_bx", "_by", "_n"))
+        if width == PYRAMID[-1] or (state.agg(F.max("_n")).first()[0] or 0) <= FEW:
+            break
+        state = state.drop("_n")
+    inside = places.select("*", F.floor(F.col("_rlon") / width).cast("long").alias("_bx"), F.floor(F.col("_rlat") / width).cast("long").alias("_by"), copies)
+    return _nearest_of(state.drop("_n").join(inside, ["_bx", "_by", "_salt"]))
+
+
 def unique_stations(stations: DataFrame, key="port") -> DataFrame:
     """Distinct coordinates with the first station there and how many share them."""
     return stations.groupBy("lon", "lat").agg(F.min(key).alias("first_" + key), F.count(F.lit(1)).alias("n"))
