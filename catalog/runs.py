@@ -77,9 +77,37 @@ def cdf() -> list[float]:
 
 
 POISSON = " + ".join(f"case when u >= {c!r}::double then 1 else 0 end" for c in cdf())
-DRAWN = f"""select region, season, profile_id, rep, {POISSON} as weight from
-(select region, season, profile_id, rep, cast(('0x' || substr(md5('{SEED}|' || profile_id || '|' || rep), 1, 8))::bigint as double) / 4294967296.0E0 as u from
- (select distinct region, season, profile_id from ({ALIGNED})) cross join (select unnest(range(0, {N_BOOT})) as rep))"""
+
+
+def mixed(x: str) -> list[str]:
+    """Steps that mix a 32-bit word in column ``x`` (a UBIGINT), each from the one before."""
+    return [f"(xor({x}, {x} >> 16) * 2246822507) & 4294967295", f"(xor({x}, {x} >> 13) * 3266489909) & 4294967295", f"xor({x}, {x} >> 16)"]
+
+
+def through(source: str, column: str, *steps: str) -> str:
+    """``source`` with ``column`` taken through steps that are written over it."""
+    for step in steps:
+        source = f"select * replace (cast({step} as ubigint) as {column}) from ({source})"
+    return source
+
+
+def words_sql(source: str) -> str:
+    """``source`` (with profile_id) and its words a and b; ids are whole numbers below 2**32."""
+    first = f"select *, cast(xor(cast(profile_id as ubigint), {SEED}) as ubigint) as a, cast(profile_id as ubigint) as b from ({source})"
+    return through(through(first, "a", *mixed("a")), "b", *mixed("b"))
+
+
+def uniform_sql(source: str, rep: bool) -> str:
+    """``source`` with the words a and b (and rep) and the number u."""
+    turned = through(source, "b", "xor(b, ((rep + 1) * 2654435769) & 4294967295)") if rep else source
+    turned = through(turned, "b", *mixed("b"))
+    turned = through(turned, "a", "xor(a, b)", *mixed("a"))
+    return f"select *, cast(a as double) / 4294967296.0E0 as u from ({turned})"
+
+
+PROFILES = f"select distinct region, season, profile_id from ({ALIGNED})"
+REPS = f"(select unnest(range(0, {N_BOOT})) as rep)"
+DRAWN = f"select region, season, profile_id, rep, {POISSON} as weight from ({uniform_sql(f'select * from ({words_sql(PROFILES)}) cross join {REPS}', True)})"
 MULTI = f"""select a.region, a.season, a.rep, a.angle, d.weight from
 (select p.*, q.rep from ({ANGLES}) p cross join (select unnest(range(0, {N_BOOT})) as rep) q where angle is not null) a
 join ({DRAWN}) d on d.region = a.region and d.season = a.season and d.profile_id = a.profile_id and d.rep = a.rep where d.weight > 0"""
@@ -113,16 +141,12 @@ def _(t):
     return B.bootstrap_median(a, "angle", w)
 
 
-def md5_uniform(*columns: str) -> str:
-    text = " || '|' || ".join([f"'{SEED}'", *columns])
-    return f"cast(('0x' || substr(md5({text}), 1, 8))::bigint as double) / 4294967296.0E0"
-
-
 @query("bootstrap_multinomial_A31", "region:s season:s rep:int draws:long profiles:long checksum:long", f"""
-with numbered as (select region, season, profile_id, count(*) over (partition by region, season) as n,
- row_number() over (partition by region, season order by cast(floor({md5_uniform('profile_id')} * 256) as int), profile_id) - 1 as k
- from (select distinct region, season, profile_id from ({ALIGNED}))),
-draws as (select region, season, rep, cast(floor({md5_uniform('profile_id', 'rep')} * n) as bigint) as k from numbered cross join (select unnest(range(0, {N_BOOT})) as rep))
+with worded as ({words_sql(PROFILES)}),
+numbered as (select w.region, w.season, w.profile_id, w.a, w.b, count(*) over (partition by w.region, w.season) as n,
+ row_number() over (partition by w.region, w.season order by cast(floor(u.u * 256) as int), w.profile_id) - 1 as k
+ from worded w join ({uniform_sql('select * from worded', False)}) u on u.region = w.region and u.season = w.season and u.profile_id = w.profile_id),
+draws as (select region, season, rep, cast(floor(u * n) as bigint) as k from ({uniform_sql(f'select * from numbered cross join {REPS}', True)}))
 select d.region, d.season, d.rep, count(*) as draws, count(distinct p.profile_id) as profiles, sum(p.profile_id) as checksum
 from draws d join numbered p on p.region = d.region and p.season = d.season and p.k = d.k group by d.region, d.season, d.rep""")
 def _(t):

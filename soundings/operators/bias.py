@@ -1,7 +1,6 @@
 """Two runs against the same observations: alignment, bias angle, histograms, bootstrap."""
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
@@ -70,10 +69,50 @@ def histogram_2d(df: DataFrame, first: str, second: str, keys, high: float = 5.0
 
 # ---- bootstrap of profiles ----------------------------------------------------------------
 
-def uniform(seed: int, *columns) -> Column:
-    """A reproducible number in [0, 1) from the seed and the columns."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns])
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+# Draws come from a mixed 32-bit word of the seed, the profile and the replicate: multiply, shift
+# and xor, which columns, arrays and any SQL engine can repeat.  Fixed values: a mixer's multipliers.
+MASK, GOLDEN, FIRST, SECOND = 0xFFFFFFFF, 0x9E3779B9, 0x85EBCA6B, 0xC2B2AE35
+
+
+def _named(x: Column, step) -> Column:
+    """``step`` of a value that it uses more than once, so that the expression of the value is written once."""
+    return F.get(F.transform(F.array(x), step), F.lit(0))
+
+
+def _times(x: Column, factor: int) -> Column:
+    """Product modulo 2**32, in parts that fit a BIGINT."""
+    return _named(x, lambda v: (v.bitwiseAND(0xFFFF) * factor + (F.shiftrightunsigned(v, 16) * factor).bitwiseAND(0xFFFF) * 65536).bitwiseAND(MASK))
+
+
+def _mixed(x: Column) -> Column:
+    x = _times(_named(x, lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, 16))), FIRST)
+    x = _times(_named(x, lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, 13))), SECOND)
+    return _named(x, lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, 16)))
+
+
+def _mixed_words(x: np.ndarray) -> np.ndarray:
+    """As ``_mixed``, on 32-bit words."""
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(FIRST)
+    x = (x ^ (x >> np.uint32(13))) * np.uint32(SECOND)
+    return x ^ (x >> np.uint32(16))
+
+
+def _whole(key: Column, kind: str) -> Column:
+    """A key as a whole number: an integer is itself, another one its hash; NULL is 0."""
+    return F.coalesce(key.cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(key), F.lit(0).cast("long"))
+
+
+def key_words(seed: int, whole: Column) -> tuple[Column, Column]:
+    """Two 32-bit words of the seed and a whole number."""
+    low, high = whole.bitwiseAND(MASK), F.shiftrightunsigned(whole, 32)
+    return _mixed(low.bitwiseXOR(seed & MASK)), _mixed(_times(high.bitwiseXOR((seed >> 32) & MASK), GOLDEN).bitwiseXOR(low))
+
+
+def uniform(words: tuple[Column, Column], rep: Column | None = None) -> Column:
+    """A reproducible number in [0, 1) from the words of a key, and of a replicate."""
+    a, b = words
+    x = b if rep is None else b.bitwiseXOR(_times(rep.cast("long") + 1, GOLDEN))
+    return _mixed(a.bitwiseXOR(_mixed(x))).cast("double") / F.lit(4294967296.0)
 
 
 def _poisson_steps(terms: int) -> list[float]:
@@ -98,26 +137,26 @@ def poisson_weight(u: Column, terms: int = 12) -> Column:
 UNIT = 2048
 
 
-def poisson_weights(texts, n_boot: int, terms: int = 12) -> np.ndarray:
-    """As ``poisson_weight(uniform(...))``: a row for each text (seed and key), a column for each replicate."""
-    tails = [b"|%d" % rep for rep in range(n_boot)]
-    out = np.empty((len(texts), n_boot), np.uint8)
-    steps = _poisson_steps(terms)
-    for i, text in enumerate(texts):
-        head = text.encode()
-        digests = b"".join([hashlib.md5(head + tail).digest()[:4] for tail in tails])
-        out[i] = np.searchsorted(steps, np.frombuffer(digests, ">u4") / 4294967296.0, side="right")
+def poisson_weights(words: np.ndarray, n_boot: int, terms: int = 12) -> np.ndarray:
+    """As ``poisson_weight(uniform(...))``: a row for each pair of words, a column for each replicate."""
+    reps = (np.arange(1, n_boot + 1, dtype=np.uint32) * np.uint32(GOLDEN))[None, :]
+    a, b = (words[:, k].astype(np.uint32)[:, None] for k in (0, 1))
+    drawn = _mixed_words(a ^ _mixed_words(b ^ reps))
+    out = np.zeros(drawn.shape, np.uint8)
+    for step in _poisson_steps(terms):
+        out += drawn >= np.uint32(min(math.ceil(step * 4294967296.0), MASK))
     return out
 
 
 def _products(keys: list[str], n_boot: int):
     def multiply(key, cells):
         """Cells of a unit's profiles (profiles by cells) times their weights (replicates by profiles)."""
-        profiles, row = np.unique(cells["_text"].to_numpy(), return_inverse=True)
+        _, first, row = np.unique(cells["_id"].to_numpy(), return_index=True, return_inverse=True)
+        words = cells[["_a", "_b"]].to_numpy()[first]
         names, column = np.unique(cells["_cell"].to_numpy(), return_inverse=True)
-        matrix = np.zeros((len(profiles), len(names)))
+        matrix = np.zeros((len(words), len(names)))
         np.add.at(matrix, (row, column), cells["_x"].to_numpy())
-        sums = poisson_weights(profiles.tolist(), n_boot).T.astype(np.float64) @ matrix
+        sums = poisson_weights(words, n_boot).T.astype(np.float64) @ matrix
         rep, at = np.nonzero(sums)
         held = {k: [v] * len(rep) for k, v in zip(keys, key)}
         return pd.DataFrame({**held, "rep": rep.astype(np.int32), "_cell": names[at], "_w": sums[rep, at]})
@@ -136,7 +175,8 @@ class PoissonDraws:
 
     def weigh(self, df: DataFrame) -> DataFrame:
         """Rows holding ``rep`` with their ``weight``; rows not drawn go."""
-        return df.withColumn("_u", uniform(self.seed, self.key, "rep")).withColumn(
+        words = key_words(self.seed, _whole(F.col(self.key), df.schema[self.key].dataType.simpleString()))
+        return df.withColumn("_u", uniform(words, F.col("rep"))).withColumn(
             "weight", poisson_weight(F.col("_u"))).drop("_u").filter("weight > 0")
 
     def spread(self, df: DataFrame) -> DataFrame:
@@ -151,12 +191,13 @@ class PoissonDraws:
         """
         keys = list(keys)
         types = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
-        sizes = cells.groupBy(*keys).agg(F.ceil(F.count_distinct(F.coalesce(F.col(self.key).cast("string"), F.lit(""))) / unit).alias("_units"))
+        whole = _whole(F.col(self.key), types[self.key])
+        sizes = cells.groupBy(*keys).agg(F.ceil(F.count_distinct(whole) / unit).alias("_units"))
         sizes = sizes.select("_units", *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
         same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        a, b = key_words(self.seed, whole)
         dealt = cells.join(sizes, same).select(
-            *keys, F.pmod(F.xxhash64(self.key), "_units").alias("_unit"),
-            F.concat_ws("|", F.lit(str(self.seed)), F.col(self.key).cast("string")).alias("_text"),
+            *keys, F.pmod(F.xxhash64(self.key), "_units").alias("_unit"), whole.alias("_id"), a.alias("_a"), b.alias("_b"),
             F.col("_cell").cast("int").alias("_cell"), F.col("_x").cast("double").alias("_x"))
         schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", rep int, _cell int, _w double"
         # Few bytes, much arithmetic: a fixed number of tasks, which are not merged by size.
@@ -176,7 +217,8 @@ class MultinomialDraws:
     def __init__(self, profiles: DataFrame, n_boot: int, seed: int, keys, key: str = "profile_id", slots: int = 256):
         self.n_boot, self.keys, self.key = n_boot, list(keys), key
         keys = self.keys
-        rows = profiles.select(*keys, key).distinct().withColumn("_slot", F.floor(uniform(seed, key) * slots).cast("int"))
+        words = key_words(seed, _whole(F.col(key), profiles.schema[key].dataType.simpleString()))
+        rows = profiles.select(*keys, key).distinct().withColumn("_slot", F.floor(uniform(words) * slots).cast("int"))
         w = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         sizes = rows.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_c"))
         starts = sizes.select(*keys, "_slot", (F.sum("_c").over(w) - F.col("_c")).alias("_start"),
@@ -187,7 +229,7 @@ class MultinomialDraws:
             .select(*keys, key, (F.col("_start") + F.col("_at")).alias("_number"), "_n"))
         draws = (
             numbered.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-            .withColumn("_number", F.floor(uniform(seed, key, "rep") * F.col("_n")).cast("long"))
+            .withColumn("_number", F.floor(uniform(words, F.col("rep")) * F.col("_n")).cast("long"))
             .groupBy(*keys, "rep", "_number").agg(F.count(F.lit(1)).cast("int").alias("weight"))
         )
         self.table = cut_lineage(draws.join(numbered.drop("_n"), [*keys, "_number"]).select(*keys, key, "rep", "weight"))
