@@ -6,8 +6,9 @@ looked up.  A hit is verified by comparing the word numbers themselves, so a has
 decides alone.
 
 The hash set goes to all tasks only if the items are within ``BROADCAST_WINDOWS`` windows, which
-is counted first.  A larger benchmark is dealt into parts of that size, and the documents
-pass the parts one after another; hits of all parts are united per document.
+is counted first.  A larger benchmark is dealt into parts of about that size (long items in overlapping
+pieces), and the documents pass the parts one after another; hits of all parts are united per
+row, by a row number of its own.  Both ways give the same results.
 """
 from __future__ import annotations
 
@@ -37,9 +38,9 @@ def bench_words(text: bytes) -> list[bytes]:
 class Windows:
     """Windows of the items by length: sorted hashes, with the places they come from."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         self.window, self.vocabulary = window, {}
-        places: dict[str, int] = {}  # rows that repeat an item_id are one item
+        places: dict[str | None, int] = {}  # rows that repeat an item_id, NULL included, are one item
         found: dict[int, dict[bytes, set[int]]] = {}
         for item_id, text in items:
             words = bench_words((text or "").encode())
@@ -90,6 +91,11 @@ class _Zeros:
 _ZEROS = _Zeros()
 
 
+def items_digest(found) -> str:
+    """Of item ids as strings, sorted and joined by commas; a NULL id is written "None", yet is an item apart from one of that name."""
+    return hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
+
+
 def _scan(windows, whole: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = windows.value
@@ -98,10 +104,9 @@ def _scan(windows, whole: bool):
             for doc_id, text in zip(ids, texts):
                 words = bench_words(text)
                 hit, items = table.scan(words)
-                found = sorted(str(table.items[k]) for k in items)
+                found = [table.items[k] for k in items]
                 if whole:
-                    rows.append((doc_id, len(words), int(hit.sum()), len(items),
-                                 hashlib.sha256(",".join(found).encode()).hexdigest(), bool(hit.any())))
+                    rows.append((doc_id, len(words), int(hit.sum()), len(items), items_digest(found), bool(hit.any())))
                 else:
                     rows.append((doc_id, len(words), np.packbits(hit).tobytes() if hit.any() else None, found))
             names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"] if whole else ["doc_id", "n_words", "hits", "items"]
@@ -114,10 +119,10 @@ def _unite(parts):
     import pandas as pd
 
     bits = [np.frombuffer(h, np.uint8) for h in parts["hits"] if h is not None]
-    items = sorted({i for found in parts["items"] for i in found})
+    items = {i for found in parts["items"] for i in found}
     return pd.DataFrame({
         "_row": parts["_row"][:1], "n_hit": [int(np.unpackbits(np.bitwise_or.reduce(bits)).sum()) if bits else 0],
-        "n_items": [len(items)], "items_sha256": [hashlib.sha256(",".join(items).encode()).hexdigest()]})
+        "n_items": [len(items)], "items_sha256": [items_digest(items)]})
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
@@ -130,36 +135,59 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     nothing is hit.  Rows that repeat a doc_id give a row each.
     """
     sc = docs.sparkSession.sparkContext
-    docs = docs.select("doc_id", "text")
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    # bytes bound words from above: a word and its separator take two
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0)).alias("n")).first()["n"] // 2
+    docs, (items, size) = docs.select("doc_id", "text"), _measured(items)
     if size <= broadcast_words:
         table = sc.broadcast(Windows([(r[0], r[1]) for r in items.collect()], window))
         return docs.mapInArrow(_scan(table, True), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-    return _in_parts(docs, items, window, -(-size // broadcast_words))
+    # written, so that a row has the same number in every pass
+    rows = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
+    counts, hits = _in_parts(rows, items, window, size, broadcast_words)
+    none = F.lit(items_digest([]))
+    return rows.select("_row", "doc_id").join(counts, "_row").join(hits, "_row", "left").select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
+        F.coalesce("items_sha256", none).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
-def _in_parts(docs: DataFrame, items: DataFrame, window: int, parts: int) -> DataFrame:
-    """The same for a benchmark of any size: documents pass over bounded parts of it in turn."""
-    sc = docs.sparkSession.sparkContext
-    # a row number of its own, as ids may repeat; written, so that it is the same in every pass
-    rows = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
-    items = cut_lineage(items.withColumn("_part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))))
+def _measured(items: DataFrame) -> tuple[DataFrame, int]:
+    """Items that have a text, and a bound of their words and ids: a word and its separator take two bytes at least."""
+    items = items.filter("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    size = F.octet_length("text") + 1 + F.coalesce(F.octet_length("item_id"), F.lit(0))
+    return items, items.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"] // 2
+
+
+def _cut(window: int, most: int):
+    """Items of more than ``most`` words in pieces that share ``window`` - 1 words, so that every window is in one."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_runs(batches):
+            out = []
+            for item_id, text in zip(batch.column("item_id").to_pylist(), texts):
+                words = bench_words(text)
+                step = max(1, most - window + 1)
+                starts = range(0, max(1, len(words) - window + 1), step) if len(words) > most else [0]
+                out += [(item_id, b" ".join(words[a:a + step + window - 1] if len(words) > most else words).decode()) for a in starts if words]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string())], ["item_id", "text"])
+    return cut
+
+
+def _in_parts(rows: DataFrame, items: DataFrame, window: int, size: int, broadcast_words: int) -> tuple[DataFrame, DataFrame]:
+    """For a benchmark of any size: (_row, n_words) of all rows, and (_row, n_hit, n_items, items_sha256) of those hit.
+
+    ``rows`` (_row, text) pass over bounded parts of the benchmark in turn, so the corpus is read once for each.
+    """
+    sc, parts = rows.sparkSession.sparkContext, -(-2 * size // broadcast_words)
+    pieces = items.mapInArrow(_cut(window, max(window, broadcast_words // 8)), "item_id string, text string").distinct()
+    pieces = cut_lineage(pieces.withColumn("_part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))))
     found = None
     for k in range(parts):
-        table = sc.broadcast(Windows([(r[0], r[1]) for r in items.filter(F.col("_part") == k).select("item_id", "text").collect()], window))
+        table = sc.broadcast(Windows([(r[0], r[1]) for r in pieces.filter(F.col("_part") == k).select("item_id", "text").collect()], window))
         part = rows.select(F.col("_row").alias("doc_id"), "text").mapInArrow(
             _scan(table, False), "doc_id long, n_words long, hits binary, items array<string>")
         found = part if found is None else found.unionByName(part)
     found = cut_lineage(found.withColumnRenamed("doc_id", "_row"))
     hits = found.filter("hits is not null").groupBy("_row").applyInPandas(
         _unite, "_row long, n_hit long, n_items long, items_sha256 string")
-    counts = found.groupBy("_row").agg(F.max("n_words").alias("n_words"))
-    none = F.lit(hashlib.sha256(b"").hexdigest())
-    return rows.select("_row", "doc_id").join(counts, "_row").join(hits, "_row", "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
-        F.coalesce("items_sha256", none).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    return found.groupBy("_row").agg(F.max("n_words").alias("n_words")), hits
 
 
 def _clean(windows):
@@ -175,13 +203,14 @@ def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW,
                     broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """The documents in which no window of an item occurs, with the columns of ``docs``.
 
-    For a benchmark beyond the broadcast bound the verdicts are joined by doc_id; a NULL
-    doc_id then follows the verdict of all NULL ids together.
+    Every row is judged by its own text, also where ids are NULL or repeat, and whatever the size of the benchmark.
     """
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0)).alias("n")).first()["n"] // 2
+    items, size = _measured(items)
     if size <= broadcast_words:
         table = docs.sparkSession.sparkContext.broadcast(Windows([(r[0], r[1]) for r in items.collect()], window))
         return docs.mapInArrow(_clean(table), docs.schema)
-    bad = contamination(docs, items, window, broadcast_words).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    # the caller's columns travel in a struct, so that no name can clash with one used here
+    rows = cut_lineage(docs.select(F.struct(*docs.columns).alias("kept"), F.monotonically_increasing_id().alias("_row")))
+    _, hits = _in_parts(rows.select("_row", F.col("kept.text").alias("text")), items, window, size, broadcast_words)
+    clean = rows.join(hits.select("_row"), "_row", "left_anti")
+    return clean.select(*(F.col("kept").getField(c).alias(c) for c in docs.columns))

@@ -146,7 +146,7 @@ def _count(frequent: int):
             mine = at[start:start + len(own) // 8]
             start += len(mine)
             spots = np.flatnonzero(marked[mine])
-            out.append({"kind": "counts", "unit": unit, "first": begin, "a": total[mine].astype(np.uint32).tobytes(),
+            out.append({"kind": "counts", "unit": unit, "first": begin, "a": total[mine].astype(np.uint64).tobytes(),
                         "b": spots.astype(np.uint32).tobytes(), "c": distinct[mine[spots]].tobytes()})
         return _frame(out)
     return count
@@ -191,7 +191,7 @@ def _number(corpus):
         about = rows[rows["kind"] == "unit"].iloc[0]
         counts, symbols = np.zeros(int(about["first"]), np.int64), np.frombuffer(about["b"], np.uint8).astype(np.int64) + own.frequent
         for begin, told, spots, hashes in rows.loc[rows["kind"] == "counts", ["first", "a", "b", "c"]].itertuples(index=False):
-            told = np.frombuffer(told, np.uint32)
+            told = np.frombuffer(told, np.uint64)
             counts[begin:begin + len(told)] = told
             for spot, h in zip(np.frombuffer(spots, np.uint32).tolist(), np.frombuffer(hashes, np.uint64).tolist()):
                 symbol = own.symbols.get(h)

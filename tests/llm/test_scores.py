@@ -39,6 +39,43 @@ def test_contamination(spark, limit):
     assert len(none) == len(ROWS) and not any(r["contaminated"] for r in none)
 
 
+@pytest.mark.parametrize("limit", [10**6, 40])
+def test_rows_are_judged_by_their_own_text_whatever_the_benchmark(spark, limit):
+    """Clean rows that share an id, 7 or NULL, with a contaminated one stay; a NULL item id is not the id "None"."""
+    rows = [(7, "clean words only"), (7, PASSAGE), (None, "another clean text"), (None, PASSAGE), (7, None), (8, prose(6, 30)), (9, "")]
+    items = [(None, PASSAGE), ("None", PASSAGE), ("a", PASSAGE), ("a", PASSAGE), ("b", None), ("c", prose(6, 30))]
+    table = spark.createDataFrame(items * 3, "item_id string, text string")
+    got = decontaminate.contamination(odd_table(spark, rows), table, broadcast_words=limit).collect()
+    assert sorted((str(r.doc_id), r.n_items, r.contaminated) for r in got) == [
+        ("7", 0, False), ("7", 0, False), ("7", 3, True), ("8", 1, True), ("9", 0, False), ("None", 0, False), ("None", 3, True)]
+    both = brute.sha(b"None,None,a")
+    assert {r.items_sha256 for r in got if r.n_items == 3} == {both}
+    clean = decontaminate.clean_documents(odd_table(spark, rows).withColumn("_row", F.lit(1)).withColumn("kept", F.lit("k")), table, broadcast_words=limit).collect()
+    want = [(i, t, 1, "k") for i, t in rows if t not in (PASSAGE, prose(6, 30))]
+    assert sorted(((r.doc_id, r.text, r["_row"], r.kept) for r in clean), key=str) == sorted(want, key=str)
+
+
+def test_long_items_are_cut_without_losing_a_window(spark):
+    item = prose(11, 900)
+    words = item.split(" ")
+    rows = [(k, "x y z " + " ".join(words[k:k + 10]) + " q") for k in range(0, 891, 9)] + [(1000, " ".join(words[5:14])), (1001, item)]
+    items = spark.createDataFrame([("long", item), ("short", "na ti or")], "item_id string, text string")
+    want = brute.contamination(rows, [("long", item), ("short", "na ti or")])
+    assert rows_of(decontaminate.contamination(odd_table(spark, rows), items, broadcast_words=200), *HITS) == sorted(want)
+
+
+def test_counts_beyond_32_bits(spark):
+    """A token that occurs five billion times in the corpus keeps its count."""
+    import pandas as pd
+
+    value, unit = np.array([77], np.uint64), 3
+    rows = pd.DataFrame([{"kind": "counts", "unit": u, "first": 0, "a": value.tobytes(), "b": np.array([2_500_000_000], np.uint32).tobytes(), "c": np.array([1], np.uint8).tobytes()}
+                         for u in (unit, 4)], columns=["kind", "unit", "first", *lm._BLOBS])
+    told = lm._count(8)((0,), rows)
+    counts = told[told["kind"] == "counts"]
+    assert [np.frombuffer(a, np.uint64).tolist() for a in counts["a"]] == [[5_000_000_000]] * 2
+
+
 def test_contamination_of_given_tables(spark):
     docs, items = table(spark, "documents").select("doc_id", "text"), table(spark, "benchmark").select("item_id", "text")
     got = rows_of(decontaminate.contamination(docs, items), *HITS)
