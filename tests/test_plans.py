@@ -2,19 +2,21 @@
 import pytest
 
 from __spark_entry__ import queries
+from catalog.base import QUERIES
 from soundings.operators import spatial, timejoin
 from soundings.operators.clean import lonlat_box, time_window
 
 FOLDER = "/root/testdata/sf0.001"
+queries()  # registers
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_nested_loops(spark, name):
-    text = plan(queries()[name](spark, FOLDER))
+    text = plan(QUERIES[name](spark, FOLDER))
     assert "NestedLoop" not in text and "Cartesian" not in text
 
 
