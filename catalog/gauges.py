@@ -1,12 +1,17 @@
 """Tide gauges: statistics, thresholds, tides, residuals, peaks, skew surges."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog.base import query, season_sql
+from catalog.cleaning import nearest_sql
 from soundings.functions import scalars as S
 from soundings.operators import compare as P, error as E, peaks as K, series as R, slots, threshold as H, tide as A, timejoin as T
 from soundings.plans import gauge_validation
+from soundings.session import stage_path
+from soundings.sources import scan, sink
 
 LEVELS = S.thresholds()
 LEVEL_SQL = "(select k / 10.0E0 as threshold from (select unnest(range(-4, 20)) as k))"
@@ -418,6 +423,44 @@ def _(t):
     return T.transfer_nearest(e.filter("ssh_mod is not null").select("port", "time", "ssh_mod"), e.filter("ssh_obs is not null"), "ssh_mod", ["port"])
 
 
+@query("gauge_extraction_chain", "port:int time:t ssh_obs:d ssh_mod:d", f"""
+with s as (select s.port, n.x, n.y from {{tg_station}} s join ({nearest_sql('tg_station', 60.0)}) n on s.lon = n.lon and s.lat = n.lat
+           where s.lon between (select min(lon) from {{grid_cell}}) and (select max(lon) from {{grid_cell}}) and s.lat between (select min(lat) from {{grid_cell}}) and (select max(lat) from {{grid_cell}})),
+k as (select s.port, g.t as time, g.ssh as v from s join {{grid_ssh}} g on g.x = s.x and g.y = s.y where g.ssh is not null),
+o as (select e.port, e.time, e.ssh_obs from {{tg_daily}} e where e.port in (select port from s) and e.time between (select min(time) from k) and (select max(time) from k)),
+b as (select o.*, p.time as tb, p.v as vb, n.time as ta, n.v as va from o asof left join k p on o.port = p.port and o.time >= p.time asof left join k n on o.port = n.port and o.time <= n.time),
+m as (select port, time, ssh_obs, case when ta = tb then vb else vb + (va - vb) * (cast(epoch_us(time) - epoch_us(tb) as double) / cast(epoch_us(ta) - epoch_us(tb) as double)) end as ssh_mod from b)
+select port, time, case when ssh_mod is not null then ssh_obs end as ssh_obs, case when ssh_obs is not null then ssh_mod end as ssh_mod from m""")
+def _(t):
+    return gauge_validation.gauge_extract(t("tg_daily").withColumnRenamed("ssh_obs", "ssh"), t("tg_station"), t("grid_cell"), t("grid_ssh"), 60.0)
+
+
+@query("gauge_output_chain", "kind:s port:int threshold:d n_obs:long n_mod:long", f"""
+with pairs as (select port, time, ssh_obs - avg(ssh_obs) over (partition by port) as ssh_obs, ssh_mod - avg(ssh_mod) over (partition by port) as ssh_mod
+               from {{tg_dense}} where ssh_obs is not null and ssh_mod is not null qualify count(*) over (partition by port) >= 30),
+long as (select port, 'obs' as source, ssh_obs as y, epoch_us(time) / 3.6E12 - 470.0E0 as s, {M2_BASIS} from pairs
+         union all select port, 'mod' as source, ssh_mod as y, epoch_us(time) / 3.6E12 - 470.0E0 as s, {M2_BASIS} from pairs),
+fit as {one_fit("select * from long", "port, source")},
+v as (select e.port, e.time, e.ssh_obs - (o.p * cos({M2_ANGLE}) + o.q * sin({M2_ANGLE})) as ntr_obs, e.ssh_mod - (m.p * cos({M2_ANGLE}) + m.q * sin({M2_ANGLE})) as ntr_mod
+      from pairs e join fit o on o.port = e.port and o.source = 'obs' join fit m on m.port = e.port and m.source = 'mod'),
+d as (select port, date_trunc('day', time) as d, max(ntr_obs) as ntr_obs, max(ntr_mod) as ntr_mod from v group by 1, 2)
+select 'threshold_hours' as kind, port, threshold, n_obs, n_mod from ({over('select * from v', BOTH)})
+union all select 'threshold_days' as kind, port, threshold, n_obs, n_mod from ({over('select * from d', BOTH)})
+union all select 'residuals', port, null, count(ntr_obs), count(ntr_mod) from v group by port
+union all select 'tides', port, null, count(*), count(*) from {{tg_dense}} where port in (select port from v) group by port
+union all select 'constituents', port, null, count(*), count(*) from (select distinct port from v) group by port""")
+def _(t):
+    base = stage_path(t.spark, uuid.uuid4().hex)
+    gauge_validation.publish_gauge_tables(t("tg_dense").drop("ssh"), base, minimum=30, constituents=["M2"], nodal=False)
+    read = lambda name: sink.read_published(t.spark, base, name).withColumn("kind", F.lit(name))
+    out = [read(name).select("kind", "port", "threshold", "n_obs", "n_mod") for name in ("threshold_hours", "threshold_days")]
+    counted = {"residuals": ("ntr_obs", "ntr_mod"), "tides": ("tide_obs", "tide_mod"), "constituents": ("a_obs", "a_mod")}
+    for name, (first, second) in counted.items():
+        rows = read(name).filter("band = 'all' and tide_obs is not null") if name == "tides" else read(name)
+        out.append(rows.groupBy("kind", "port").agg(F.count(first).alias("n_obs"), F.count(second).alias("n_mod")))
+    return scan.stack_tables(out)
+
+
 @query("gauge_validation_end_to_end", "port:int season:s ssh_std_err:d ntr_mae:d ntr_rmse:d ntr_corr:d n:long", f"""
 with pairs as (select port, time, ssh_obs - avg(ssh_obs) over (partition by port) as ssh_obs, ssh_mod - avg(ssh_mod) over (partition by port) as ssh_mod
                from {{tg_dense}} where ssh_obs is not null and ssh_mod is not null),
