@@ -125,17 +125,24 @@ def latitude_share(name: str, latitude, m):
     return m.nan_to_num(share) if hasattr(m, "nan_to_num") else m.coalesce(share, m.lit(0.0))
 
 
-def nodal(name: str, at: Sky, m, latitude=None):
-    """f, and u in degrees.  ``latitude`` in degrees adds the lines that depend on it; see ``off_equator``."""
-    if name in COMPOUND:
+def bases(name: str) -> dict[str, float]:
+    """Constituents whose nodal factors give those of ``name``, with their powers."""
+    return COMPOUND.get(name) or ({"M2": 1.5} if name == "M3" else {name: 1})
+
+
+def nodal(name: str, at: Sky, m, latitude=None, given: dict | None = None):
+    """f, and u in degrees.  ``latitude`` in degrees adds the lines that depend on it; see ``off_equator``.
+
+    ``given`` has (f, u) of ``bases`` that are worked out already.
+    """
+    if given and name in given:
+        return given[name]
+    if list(bases(name)) != [name]:
         f, u = 1.0, 0.0
-        for base, times in COMPOUND[name].items():
-            own_f, own_u = nodal(base, at, m, latitude)
+        for base, times in bases(name).items():
+            own_f, own_u = nodal(base, at, m, latitude, given)
             f, u = f * own_f ** abs(times), u + own_u * float(times)
         return f, u
-    if name == "M3":
-        f, u = nodal("M2", at, m)
-        return f ** 1.5, u * 1.5
     series = SERIES.get(FOLLOWS.get(name, name))
     f, u = 1.0, 0.0
     if series:

@@ -262,11 +262,17 @@ def reconstruct(times: DataFrame, fits: DataFrame, keys=("port",), constituents=
         out = out.withColumns({f"_{name}": value for name, value in astro.sky(F.col("_hours"))._asdict().items()})
         if latitude:
             out, lat = out.withColumn("_lat", astro.off_equator(F.col(latitude))), F.col("_lat")
-    at, waves = astro.Sky(*(F.col(f"_{name}") for name in astro.Sky._fields)), {}
+    at, waves, given = astro.Sky(*(F.col(f"_{name}") for name in astro.Sky._fields)), {}, {}
+    if nodal:
+        # the factors of each base as columns of their own, which compounds and both waves use again
+        needed = sorted({base for c in chosen if astro.known(c.name) for base in astro.bases(c.name)})
+        factors = {base: astro.nodal(base, at, F, lat) for base in needed}
+        out = out.withColumns({f"_{part}_{base}": F.lit(0.0) + value for base, pair in factors.items() for part, value in zip("fu", pair)})
+        given = {base: (F.col(f"_f_{base}"), F.col(f"_u_{base}")) for base in needed}
     for c in chosen:
         angle, f = phase_angle(c, F.col("_hours")), F.lit(1.0)
         if nodal and astro.known(c.name):
-            f, u = astro.nodal(c.name, at, F, lat)
+            f, u = astro.nodal(c.name, at, F, lat, given)
             angle = F.radians(F.pmod(astro.argument(c.name, at) + u, F.lit(360.0)))
         waves |= {f"_c_{c.name}": F.cos(angle) * f, f"_s_{c.name}": F.sin(angle) * f}
     out = out.withColumns(waves)

@@ -10,7 +10,7 @@ from catalog.check import compare, oracle_connection
 FOLDER = f"/root/testdata/sf{os.environ.get('TEST_SF', '0.001')}"
 queries()  # registers
 # No cell of the sparse smallest grid lies near a station.
-MAY_BE_EMPTY = {"station_cells_scan_S07", "clustered_station_scan_S07", "model_ssh_series_J05", "clustered_station_series_J05", "peaks_W02"}
+MAY_BE_EMPTY = {"station_cells_scan_S07", "clustered_station_scan_S07", "model_ssh_series_J05", "clustered_station_series_J05", "gauge_extraction_chain", "peaks_W02"}
 
 
 @pytest.fixture(scope="module")
