@@ -1,4 +1,4 @@
-"""Substring dedup by relative Lempel-Ziv parsing against a blocked reference.
+"""Substring dedup by anchored window hashing against a blocked reference, in place of relative Lempel-Ziv parsing.
 
 The reference of a document is the whole corpus.  It is indexed in blocks by what a phrase
 says and not by where it stands: block b holds all phrases whose anchor hash falls into
@@ -13,7 +13,10 @@ block that can hold it.
    blocks.  This is the check at the factors' boundaries: it settles each start by itself.
 3. Documents are parsed greedily: at the first unparsed word that begins a window found
    elsewhere a factor starts, and it goes on while each next word ends such a window.
-   Factors are at least one window long; their words are the duplicate spans.
+   Factors are at least one window long; their words are the duplicate spans.  A factor is tied to no
+   source place, and its windows may come from several documents: nothing is extended against a block.
+
+A very long text is cut to runs for hashing and otherwise treated like any other.
 """
 from __future__ import annotations
 

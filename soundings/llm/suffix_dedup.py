@@ -1,4 +1,4 @@
-"""Suffix-array dedup by longest previous factors.
+"""Suffix dedup by grouping sorted 50-byte windows, in place of longest-previous-factor arrays.
 
 A byte goes if it lies in a factor of at least 50 bytes that an earlier document (smaller
 doc_id) has too; the first document keeps its copy.  Whether position i begins such a
