@@ -18,7 +18,8 @@ dealt to blocks in which all their rivals are:
 3. A block sorts its suffixes, to a depth of 50 bytes, and then by document.  Suffixes
    that share 50 bytes are neighbours; within such a run the previous smaller position of
    every suffix but those of the first document is an earlier document's, and there is
-   no next smaller one.
+   no next smaller one.  So a group's smallest document decides; no previous or next smaller
+   positions and no common lengths beyond 50 bytes are computed.
 """
 from __future__ import annotations
 
