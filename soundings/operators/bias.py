@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from soundings.functions.scalars import QUANTILES, bias_angle, bin_centre, histogram_bin, ratio
@@ -137,11 +138,20 @@ def poisson_weight(u: Column, terms: int = 12) -> Column:
 UNIT = 2048
 
 
-def poisson_weights(words: np.ndarray, n_boot: int, terms: int = 12) -> np.ndarray:
-    """As ``poisson_weight(uniform(...))``: a row for each pair of words, a column for each replicate."""
+def _drawn_words(words: np.ndarray, n_boot: int) -> np.ndarray:
     reps = (np.arange(1, n_boot + 1, dtype=np.uint32) * np.uint32(GOLDEN))[None, :]
     a, b = (words[:, k].astype(np.uint32)[:, None] for k in (0, 1))
-    drawn = _mixed_words(a ^ _mixed_words(b ^ reps))
+    return _mixed_words(a ^ _mixed_words(b ^ reps))
+
+
+def _uniform_numbers(words: np.ndarray, n_boot: int) -> np.ndarray:
+    """As ``uniform``: a row for each pair of words, a column for each replicate."""
+    return _drawn_words(words, n_boot) / 4294967296.0
+
+
+def poisson_weights(words: np.ndarray, n_boot: int, terms: int = 12) -> np.ndarray:
+    """As ``poisson_weight(uniform(...))``: a row for each pair of words, a column for each replicate."""
+    drawn = _drawn_words(words, n_boot)
     out = np.zeros(drawn.shape, np.uint8)
     for step in _poisson_steps(terms):
         out += drawn >= np.uint32(min(math.ceil(step * 4294967296.0), MASK))
@@ -206,6 +216,20 @@ class PoissonDraws:
             *keys, "rep", "_cell").agg(F.sum("_w").alias("_w"))
 
 
+def _numbers_drawn(keys: list[str], n_boot: int, at_once: int = 256):
+    def drawn(batches):
+        """For each profile the number that it draws in each replicate."""
+        reps = np.arange(n_boot, dtype=np.int32)
+        for batch in batches:
+            for start in range(0, len(batch), at_once):
+                part = batch.slice(start, at_once)
+                words = np.column_stack([part.column(c).to_numpy() for c in ("_a", "_b")])
+                numbers = np.floor(_uniform_numbers(words, n_boot) * part.column("_n").to_numpy()[:, None]).astype(np.int64)
+                held = part.select(keys).take(pa.array(np.repeat(np.arange(len(part)), n_boot)))
+                yield pa.RecordBatch.from_arrays([*held.columns, pa.array(np.tile(reps, len(part))), pa.array(numbers.ravel())], [*keys, "rep", "_number"])
+    return drawn
+
+
 class MultinomialDraws:
     """As ``PoissonDraws``, but exactly as many draws per replicate as there are profiles.
 
@@ -226,13 +250,12 @@ class MultinomialDraws:
         inside = Window.partitionBy(*keys, "_slot").orderBy(key)
         numbered = cut_lineage(
             rows.withColumn("_at", F.row_number().over(inside) - 1).join(starts, [*keys, "_slot"])
-            .select(*keys, key, (F.col("_start") + F.col("_at")).alias("_number"), "_n"))
-        draws = (
-            numbered.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-            .withColumn("_number", F.floor(uniform(words, F.col("rep")) * F.col("_n")).cast("long"))
-            .groupBy(*keys, "rep", "_number").agg(F.count(F.lit(1)).cast("int").alias("weight"))
-        )
-        self.table = cut_lineage(draws.join(numbered.drop("_n"), [*keys, "_number"]).select(*keys, key, "rep", "weight"))
+            .select(*keys, key, (F.col("_start") + F.col("_at")).alias("_number"), "_n", words[0].alias("_a"), words[1].alias("_b")))
+        types = {f.name: f.dataType.simpleString() for f in numbered.schema.fields}
+        schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", rep int, _number long"
+        drawn = numbered.select(*keys, "_n", "_a", "_b").mapInArrow(_numbers_drawn(keys, n_boot), schema)
+        draws = drawn.groupBy(*keys, "rep", "_number").agg(F.count(F.lit(1)).cast("int").alias("weight"))
+        self.table = cut_lineage(draws.join(numbered.select(*keys, key, "_number"), [*keys, "_number"]).select(*keys, key, "rep", "weight"))
 
     def weigh(self, df: DataFrame) -> DataFrame:
         return df.join(self.table, [*self.keys, self.key, "rep"])
