@@ -58,27 +58,36 @@ def letters(joined: str) -> np.ndarray:
     return np.where((codes >= 97) & (codes <= 122), codes - 97, np.where((codes >= 48) & (codes <= 57), codes - 22, 36 + codes % 28))
 
 
-def subsequences(words: list[str], span: int = SPAN, decay: float = DECAY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, subsequence, weight) of all three-letter subsequences within ``span`` letters, summed.
+def _characters(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Characters of all words as numbers, each one's word, and whether it only parts two words.
 
     A word of fewer than three characters is filled up with a place of its own, so that it
-    has one.
+    has a subsequence.
     """
     joined = "\n".join(w if len(w) > 2 else w + "\x1f" * (3 - len(w)) for w in words)
-    numbers = letters(joined)
     breaks = np.frombuffer(joined.encode("utf-32-le"), np.uint32) == 10
-    owner = np.cumsum(breaks)
-    keys, weights = [], []
+    return letters(joined), np.cumsum(breaks), breaks
+
+
+def _triples(numbers: np.ndarray, owner: np.ndarray, breaks: np.ndarray, span: int, decay: float) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """(first places, subsequences, weight) for each way to take three letters within ``span``."""
     for last in range(2, span):
+        n = len(numbers) - last
+        if n <= 0:
+            break
+        at = np.flatnonzero((owner[:n] == owner[last:]) & ~breaks[:n])
+        ends = (numbers[at] << 12) | numbers[at + last]
         for middle in range(1, last):
-            n = len(numbers) - last
-            if n <= 0:
-                continue
-            same = (owner[:n] == owner[last:]) & ~breaks[:n]
-            at = np.flatnonzero(same)
-            code = (numbers[at] << 12) | (numbers[at + middle] << 6) | numbers[at + last]
-            keys.append((owner[at] << 18) | code)
-            weights.append(np.full(len(at), decay ** (last + 1)))
+            yield at, ends | (numbers[at + middle] << 6), decay ** (last + 1)
+
+
+def subsequences(words: list[str], span: int = SPAN, decay: float = DECAY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, subsequence, weight) of all three-letter subsequences within ``span`` letters, summed."""
+    numbers, owner, breaks = _characters(words)
+    keys, weights = [], []
+    for at, code, weight in _triples(numbers, owner, breaks, span, decay):
+        keys.append((owner[at] << 18) | code)
+        weights.append(np.full(len(at), weight))
     if not keys:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
@@ -95,12 +104,39 @@ class Kernel:
         self.codes, column = np.unique(code, return_inverse=True)
         self.column = np.full(1 << 18, -1, np.int32)
         self.column[self.codes] = np.arange(len(self.codes))
-        self.table = np.zeros((len(self.codes), len(landmarks)), np.float32)
-        self.table[column, owner] = weight / norms[owner]
-        self.most = self.table.max(axis=1) if len(self.codes) else np.empty(0, np.float32)
+        values = (weight / norms[owner]).astype(np.float32)
+        self.most = np.zeros(len(self.codes), np.float32)
+        np.maximum.at(self.most, column, values)
+        # the landmarks of each subsequence stand side by side: a few of all
+        order = np.argsort(column, kind="stable")
+        self.holder, self.share = owner[order], values[order]
+        self.width = np.bincount(column, minlength=len(self.codes))
+        self.start = np.cumsum(self.width) - self.width
+
+    def able(self, words: list[str], least: float) -> np.ndarray:
+        """Numbers of the words that may be at least that like a landmark, from subsequences that are not summed yet.
+
+        Sums of positive weights have no smaller squares than the weights, so a word's norm
+        is at least that of its single subsequences, which its length tells.
+        """
+        numbers, owner, breaks = _characters(words)
+        lengths = np.bincount(owner[~breaks], minlength=len(words))
+        bound, floor = np.zeros(len(words)), np.zeros(len(words))
+        for last in range(2, SPAN):
+            floor += np.maximum(lengths - last, 0) * (last - 1) * DECAY ** (2 * last + 2)
+        for at, code, weight in _triples(numbers, owner, breaks, SPAN, DECAY):
+            column = self.column[code]
+            hit = np.flatnonzero(column >= 0)
+            bound += np.bincount(owner[at[hit]], weight * self.most[column[hit]], len(words))
+        return np.flatnonzero((bound > 0) & (bound >= least * np.sqrt(floor) * (1 - 1e-6)))
 
     def of(self, words: list[str], least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """Words, by number, that may be at least that like a landmark, and their likenesses."""
+        able = self.able(words, least)
+        numbers, rows = self._of([words[i] for i in able.tolist()], least)
+        return able[numbers], rows
+
+    def _of(self, words: list[str], least: float) -> tuple[np.ndarray, np.ndarray]:
         owner, code, weight = subsequences(words)
         norms = np.sqrt(np.bincount(owner, weight ** 2, len(words)))
         column = self.column[code]
@@ -115,11 +151,15 @@ class Kernel:
         if not len(owner):
             return numbers, np.zeros((0, len(self.landmarks)), np.float32)
         first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        out = np.empty((len(first), len(self.landmarks)), np.float32)
+        word, m = np.cumsum(np.r_[0, owner[1:] != owner[:-1]]), len(self.landmarks)
+        out = np.empty((len(first), m), np.float32)
         for a in range(0, len(first), 4096):  # a bounded part of the products at a time
-            stop = first[a + 4096] if a + 4096 < len(first) else len(owner)
-            rows = self.table[column[first[a]:stop]] * weight[first[a]:stop, None].astype(np.float32)
-            out[a:a + 4096] = np.add.reduceat(rows, first[a:a + 4096] - first[a], axis=0)
+            part = slice(first[a], first[a + 4096] if a + 4096 < len(first) else len(owner))
+            n = self.width[column[part]]
+            entry = np.repeat(self.start[column[part]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            place = np.repeat((word[part] - a) * m, n) + self.holder[entry]
+            rows = min(4096, len(first) - a)
+            out[a:a + rows] = np.bincount(place, np.repeat(weight[part], n) * self.share[entry], rows * m).reshape(rows, m)
         out /= norms[numbers][:, None]
         out[out < least] = 0
         alike = out.max(axis=1) > 0
@@ -159,13 +199,15 @@ class Sentences:
         if not words:
             return self.rows[:0]
         told = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        ends = told & 1
-        sentence = np.cumsum(ends) - ends
-        starts = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])
-        within = np.arange(len(words)) - np.repeat(starts, np.diff(np.r_[starts, len(words)]))
-        sentence = sentence * (1 + len(words)) + within // SENTENCE_WORDS  # long ones are cut
+        ends = np.flatnonzero(told & 1)
+
+        def sentence(places: np.ndarray) -> np.ndarray:
+            number = np.searchsorted(ends, places)
+            within = places - np.where(number > 0, ends[number - 1] + 1 if len(ends) else 0, 0)
+            return number * (1 + len(words)) + within // SENTENCE_WORDS  # long ones are cut
+
         at = np.flatnonzero(told >> 2)
-        owner, rows = sentence[at], self.rows[told[at] >> 2]
+        owner, rows = sentence(at), self.rows[told[at] >> 2]
         spelled = (told >> 1) & 1
         if spelled.sum() > 2:  # runs of single letters are read as one word
             edge = np.diff(np.r_[0, spelled, 0])
@@ -173,7 +215,7 @@ class Sentences:
             runs = [(b, e) for b, e in zip(begin.tolist(), end.tolist()) if e - b > 2]
             if runs:
                 numbers, more = self.kernel.of(["".join(plain(words[b:e])) for b, e in runs], self.least)
-                owner = np.r_[owner, sentence[[runs[i][0] for i in numbers]].astype(np.int64)] if len(numbers) else owner
+                owner = np.r_[owner, sentence(np.array([runs[i][0] for i in numbers], np.int64))]
                 rows = np.concatenate([rows, more])
         if not len(owner):
             return self.rows[:0]
