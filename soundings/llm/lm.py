@@ -30,10 +30,12 @@ CLASSES = 128
 DIMENSIONS = 32
 ROUNDS = 3
 BATCH = 2048
-NOISE = 64
+NOISE = 512
 RATE = 0.15
 FIRST_SQUARE = 1e-4
 UNIT_TOKENS = 1 << 19
+#: Units of a task are trained on together up to this many tokens: the more, the more often contexts are equal.
+TRAINED = 1 << 20
 SLOT = 4096
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -239,31 +241,37 @@ class LogBilinear:
 
     def train(self, last: np.ndarray, before: np.ndarray, target: np.ndarray, random: np.random.Generator,
               batch: int = BATCH, noise: int = NOISE, rate: float = RATE) -> None:
-        """One pass of noise-contrastive estimation with adaptive step sizes."""
+        """One pass of noise-contrastive estimation with adaptive step sizes.
+
+        Tokens after equal contexts stand together, each target with its count, and the noise of a context is
+        weighed by its tokens: the loss is that of single tokens.  A batch has whole contexts, drawn at random, of
+        about ``batch`` tokens; their scores, and slopes of the loss in them, are matrices of contexts by symbols.
+        """
         p, squares = self.parts, self.squares
         offset = np.log(noise * self.noise).astype(np.float32)
         cumulative = np.cumsum(self.noise)
-        order = random.permutation(len(target))
-        for a in range(0, len(order), batch):
-            own = order[a:a + batch]
-            c1, c2, w = last[own], before[own], target[own]
+        context, tokens, sizes, w, count = _weighted(last, before, target, self.n, random)
+        number = (np.cumsum(tokens, dtype=np.int64) - 1) // batch
+        cuts = np.flatnonzero(np.diff(number, prepend=-1))
+        rows = np.r_[0, np.cumsum(sizes)]
+        for a, b in zip(cuts, np.r_[cuts[1:], len(context)].astype(np.int64)):
+            c1, c2 = np.divmod(context[a:b], self.n)
+            own, each = slice(rows[a], rows[b]), np.repeat(np.arange(b - a), sizes[a:b])
             drawn = np.minimum(np.searchsorted(cumulative, random.random(noise) * cumulative[-1]), self.n - 1)
+            times = np.bincount(drawn, minlength=self.n).astype(np.float32)
+            drawn = np.flatnonzero(times)
             u1, u2 = p["context"][c1], p["context"][c2]
             q = u1 @ p["last"] + u2 @ p["before"]
-            r, rn = p["target"][w], p["target"][drawn]
-            true = _logistic((q * r).sum(axis=1) + p["bias"][w] - offset[w]) - 1
-            false = _logistic(q @ rn.T + p["bias"][drawn] - offset[drawn])
-            gq = true[:, None] * r + false @ rn
-            grads = {k: np.zeros_like(v) for k, v in p.items()}
-            _scatter(grads["target"], w, true[:, None] * q)
-            np.add.at(grads["target"], drawn, false.T @ q)
-            grads["bias"] += np.bincount(w, true, self.n) + np.bincount(drawn, false.sum(axis=0), self.n)
-            grads["last"] += u1.T @ gq
-            grads["before"] += u2.T @ gq
-            _scatter(grads["context"], c1, gq @ p["last"].T)
-            _scatter(grads["context"], c2, gq @ p["before"].T)
+            scores = q @ p["target"].T + (p["bias"] - offset)
+            slopes = np.zeros_like(scores)
+            slopes[:, drawn] = _logistic(scores[:, drawn]) * (tokens[a:b, None] * times[drawn])
+            slopes[each, w[own]] += (_logistic(scores[each, w[own]]) - 1) * count[own]  # targets of a context are distinct
+            gq = slopes @ p["target"]
+            grads = {"context": np.zeros_like(p["context"]), "target": slopes.T @ q, "last": u1.T @ gq, "before": u2.T @ gq, "bias": slopes.sum(axis=0)}
+            _scatter(grads["context"], np.r_[c1, c2], np.concatenate([gq @ p["last"].T, gq @ p["before"].T]))
+            size = tokens[a:b].sum()
             for name, grad in grads.items():
-                grad /= len(own)
+                grad /= size
                 squares[name] += grad * grad
                 p[name] -= rate * grad / np.sqrt(squares[name])
         self._norms = None
@@ -293,9 +301,22 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _weighted(last: np.ndarray, before: np.ndarray, target: np.ndarray, n: int, random: np.random.Generator) -> tuple[np.ndarray, ...]:
+    """Distinct contexts in random order, their tokens and numbers of targets; targets and counts, context by context."""
+    distinct, count = np.unique((last * n + before) * n + target, return_counts=True)
+    if not len(distinct):
+        return distinct, count, count, distinct, count
+    context = distinct // n
+    first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+    order = random.permutation(len(first))
+    sizes = np.diff(np.r_[first, len(context)])[order]
+    rows = np.arange(len(context)) + np.repeat(first[order] - np.cumsum(sizes) + sizes, sizes)
+    return context[first[order]], np.add.reduceat(count, first)[order].astype(np.float32), sizes, distinct[rows] % n, count[rows].astype(np.float32)
+
+
 def _scatter(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     """Add ``values`` to rows of ``out`` that may repeat."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.uint16) if len(out) <= 1 << 16 else rows, kind="stable")  # short numbers sort faster
     ordered = rows[order]
     first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
     out[ordered[first]] += np.add.reduceat(values[order], first, axis=0)
@@ -319,14 +340,19 @@ def _unpack(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.n
 def _train(state, end: int, turn: int):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, noise, vector, shape = state.value
-        model, seen = LogBilinear(n, noise, shape).load(vector), 0
+        model, seen, held, size = LogBilinear(n, noise, shape).load(vector), 0, [], 0
         for batch in batches:
             for i in range(batch.num_rows):
                 symbols, sizes, flags = _unpack(batch, i)
-                last, before = contexts(symbols, sizes, end)
                 use = np.repeat(flags < 2, sizes)
-                model.train(last[use], before[use], symbols[use], np.random.default_rng([turn, batch.column("unit")[i].as_py()]))
-                seen += int(use.sum())
+                held.append([x[use] for x in (*contexts(symbols, sizes, end), symbols)])
+                size += int(use.sum())
+                if size >= TRAINED:
+                    model.train(*map(np.concatenate, zip(*held)), np.random.default_rng([turn, batch.column("unit")[i].as_py()]))
+                    seen, held, size = seen + size, [], 0
+        if size:
+            model.train(*map(np.concatenate, zip(*held)), np.random.default_rng([turn, TaskContext.get().partitionId()]))
+            seen += size
         if seen:
             whole = model.vector().astype(np.float64) * seen
             parts = [whole[a:a + SLOT].tobytes() for a in range(0, len(whole), SLOT)]
