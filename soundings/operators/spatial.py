@@ -253,7 +253,7 @@ def match_stations(left: DataFrame, right: DataFrame, key="port",
     places = cut_lineage(right.groupBy(F.col("lon").alias("_rlon"), F.col("lat").alias("_rlat")).agg(F.min(key).alias("right_key")).dropna())
     todo = left.select(F.col("lon").alias("_lon"), F.col("lat").alias("_lat")).dropna().distinct()
     done = None
-    for width in widths:
+    for width in search_widths(places, widths):
         box = lambda c, w=width: F.floor(F.col(c) / w).cast("long")
         ring = (
             places.withColumn("_bx", F.explode(F.array(*[box("_rlon") + d for d in (-1, 0, 1)])))
@@ -264,12 +264,29 @@ def match_stations(left: DataFrame, right: DataFrame, key="port",
         near = cut_lineage(near.filter(F.col("distance_sq") <= width * width))
         todo = cut_lineage(todo.join(near, ["_lon", "_lat"], "left_anti"))
         done = near if done is None else done.unionByName(near)
+        if todo.isEmpty():
+            break
     if not todo.isEmpty():
         done = done.unionByName(_nearest_by_descent(todo, places, salts))
     stations = left.select(F.col(key).alias("left_key"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
     return stations.join(done, ["_lon", "_lat"]).select("left_key", "right_key", "distance_sq")
 
 
+def search_widths(places: DataFrame, widths: tuple[float, ...], most: int = 8, step: int = 4) -> list[float]:
+    """``widths`` with smaller ones before them where places are crowded, and steps between, so that no box holds many more places than the one before."""
+    box = [F.floor(F.col(c) / widths[0]) for c in ("_rlon", "_rlat")]
+    n, occupied = places.agg(F.count(F.lit(1)), F.approx_count_distinct(F.struct(*box))).first()
+    held, wanted = n / max(occupied, 1), list(widths)
+    while held > most:
+        held, wanted = held / step ** 2, [wanted[0] / step, *wanted]
+    out = wanted[:1]
+    for width in wanted[1:]:
+        while out[-1] * step < width:
+            out.append(out[-1] * step)
+        out.append(width)
+    return out
+
+
 def _nearest_of(pairs: DataFrame) -> DataFrame:
     square = lambda a, b: (F.col(a) - F.col(b)) * (F.col(a) - F.col(b))
     return (
