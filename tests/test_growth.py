@@ -56,3 +56,31 @@ def test_dense_grid_finds_the_nearest_cell(spark):
     best = points.crossJoin(sea).withColumn("d", great_circle_km("lon", "lat", "clon", "clat")).filter("d <= 60").groupBy("profile_id").agg(
         F.min(F.struct("d", "x", "y", "bathymetry")).alias("b")).select("profile_id", "b.x", "b.y", "b.bathymetry")
     assert found == {tuple(r) for r in best.collect()} and len(found) > 40
+
+
+def test_crowded_stations_get_small_boxes(spark):
+    rng = random.Random(4)
+    rows = [(k, rng.uniform(0, 1), rng.uniform(50, 51)) for k in range(4000)]
+    places = spark.createDataFrame(rows, "right_key int, _rlon double, _rlat double")
+    widths = spatial.search_widths(places, (0.5, 4.0))
+    assert widths[0] < 0.1 and widths[-1] == 4.0 and all(b <= 4 * a for a, b in zip(widths, widths[1:]))
+
+
+def test_lines_of_a_profile_are_dealt_once(spark, tmp_path):
+    spark.createDataFrame([(1, 7), (2, 9)], "o_orderkey long, o_custkey long").withColumn(
+        "o_orderdate", F.lit("1997-01-01 00:00:00").cast("timestamp_ntz")).write.parquet(str(tmp_path / "orders.parquet"))
+    lines = [(1, 1.2, 100.0), (1, 1.7, 200.0), (1, 3.0, 300.0), (2, 1.2, 400.0), (None, 1.0, 1.0), (2, None, 1.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_quantity double, l_extendedprice double").withColumns(
+        {"l_discount": F.lit(0.01), "l_tax": F.lit(0.02), "l_returnflag": F.lit("N")}).write.parquet(str(tmp_path / "lineitem.parquet"))
+    pairs = Tables(spark, str(tmp_path))("profile_pair_a")
+    shuffles = [line for line in plan(pairs).split("\n") if "Exchange hashpartitioning(" in line]
+    got = sorted((r.profile_id, r.z, r.depth, round(r.temperature_obs * 5003), round((r.temperature_mod + 0.01) / 1.02 * 5003)) for r in pairs.collect())
+    # levels that share z meet crosswise
+    assert got == [(1, 1, 1.2, 100, 100), (1, 1, 1.2, 100, 200), (1, 1, 1.7, 200, 100), (1, 1, 1.7, 200, 200), (1, 3, 3.0, 300, 300), (2, 1, 1.2, 400, 400)]
+    assert len([line for line in shuffles if "(l_orderkey" in line]) == 1 and not any("l_quantity" in line or "(z" in line for line in shuffles)
+
+
+def test_many_cells_are_dealt_to_tasks(spark, tmp_path):
+    spark.range(20_000).selectExpr("id as c_custkey", "cast(id % 25 as int) as c_nationkey", "100.0D as c_acctbal").coalesce(1).write.parquet(
+        str(tmp_path / "customer.parquet"))
+    assert Tables(spark, str(tmp_path))("grid_field").rdd.getNumPartitions() == 3
