@@ -243,15 +243,21 @@ def _(t):
     return E.region_stats(t("profile_error_a"), ["diff_temperature"])
 
 
-def stored_errors(t, sketch=None):
+def written_errors(t):
+    """Errors by time and place of a profile, written once for those who read them several times."""
+    return cut_lineage(t("profile_error_a").select("region", "season", "z", "time", "diff_temperature", "diff_salinity"))
+
+
+def stored_errors(t, sketch=None, errors=None):
     """Monthly states of the errors: all but the last year in one publication, the last year and a correction in another."""
+    errors = written_errors(t) if errors is None else errors
     base, late = stage_path(t.spark, uuid.uuid4().hex), F.col("time") >= F.lit("1998-01-01").cast("timestamp_ntz")
     states = lambda rows: N.month_states(rows, ["diff_temperature", "diff_salinity"], sketch=sketch)
-    early = t("profile_error_a").filter(~late)
+    early = errors.filter(~late)
     # a month stored with wrong values first, and put right by the second publication
     wrong = early.withColumn("diff_temperature", F.when((F.year("time") == 1997) & (F.month("time") == 5), 1e6).otherwise(F.col("diff_temperature")))
     N.store_months(states(wrong), base, "errors")
-    N.store_months(states(t("profile_error_a").filter(late | ((F.year("time") == 1997) & (F.month("time") == 5)))), base, "errors")
+    N.store_months(states(errors.filter(late | ((F.year("time") == 1997) & (F.month("time") == 5)))), base, "errors")
     return N.stored_months(t.spark, base, "errors")
 
 
@@ -279,8 +285,9 @@ def _(t):
 select region, season, unnest([0.1, 0.25, 0.5, 0.75, 0.9]) as q, n, true as within from
 (select region, season, count(diff_temperature) as n from {profile_error_a} where diff_temperature is not null group by region, season)""")
 def _(t):
-    found = N.sketch_quantiles(stored_errors(t, sketch=N.SKETCH), "diff_temperature", [0.1, 0.25, 0.5, 0.75, 0.9], ("region", "season"))
-    rows = t("profile_error_a").select("region", "season", F.col("diff_temperature").alias("v")).filter("v is not null")
+    errors = written_errors(t)
+    found = N.sketch_quantiles(stored_errors(t, sketch=N.SKETCH, errors=errors), "diff_temperature", [0.1, 0.25, 0.5, 0.75, 0.9], ("region", "season"))
+    rows = errors.select("region", "season", F.col("diff_temperature").alias("v")).filter("v is not null")
     ranks = found.join(rows, ["region", "season"]).groupBy("region", "season", "q", "n").agg(
         F.count_if(F.col("v") < F.col("diff_temperature")).alias("below"), F.count_if(F.col("v") <= F.col("diff_temperature")).alias("upto"))
     # the value's ranks are an interval where it occurs more than once; three times the error of 99 % confidence
