@@ -9,12 +9,13 @@ One suffix array of everything would not fit anywhere, so the suffixes that can
 dealt to blocks in which all their rivals are:
 
 1. Of the 20-byte grams in each 50-byte window the one with the smallest hash is the window's
-   anchor; equal windows have equal anchors.  Anchors that occur once cannot belong to a
-   copied window, and drop out.
-2. Stretches around the other anchors go, as text, to the block of their anchor's hash; a
-   stretch that a task has several times goes once, for its smallest doc_id, since the others
-   are copies already.  An anchor with very many places (``CROWDED``) would crowd its block,
-   so its windows go one by one to the blocks of their own hashes.
+   anchor; equal windows have equal anchors.  Neighbouring windows with one anchor are a
+   stretch.  Its anchor, a hash of its text and its doc_id go to the block of the anchor.  A
+   stretch that an earlier document has too is a copy as a whole, and is settled without its
+   text.  Anchors of one document alone, or with one text alone, need no more.
+2. Where an anchor has several texts, the first document's stretch of each goes, as text, to
+   the block of the anchor's hash.  An anchor with very many places (``CROWDED``) would crowd
+   its block, so its windows go one by one to the blocks of their own hashes.
 3. A block sorts its suffixes, to a depth of 50 bytes, and then by document.  Suffixes
    that share 50 bytes are neighbours; within such a run the previous smaller position of
    every suffix but those of the first document is an earlier document's, and there is
@@ -30,11 +31,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from soundings.llm.marks import (ANSWER, CROWDED, CROWDED_BIT, SENT, Unit, _documents_row, _pass_documents, anchors, answer,
-                                 block_of, blocks_for, by_document, identified, own_block, release, repeated_marks, sender, with_answers)
-from soundings.llm.text import cover, mix, text_runs, window_hashes
+from soundings.llm.marks import (ANSWER, CROWDED, CROWDED_BIT, SENT, Unit, _documents_row, _pass_documents, answer, block_of, blocks_for,
+                                 by_document, first_of_runs, identified, own_block, release, sender, sliding_min, with_answers)
+from soundings.llm.text import cover, from_planes, mix, planes, steps, stretch_hashes, text_runs, window_hashes
 from soundings.session import cut_lineage
 
 WIDTH = 50
@@ -45,48 +46,130 @@ STRETCH = 64
 SORTED = 150_000
 
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64))
+_BASE = 0xD6E8FEB86659FD93  # another than that of the grams
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def _grams(text: bytes, gram: int) -> np.ndarray:
     return window_hashes(_BYTES[np.frombuffer(text, np.uint8)], gram)
 
 
-def _anchor_marks(width: int, gram: int):
+def stretches(text: bytes, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where neighbouring windows with one anchor begin, their number (``STRETCH`` at most) and the anchor."""
+    least = sliding_min(_grams(text, gram), width - gram + 1)
+    first = first_of_runs(least.reshape(-1, 1))
+    n = np.diff(np.r_[first, len(least)])
+    pieces = -(-n // STRETCH)
+    step = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    starts = np.repeat(first, pieces) + STRETCH * step
+    return starts, np.minimum(np.repeat(first + n, pieces) - starts, STRETCH), least[starts]
+
+
+def _all_windows(sizes: np.ndarray) -> np.ndarray:
+    return np.uint64(2 ** 64 - 1) >> (np.uint64(64) - sizes.astype(np.uint64))
+
+
+def _stretch_marks(width: int, gram: int):
     def mark(row: dict, unit: Unit) -> None:
-        grams = _grams(row["text"], gram)
-        _, places = anchors(grams, width - gram + 1)
-        unit.add(row["doc_id"], row["print"], len(row["text"]) + 1, places, grams[places].reshape(-1, 1))
+        text = row["text"]
+        if row["doc_id"] is None:  # neither earlier nor later than another
+            return
+        starts, sizes, keys = stretches(text, width, gram)
+        prints = stretch_hashes(_BYTES[np.frombuffer(text, np.uint8)], starts, sizes + width - 1, _BASE)
+        unit.add(row["doc_id"], row["print"], len(text) + 1, starts, np.stack([keys, prints, sizes.astype(np.uint64)], axis=1))
     return mark
 
 
-def _stretches(width: int, gram: int):
+def _send_stretches(unit: Unit, blocks: int) -> Iterator[dict]:
+    if not unit.ids:
+        return
+    yield _documents_row(unit)
+    if not unit.marks:
+        return
+    (keys, prints, sizes), places = np.ascontiguousarray(np.concatenate(unit.values).T), np.concatenate(unit.places)
+    ids = np.array(unit.ids, np.int64)[np.concatenate(unit.owners)]
+    copied = _copies(keys, prints, ids)[0]
+    later = np.flatnonzero(copied)  # copies of an earlier document of the same unit
+    if len(later):
+        yield {"block": own_block(unit.number), "unit": unit.number, "values": _all_windows(sizes[later]).tobytes(), "counts": None,
+               "places": places[later].astype(np.uint32).tobytes(), "owners": b"", "extra": b""}
+    own = np.flatnonzero(~copied)
+    block = block_of(keys[own], blocks).astype(np.int64)
+    order = np.argsort(block, kind="stable")  # by place within a block
+    own, block = own[order], block[order]
+    cuts = first_of_runs(block.reshape(-1, 1))
+    for a, b in zip(cuts, np.r_[cuts[1:], len(own)]):
+        at = own[a:b]
+        yield {"block": int(block[a]), "unit": unit.number, "values": prints[at].tobytes(), "counts": b"",
+               "places": planes(steps(places[at].astype(np.uint32))), "owners": planes(steps(ids[at])),
+               "extra": (keys[at] & _LOW).astype(np.uint32).tobytes() + sizes[at].astype(np.uint8).tobytes()}
+
+
+def _copies(keys: np.ndarray, prints: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which stretches an earlier document has as a whole; an order by anchor and text, and where in it a text begins."""
+    order = np.lexsort((ids, prints, keys))
+    first = np.flatnonzero(np.r_[True, (keys[order][1:] != keys[order][:-1]) | (prints[order][1:] != prints[order][:-1])])
+    copied = np.empty(len(keys), bool)
+    copied[order] = ids[order] > np.repeat(ids[order][first], np.diff(np.r_[first, len(order)]))
+    return copied, order, first
+
+
+def _settle(crowded: int):
+    def settle(key, rows: pd.DataFrame) -> pd.DataFrame:
+        """Stretches that are copies as a whole, with their windows, and those whose text is asked for, without."""
+        if key[0] < 0:
+            return _own_rows(rows)
+        numbers = [len(v) // 8 for v in rows["values"]]
+        prints = np.concatenate([np.frombuffer(v, np.uint64) for v in rows["values"]])
+        keys = np.concatenate([np.frombuffer(e, np.uint32, n) for e, n in zip(rows["extra"], numbers)])
+        sizes = np.concatenate([np.frombuffer(e, np.uint8, offset=4 * n) for e, n in zip(rows["extra"], numbers)])
+        places = np.concatenate([np.cumsum(from_planes(p, np.uint32), dtype=np.uint32) for p in rows["places"]])
+        ids = np.concatenate([np.cumsum(from_planes(o, np.int64)) for o in rows["owners"]])
+        copied, order, texts = _copies(keys, prints, ids)
+        first = first_of_runs(keys[order].reshape(-1, 1))
+        n = np.diff(np.r_[first, len(order)])
+        several = np.diff(np.searchsorted(texts, np.r_[first, len(order)])) > 1
+        several &= np.minimum.reduceat(ids[order], first) != np.maximum.reduceat(ids[order], first)
+        asked = np.empty(len(keys), bool)
+        asked[order] = np.repeat(several, n)
+        asked &= ~copied
+        many = np.empty(len(keys), bool)
+        many[order] = np.repeat(np.add.reduceat(asked[order].astype(np.int64), first) > crowded, n)
+        places = np.where(asked & many, places | np.uint32(CROWDED_BIT), places)
+        units, told, values, at = [], [], [], 0
+        for unit, n in zip(rows["unit"], numbers):
+            for which, masks in ((copied[at:at + n], True), (asked[at:at + n], False)):
+                if which.any():
+                    units.append(unit)
+                    told.append(places[at:at + n][which].tobytes())
+                    values.append(_all_windows(sizes[at:at + n][which]).tobytes() if masks else b"")
+            at += n
+        return answer(units, told, values)
+    return settle
+
+
+def _own_rows(rows: pd.DataFrame) -> pd.DataFrame:
+    """What a unit kept for itself: its documents and the copies within it."""
+    about, later = rows[rows["counts"].notna()], rows[rows["counts"].isna()]
+    return pd.concat([_pass_documents(about), answer(list(later["unit"]), list(later["places"]), list(later["values"]))])
+
+
+def _texts(width: int, gram: int):
     def mark(row: dict, unit: Unit) -> None:
         text, told = row["text"], np.frombuffer(row["places"], np.uint32)
-        if row["doc_id"] is None:  # neither earlier nor later than another
-            return
-        grams = _grams(text, gram)
-        least, _ = anchors(grams, width - gram + 1)
-        again, at = np.unique(grams[told & np.uint32(CROWDED_BIT - 1)], return_index=True)
-        crowded = told[at] >= CROWDED_BIT
-        spot = np.minimum(np.searchsorted(again, least), len(again) - 1)
-        windows = np.flatnonzero(again[spot] == least)
-        single = windows[crowded[spot[windows]]]
-        windows = windows[~crowded[spot[windows]]]
-        edges = np.flatnonzero(np.r_[True, (np.diff(windows) != 1) | (least[windows[1:]] != least[windows[:-1]])]) if len(windows) else []
-        starts, ends, keys = [], [], []
-        for a, b in zip(edges, np.r_[edges[1:], len(windows)].astype(np.int64)):
-            first, last = int(windows[a]), int(windows[b - 1])
-            key = int(least[first])
-            for start in range(first, last + 1, STRETCH):
-                starts.append(start)
-                ends.append(min(last, start + STRETCH - 1) + width)
-                keys.append(key)
-        for start in single.tolist():
-            starts.append(start)
-            ends.append(start + width)
-            keys.append(xxhash.xxh3_64_intdigest(text[start:start + width]))
-        unit.add(row["doc_id"], row["print"], len(text) + 1, np.array(starts, np.int64), np.array(keys, np.uint64).reshape(-1, 1),
-                 [text[a:b] for a, b in zip(starts, ends)])
+        starts, sizes, keys = stretches(text, width, gram)
+        at = np.searchsorted(starts, told & np.uint32(CROWDED_BIT - 1))
+        crowded = told >= CROWDED_BIT
+        whole, single = at[~crowded], at[crowded]
+        ends = starts[whole] + sizes[whole] + width - 1
+        starts_of, texts, keys_of = starts[whole], [text[a:b] for a, b in zip(starts[whole].tolist(), ends.tolist())], keys[whole]
+        if len(single):
+            n = sizes[single]
+            windows = np.repeat(starts[single], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            alone = [text[a:a + width] for a in windows.tolist()]
+            starts_of, texts = np.r_[starts_of, windows], texts + alone
+            keys_of = np.r_[keys_of, np.array([xxhash.xxh3_64_intdigest(x) for x in alone], np.uint64)]
+        unit.add(row["doc_id"], row["print"], len(text) + 1, starts_of, keys_of.reshape(-1, 1), texts)
     return mark
 
 
@@ -107,8 +190,7 @@ def _send(width: int):
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) - width + 1
         later = np.flatnonzero(ids > first[entry])  # copies of an earlier document of the same unit
         if len(later):
-            masks = (np.uint64(2 ** 64 - 1) >> (np.uint64(64) - sizes[entry[later]].astype(np.uint64)))
-            yield {"block": own_block(unit.number), "unit": unit.number, "values": masks.tobytes(), "counts": None,
+            yield {"block": own_block(unit.number), "unit": unit.number, "values": _all_windows(sizes[entry[later]]).tobytes(), "counts": None,
                    "places": places[later].astype(np.uint32).tobytes(), "owners": b"", "extra": b""}
         own = np.flatnonzero(ids == first[entry])
         entry_keys = np.fromiter((k for k, _ in entries), np.uint64, len(entries))
@@ -171,9 +253,7 @@ def _masks(keys: np.ndarray, owners: np.ndarray, sizes: np.ndarray, begins: np.n
 def _find(width: int):
     def find(key, rows: pd.DataFrame) -> pd.DataFrame:
         if key[0] < 0:
-            about = rows[rows["counts"].notna()]
-            later = rows[rows["counts"].isna()]
-            return pd.concat([_pass_documents(about), answer(list(later["unit"]), list(later["places"]), list(later["values"]))])
+            return _own_rows(rows)
         keys = np.concatenate([np.frombuffer(v, np.uint64) for v in rows["values"]])
         owners = np.concatenate([np.frombuffer(v, np.int64) for v in rows["owners"]])
         numbers = [len(v) // 8 for v in rows["values"]]
@@ -226,16 +306,20 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowded:
     if not 0 < gram <= width:
         raise ValueError("a gram must fit into the width")
     texts = identified(docs)
-    candidates = repeated_marks(texts, _anchor_marks(width, gram), 1, crowded)
+    sent = texts.mapInArrow(sender(_stretch_marks(width, gram), blocks_for(texts), _send_stretches), SENT)
+    settled = cut_lineage(sent.groupBy("block").applyInPandas(_settle(crowded), ANSWER))
+    del sent
     release(docs.sparkSession)
-    found = by_document(_copied(texts, candidates, width, gram))
-    del candidates
+    copied = _copied(texts, settled.filter("ids is not null or length(values) = 0"), width, gram)
     release(docs.sparkSession)
+    whole, part = by_document(settled.filter("ids is not null or length(values) > 0")), by_document(copied)
+    found = whole.withColumn("of", F.lit(0)).unionByName(part.withColumn("of", F.lit(1))).groupBy("doc_id", "print").agg(
+        *(F.concat(*(F.coalesce(F.first(F.when(F.col("of") == k, F.col(c)), True), F.lit(b"")) for k in (0, 1))).alias(c) for c in ("places", "values")))
     return with_answers(texts, found, "left").mapInArrow(
         _remove(width, with_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def _copied(texts: DataFrame, candidates: DataFrame, width: int, gram: int) -> DataFrame:
+def _copied(texts: DataFrame, asked: DataFrame, width: int, gram: int) -> DataFrame:
     """Answers of the blocks: places of stretches and the windows in them that are copies."""
-    sent = with_answers(texts, candidates, "inner").mapInArrow(sender(_stretches(width, gram), blocks_for(texts), _send(width)), SENT)
+    sent = with_answers(texts, by_document(asked), "inner").mapInArrow(sender(_texts(width, gram), blocks_for(texts), _send(width)), SENT)
     return cut_lineage(sent.groupBy("block").applyInPandas(_find(width), ANSWER))

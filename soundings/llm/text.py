@@ -98,6 +98,30 @@ def window_hashes(values: np.ndarray, width: int, base: int = MULTIPLIER) -> np.
         return mix((total[width:] - total[:n]) * down[:n])
 
 
+def stretch_hashes(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, base: int) -> np.ndarray:
+    """Hashes of stretches of values, each of its own size, as ``window_hashes``."""
+    up, down = _powers(len(values), base)
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * up, out=total[1:])
+        return mix((total[starts + sizes] - total[starts]) * down[starts] + sizes.astype(np.uint64) * np.uint64(MULTIPLIER))
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers of any width by byte, first bytes first, so that small ones leave runs of zeros."""
+    return numbers.view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def steps(numbers: np.ndarray) -> np.ndarray:
+    """Differences that ``np.cumsum`` undoes; small where the numbers ascend slowly."""
+    return np.diff(numbers, prepend=numbers.dtype.type(0))
+
+
 def cover(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     """Which of ``n`` places lie in a window of ``width`` that begins at one of ``starts``."""
     edge = np.bincount(starts, minlength=n + 1)[:n + 1] - np.bincount(starts + width, minlength=n + 1)[:n + 1]
