@@ -8,26 +8,57 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from soundings.functions.scalars import KM_PER_DEGREE, great_circle_km
 from soundings.session import cut_lineage
 
-# ---- lon/lat boxes as join keys ---------------------------------------------------------
+# ---- lon/lat tiles as join keys ---------------------------------------------------------
 #
-# Latitude is cut into bands a little higher than the radius.  Each band is cut into an
-# integer number of longitude boxes at least as wide as the radius at the band's most
-# poleward reach, so that a pair within the radius always lies in neighbouring boxes, also
-# across the date line and (with one box per band) at the poles.  The static, smaller cell
-# side is sent to its nine boxes; the observation side keeps one row per position.
+# Latitude is cut into bands ``side`` times the radius high.  Each band is cut into an integer
+# number of longitude boxes at least ``side`` times as wide as the radius reaches from any point
+# of the band.  A position lies in one tile; a cell is sent to the tiles that its radius touches,
+# also across the date line and (with one box per band) at the poles: its own and, near an edge,
+# its neighbours, (1 + 2 / side) squared of them on average.
 
 
-def _boxes_in_band(band: Column, height: float) -> Column:
-    reach = (F.greatest(F.abs(band.cast("double")), F.abs(band.cast("double") + 1)) + 1) * height
-    width = F.lit(height) / F.cos(F.radians(F.least(reach, F.lit(89.0))))
-    n = F.floor(F.lit(360.0) / width)
-    return F.when((reach >= 89.0) | (n < 3), F.lit(1)).otherwise(n).cast("long")
+def _lon_reach(band: Column, height: float, side: int) -> tuple[Column, Column]:
+    """Degrees of longitude that the radius reaches from a point of the band, and whether that comes near a pole."""
+    pole = F.greatest(F.abs(band.cast("double")), F.abs(band.cast("double") + 1)) * (height * side) + height
+    return F.lit(height) / F.cos(F.radians(F.least(pole, F.lit(89.0)))), pole >= 89.0
+
+
+def _boxes_in_band(band: Column, height: float, side: int) -> Column:
+    reach, polar = _lon_reach(band, height, side)
+    n = F.floor(F.lit(360.0) / (reach * side))
+    return F.when(polar | (n < 3), F.lit(1)).otherwise(n).cast("long")
 
 
 def _lon_box(lon: Column, n: Column) -> Column:
     return F.least(F.floor(F.pmod(lon, F.lit(360.0)) / (F.lit(360.0) / n)), n - 1).cast("long")
 
 
+def degrees_of(radius_km: float) -> float:
+    """Degrees of latitude of a radius, and a little more."""
+    return radius_km / KM_PER_DEGREE * 1.001
+
+
+def in_tile(places: DataFrame, radius_km: float, side: int) -> DataFrame:
+    """``places`` (lon, lat) with their tile (_band, _box)."""
+    height = degrees_of(radius_km)
+    banded = places.withColumn("_band", F.floor(F.col("lat") / (height * side)).cast("long"))
+    return banded.withColumn("_box", _lon_box(F.col("lon"), _boxes_in_band(F.col("_band"), height, side)))
+
+
+def in_reach(cells: DataFrame, radius_km: float, side: int) -> DataFrame:
+    """``cells`` (_clon, _clat), once for each tile (_band, _box) that their radius touches."""
+    height = degrees_of(radius_km)
+    band = lambda lat: F.floor(lat / (height * side)).cast("long")
+    known = cells.filter(F.col("_clon").isNotNull() & F.col("_clat").isNotNull())
+    banded = known.withColumn("_band", F.explode(F.sequence(band(F.col("_clat") - height), band(F.col("_clat") + height))))
+    east, n = F.pmod(F.col("_clon"), F.lit(360.0)), F.col("_n")
+    box = lambda lon: F.floor(lon / (F.lit(360.0) / n)).cast("long")
+    reach = _lon_reach(F.col("_band"), height, side)[0]
+    boxes = F.transform(F.sequence(box(east - reach), box(east + reach)), lambda b: F.pmod(b, n))
+    return banded.withColumn("_n", _boxes_in_band(F.col("_band"), height, side)).withColumn(
+        "_box", F.explode(F.array_distinct(boxes))).drop("_n")
+
+
 def copied(df: DataFrame) -> DataFrame:
     """``df``, which holds copies made by ``explode``, for a join that does not broadcast it.
 
@@ -36,34 +67,42 @@ def copied(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+#: Side of a tile in radii where positions meet cells in a join: each cell is sent to four tiles.
+SIDE = 2
+#: Positions of a tile that one task takes; the cells of a tile with more are repeated.
+CROWDED = 16384
+
+
 def pairs_within(points: DataFrame, cells: DataFrame, radius_km: float,
-                 cell_columns: list[str], salts: int = 4) -> DataFrame:
+                 cell_columns: list[str], salts: int = 4, few: bool = False) -> DataFrame:
     """Every (position, cell) no further apart than ``radius_km``, with ``dist_km``.
 
     ``points`` needs lon, lat; only its distinct positions are joined, so many profiles
-    at one place count once.  A crowded box is split over ``salts`` tasks by a hash of
-    the position; the cells are repeated once per salt.
+    at one place count once.  With ``salts`` above 1, a tile of more than ``CROWDED`` positions is split over
+    as many tasks as that takes, by a hash of the position, at least ``salts``; its cells are repeated for each.
+    ``few`` tells that the positions lie in few tiles: other cells then go before they are sent.
     """
-    height = radius_km / KM_PER_DEGREE * 1.001
-    where = points.select("lon", "lat").dropna().distinct()
-    band = F.floor(F.col("lat") / height).cast("long")
-    left = (
-        where.withColumn("_band", band)
-        .withColumn("_box", _lon_box(F.col("lon"), _boxes_in_band(F.col("_band"), height)))
-        .withColumn("_salt", F.pmod(F.xxhash64("lon", "lat"), F.lit(salts)).cast("int"))
-    )
-    right = (
-        cells.select(F.col("lon").alias("_clon"), F.col("lat").alias("_clat"), *cell_columns)
-        .filter(F.col("_clon").isNotNull() & F.col("_clat").isNotNull())
-        .withColumn("_band", F.explode(F.array(*[F.floor(F.col("_clat") / height).cast("long") + d for d in (-1, 0, 1)])))
-        .withColumn("_n", _boxes_in_band(F.col("_band"), height))
-        .withColumn("_own", _lon_box(F.col("_clon"), F.col("_n")))
-        .withColumn("_box", F.explode(F.array_distinct(F.array(*[F.pmod(F.col("_own") + d, F.col("_n")) for d in (-1, 0, 1)]))))
-        .withColumn("_salt", F.explode(F.array(*[F.lit(s) for s in range(salts)])))
-        .drop("_n", "_own")
-    )
+    height, by = degrees_of(radius_km), ["_band", "_box"]
+    left = in_tile(points.select("lon", "lat").dropna().distinct(), radius_km, SIDE)
+    right = in_reach(cells.select(F.col("lon").alias("_clon"), F.col("lat").alias("_clat"), *cell_columns), radius_km, SIDE)
+    if few:
+        right = right.join(left.select(*by).distinct(), by, "left_semi")
+    if salts > 1:
+        left = cut_lineage(left)
+        sizes = left.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > CROWDED)
+        sizes = cut_lineage(sizes.select(*by, F.greatest(F.ceil(F.col("_n") / CROWDED), F.lit(salts)).cast("int").alias("_units")))
+        if sizes.isEmpty():
+            units = F.lit(1)
+        else:
+            units = F.coalesce("_units", F.lit(1))
+            left, right = left.join(sizes, by, "left"), right.join(sizes, by, "left")
+        left = left.withColumn("_salt", F.pmod(F.xxhash64("lon", "lat"), units).cast("int")).drop("_units")
+        right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), units - 1))).drop("_units")
+        by = [*by, "_salt"]
+    # cheap bounds first: most cells of a tile are too far in latitude, or in longitude at their own latitude
+    near = F.abs(F.col("lat") - F.col("_clat")) <= height
     return (
-        left.join(copied(right), ["_band", "_box", "_salt"])
+        left.join(copied(right), by).filter(near)
         .withColumn("dist_km", great_circle_km("lon", "lat", "_clon", "_clat"))
         .filter(F.col("dist_km") <= radius_km)
         .select("lon", "lat", *cell_columns, "dist_km")
@@ -74,13 +113,18 @@ def pairs_within(points: DataFrame, cells: DataFrame, radius_km: float,
 EXPECTED = 6
 
 
-def search_radii(cells: DataFrame, radius_km: float, step: float = 4.0) -> list[float]:
-    """Growing radii for a nearest search, the last one ``radius_km``: the first holds a few cells, by their number per occupied box."""
+def cells_per_box(cells: DataFrame, radius_km: float) -> float:
+    """Cells in an occupied box as wide and high as the radius, about."""
     height = radius_km / KM_PER_DEGREE
     east = F.col("lon") * F.cos(F.radians("lat"))
     boxes = F.approx_count_distinct(F.struct(F.floor(east / height), F.floor(F.col("lat") / height)))
     n, occupied = cells.select("lon", "lat").dropna().agg(F.count(F.lit(1)), boxes).first()
-    around = math.pi * n / max(occupied, 1)
+    return n / max(occupied, 1)
+
+
+def search_radii(cells: DataFrame, radius_km: float, step: float = 4.0) -> list[float]:
+    """Growing radii for a nearest search, the last one ``radius_km``: the first holds a few cells, by their number per occupied box."""
+    around = math.pi * cells_per_box(cells, radius_km)
     if around <= 10 * EXPECTED:
         return [radius_km]
     out, radius = [], radius_km * math.sqrt(EXPECTED / around)
@@ -90,9 +134,9 @@ def search_radii(cells: DataFrame, radius_km: float, step: float = 4.0) -> list[
     return [*out, radius_km]
 
 
-def _nearest_within(points: DataFrame, sea: DataFrame, radius_km: float, keep_columns: tuple[str, ...], salts: int) -> DataFrame:
+def _nearest_within(points: DataFrame, sea: DataFrame, radius_km: float, keep_columns: tuple[str, ...], salts: int, few: bool) -> DataFrame:
     return (
-        pairs_within(points, sea, radius_km, ["x", "y", *keep_columns], salts)
+        pairs_within(points, sea, radius_km, ["x", "y", *keep_columns], salts, few)
         .groupBy("lon", "lat")
         .agg(F.min(F.struct("dist_km", "x", "y", *keep_columns)).alias("_best"))
         .select("lon", "lat", "_best.x", "_best.y", *[f"_best.{c}" for c in keep_columns],
@@ -113,10 +157,12 @@ def nearest_cell(points: DataFrame, cells: DataFrame, radius_km: float = 5.0,
     *rungs, last = search_radii(sea, radius_km)
     todo, near = points.select("lon", "lat"), None
     for radius in rungs:
-        found = cut_lineage(_nearest_within(todo, sea, radius, keep_columns, 1))
+        found = cut_lineage(_nearest_within(todo, sea, radius, keep_columns, 1, near is not None))
         todo = cut_lineage(todo.dropna().distinct().join(found, ["lon", "lat"], "left_anti"))
         near = found if near is None else near.unionByName(found)
-    found = _nearest_within(todo, sea, last, keep_columns, salts)
+        if todo.isEmpty():
+            return points.join(near, ["lon", "lat"])
+    found = _nearest_within(todo, sea, last, keep_columns, salts, near is not None)
     near = found if near is None else near.unionByName(found)
     return points.join(near, ["lon", "lat"])
 

@@ -5,8 +5,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from soundings.functions.scalars import CRPS_RADII_KM
 from soundings.operators.clean import near_surface
-from soundings.operators.crps import neighbourhood_crps, regional_crps
-from soundings.operators.spatial import neighbourhood
+from soundings.operators.crps import SIDE, neighbourhood_crps, regional_crps
+from soundings.operators.spatial import in_reach, in_tile
 from soundings.operators.surface import surface_mean
 from soundings.operators.timejoin import nearest_time
 from soundings.schema import one_run
@@ -17,8 +17,8 @@ def surface_crps(headers: DataFrame, levels: DataFrame, cells: DataFrame, field:
                  radii=CRPS_RADII_KM, depth: float = 5.0, run: str | None = None, model_times: DataFrame | None = None) -> DataFrame:
     """CRPS of each profile's near-surface mean against the model's at the nearest time.
 
-    Cells around each position are searched once.  The field is read for the months and cells needed; ``run``
-    names the run to take from it, and ``model_times`` (t) spares a pass over it for its times.
+    The field is read for the months and cells needed; ``run`` names the run to take from it (without it, a
+    second run at the times of observations is an error), and ``model_times`` (t) spares a pass over it for its times.
     """
     variables = list(variables)
     cells = one_run(cells, run)
@@ -26,22 +26,35 @@ def surface_crps(headers: DataFrame, levels: DataFrame, cells: DataFrame, field:
         field = one_run(field, run)
     top = near_surface(levels, depth).groupBy("profile_id").agg(*[F.avg(v).alias(v) for v in variables])
     timed = nearest_time(headers, field.select("t").distinct() if model_times is None else model_times.select("t").distinct())
-    # Read twice: for its positions and for its values.
+    # Read several times: for its times, its positions and its values.
     obs = cut_lineage(timed.join(top, "profile_id").select("profile_id", "lon", "lat", "t", *variables))
-    around = cut_lineage(neighbourhood(obs.select("lon", "lat").distinct(), cells, max(radii)))
-    surface = cut_lineage(surface_mean(needed_field(field, obs, around), variables, depth))
-    return neighbourhood_crps(obs, cells, one_run(surface), variables, radii, around=around)
+    places = in_tile(obs.select("lon", "lat").dropna().distinct(), max(radii), SIDE)
+    own = cells.select(F.col("lon").alias("_clon"), F.col("lat").alias("_clat"), "x", "y")
+    around = in_reach(own, max(radii), SIDE).join(places.select("_band", "_box").distinct(), ["_band", "_box"], "left_semi")
+    field = one_run(near_surface(at_times(field, obs), depth))
+    return neighbourhood_crps(obs, cells, surface_mean(needed_field(field, obs, around), variables, depth), variables, radii)
+
+
+def _months(field: DataFrame) -> dict:
+    """Year and month of ``t``, where the field is stored by them."""
+    return {"year": F.year("t"), "month": F.month("t")} if {"year", "month"} <= set(field.columns) else {}
+
+
+def at_times(field: DataFrame, obs: DataFrame) -> DataFrame:
+    """The field's rows at the times of observations.
+
+    Where the field is stored by year and month, those of the times join as well, so that only their folders are read.
+    """
+    months, wanted = _months(field), obs.select("t").distinct()
+    return field.join(wanted.withColumns(months) if months else wanted, ["t", *months], "left_semi")
 
 
 def needed_field(field: DataFrame, obs: DataFrame, around: DataFrame) -> DataFrame:
-    """The field's rows at the times of observations and in cells near one then.
+    """The field's rows at the times of observations and in the cells ``around`` (x, y) any of them.
 
-    ``around`` (lon, lat, x, y) has the cells around each position.  Where the field is stored by year and month, those
-    of the times join as well, so that only their folders are read.
+    By cell, not by cell and time: that list would be as long as the field where observations are many.
     """
-    months = {"year": F.year("t"), "month": F.month("t")} if {"year", "month"} <= set(field.columns) else {}
-    wanted = obs.select("lon", "lat", "t").distinct().join(around.select("lon", "lat", "x", "y"), ["lon", "lat"]).select("x", "y", "t").distinct()
-    return field.join(wanted.withColumns(months) if months else wanted, ["x", "y", "t", *months], "left_semi")
+    return at_times(field, obs).join(around.select("x", "y").distinct(), ["x", "y"], "left_semi")
 
 
 def crps_by_region(crps: DataFrame, membership: DataFrame, pairs: DataFrame, variables, depth: float = 5.0) -> DataFrame:
