@@ -25,6 +25,22 @@ def test_totals_of_multinomial_draws(spark):
     assert all(r[3] == (40 if r[0] == "r" else 20) for r in got)
 
 
+def test_totals_send_no_draws(spark, monkeypatch):
+    _, df = angles(spark)
+    df = df.unionByName(df.limit(1).withColumn("profile_id", F.lit(None).cast("long")))
+    m = bias.MultinomialDraws(df, 130, 3, ["region", "season"], slots=4)
+    told = lambda: {tuple(r) for r in m.totals("profile_id").select("region", "season", "rep", "draws", "profiles", "total").collect()}
+    monkeypatch.setattr(bias, "WHOLE", 30)  # one of the two groups is larger
+    between = told()
+    monkeypatch.setattr(bias, "WHOLE", 1000)
+    monkeypatch.setattr(bias, "PIECE", 7)
+
+    def sent(*args):
+        raise AssertionError("draws are sent")
+    monkeypatch.setattr(bias, "_numbers_drawn", sent)
+    assert told() == between and len(between) == 260 and sum(r[3] for r in between) == 61 * 130
+
+
 @pytest.mark.parametrize("block", [7, 64, 500])
 def test_draws_between_blocks(monkeypatch, block):
     monkeypatch.setattr(bias, "BLOCK", block)
