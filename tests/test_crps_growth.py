@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from soundings.functions.scalars import great_circle_km
-from soundings.operators import crps, spatial
+from soundings.operators import crps, matchup, spatial
 
 T0, T1 = dt.datetime(2010, 1, 1), dt.datetime(2010, 2, 1)
 OBS = "profile_id long, lon double, lat double, t timestamp_ntz, temperature double"
@@ -102,3 +102,35 @@ def test_crowded_tiles_are_split(spark, monkeypatch):
     got = sorted(map(tuple, spatial.neighbourhood(points, grid, 20.0).select("lon", "lat", "x", "y").collect()))
     pairs = points.crossJoin(grid.withColumnsRenamed({"lon": "clon", "lat": "clat"})).filter(great_circle_km("lon", "lat", "clon", "clat") <= 20.0)
     assert got == sorted(map(tuple, pairs.select("lon", "lat", "x", "y").collect())) and got
+
+
+def levels_of(spark, n):
+    rng = random.Random(6)
+    rows = [(p, z, 1.0 + 2 * z, rng.uniform(5, 15) if rng.random() < 0.9 else None) for p in range(n) for z in range(20)]
+    return rows, spark.createDataFrame(rows, "profile_id long, z int, depth double, temperature double")
+
+
+@pytest.mark.parametrize("crowded", [3, 4096])
+def test_levels_go_to_their_cell_by_profile(spark, monkeypatch, crowded):
+    monkeypatch.setattr(matchup, "CROWDED", crowded)
+    obs_rows, obs = levels_of(spark, 400)
+    mod_rows, mod = levels_of(spark, 390)
+    place = {p: (min(p, 350), 0, T0) for p in range(400)}
+    m = spark.createDataFrame([(p, *c) for p, c in place.items()], "profile_id long, x int, y int, t timestamp_ntz")
+    df = matchup.reduce_resolution(m, obs, mod, ["temperature"])
+    if crowded == 4096:  # 400 + 351 profiles in one row each, once more where they meet their cell
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            assert 0 < shuffled_rows(matchup.reduce_resolution(m, obs.repartition(3, "profile_id"), mod.repartition(3, "profile_id"), ["temperature"])) < 2 * 400 * 20 + 5000
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    value = {(p, z): v for p, z, _, v in mod_rows}
+    cells = {}
+    for p, z, _, v in obs_rows:
+        cells.setdefault((place[p][0], z), []).append(v)
+    got = df.collect()
+    assert len(got) == len(cells) == 351 * 20
+    for r in got:
+        vs = [v for v in cells[r.x, r.z] if v is not None]
+        assert (r.first_id, r.grid_n, r.depth, r.temperature_mod) == (r.x, 50 if r.x == 350 else 1, 1.0 + 2 * r.z, value.get((r.x, r.z)))
+        assert r.temperature_obs == (pytest.approx(sum(vs) / len(vs)) if vs else None)
